@@ -28,27 +28,19 @@ def cashflow_category(code) -> Column:
     return expr.otherwise(" ")
 
 
-def account_dim(lg, levels: int = ACCT_LEVELS) -> DataFrame:
-    """Account with financial and cost-pool tree levels, type levels and cash flow."""
+def account_dim(lg, levels: int = ACCT_LEVELS, cost_pool: bool = True, cash_flow: bool = True) -> DataFrame:
+    """Account with financial and cost-pool tree levels, type levels and cash flow.
+
+    Catalyst keeps a left join even when none of its columns is used, so a
+    caller that needs only the financial levels passes ``cost_pool=False`` /
+    ``cash_flow=False`` and those trees are not built at all.
+    """
     acct = lg.account
     attrs = acct.select("account_key", "account_code", "description", "type")
     fin = flatten_with_attributes(lg.acct_fin_tree, levels, attrs, "account_key",
                                   ["account_code", "description", "type"], "fin")
     fin = fill_levels(fin, "fin", ["account_code", "description"], levels, out_prefix="finf")
-    cp = flatten_with_attributes(lg.acct_cost_pool_tree, levels, attrs, "account_key",
-                                 ["account_code", "description"], "cp")
-    cp = fill_levels(cp, "cp", ["account_code", "description"], levels, out_prefix="cpf")
-    ca = lg.cashflow_account.select(F.col("cashflow_account_key").alias("account_key"),
-                                    "rollup_account_key", F.col("category").alias("_cat"))
-    roll = acct.select(F.col("account_key").alias("rollup_account_key"),
-                       F.col("account_code").alias("_r_code"), F.col("description").alias("_r_desc"))
-    df = (
-        acct.join(fin.withColumnRenamed("node_key", "account_key"), "account_key", "left")
-        .join(cp.withColumnRenamed("node_key", "account_key"), "account_key", "left")
-        .join(ca, "account_key", "left")
-        .join(roll, "rollup_account_key", "left")
-    )
-    flow = F.col("_cat").isin(*CASHFLOW_CATEGORIES)
+    df = acct.join(fin.withColumnRenamed("node_key", "account_key"), "account_key", "left")
     cols = [
         "account_key", F.col("account_code").alias("acct_code"), F.col("description").alias("acct_description"),
         account_type_name("type").alias("acct_type"), account_type_order("type").alias("acct_type_order"),
@@ -56,18 +48,32 @@ def account_dim(lg, levels: int = ACCT_LEVELS) -> DataFrame:
     for k in range(1, levels + 1):
         cols += [F.col(f"finf{k}_account_code").alias(f"acct_fin_lv{k}_code"),
                  F.col(f"finf{k}_description").alias(f"acct_fin_lv{k}_name")]
-    for k in range(1, levels + 1):
-        cols += [F.col(f"cpf{k}_account_code").alias(f"acct_cost_pool_lv{k}_code"),
-                 F.col(f"cpf{k}_description").alias(f"acct_cost_pool_lv{k}_name")]
+    if cost_pool:
+        cp = flatten_with_attributes(lg.acct_cost_pool_tree, levels, attrs, "account_key",
+                                     ["account_code", "description"], "cp")
+        cp = fill_levels(cp, "cp", ["account_code", "description"], levels, out_prefix="cpf")
+        df = df.join(cp.withColumnRenamed("node_key", "account_key"), "account_key", "left")
+        for k in range(1, levels + 1):
+            cols += [F.col(f"cpf{k}_account_code").alias(f"acct_cost_pool_lv{k}_code"),
+                     F.col(f"cpf{k}_description").alias(f"acct_cost_pool_lv{k}_name")]
     cols += [
         account_type_name("fin1_type").alias("acct_fin_lv1_type"),
         account_type_name(F.coalesce(F.col("fin2_type"), F.col("fin1_type"))).alias("acct_fin_lv2_type"),
-        cashflow_category("_cat").alias("cash_flow_category"),
-        F.when(flow, F.coalesce(F.col("_r_code"), F.col("account_code"))).otherwise(F.col("_r_code"))
-        .alias("cfr_account_code"),
-        F.when(flow, F.coalesce(F.col("_r_desc"), F.col("description"))).otherwise(F.col("_r_desc"))
-        .alias("cfr_account_description"),
     ]
+    if cash_flow:
+        ca = lg.cashflow_account.select(F.col("cashflow_account_key").alias("account_key"),
+                                        "rollup_account_key", F.col("category").alias("_cat"))
+        roll = acct.select(F.col("account_key").alias("rollup_account_key"),
+                           F.col("account_code").alias("_r_code"), F.col("description").alias("_r_desc"))
+        df = df.join(ca, "account_key", "left").join(roll, "rollup_account_key", "left")
+        flow = F.col("_cat").isin(*CASHFLOW_CATEGORIES)
+        cols += [
+            cashflow_category("_cat").alias("cash_flow_category"),
+            F.when(flow, F.coalesce(F.col("_r_code"), F.col("account_code"))).otherwise(F.col("_r_code"))
+            .alias("cfr_account_code"),
+            F.when(flow, F.coalesce(F.col("_r_desc"), F.col("description"))).otherwise(F.col("_r_desc"))
+            .alias("cfr_account_description"),
+        ]
     return df.select(*cols)
 
 
