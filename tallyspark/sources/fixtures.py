@@ -16,6 +16,10 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
+# Money derived from DOUBLE columns is cast to DECIMAL first and multiplied in
+# decimals: a double product cast to DECIMAL rounds half cases differently in
+# Spark (via the shortest decimal string) and DuckDB (exact binary value).
+
 # Fixed values of the bindings (years of the fiscal calendar, currency list,
 # grant assignments).  They define the synthetic ERP, not query parameters.
 FISCAL_YEARS = list(range(1995, 2003))
@@ -273,7 +277,9 @@ from {_values([(1, 1), (3896, 5), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key'
 _bind("org_access_person", [], f"""
 select org_access_person_key, person_key, role_key, access_type, global_access
 from {_values([(10, 2, 33, 2, 'Y'), (11, 3, 33, 2, 'N'), (12, 4, 33, 2, 'N'),
-               (13, 3896, 33, 2, 'N'), (14, 3896, 33, 1, 'N'), (15, 5, 20, 2, 'N')],
+               (13, 3896, 33, 2, 'N'), (14, 3896, 33, 1, 'N'), (15, 5, 20, 2, 'N'),
+               (16, 3896, 27, 2, 'N'), (17, 3896, 56, 6, 'N'), (18, 3896, 56, 3, 'N'),
+               (19, 2, 28, 2, 'Y'), (20, 4, 56, 2, 'Y'), (21, 4, 56, 6, 'Y')],
               ['org_access_person_key', 'person_key', 'role_key', 'access_type', 'global_access'])}""")
 
 _bind("access_customer_view", ["supplier", "nation"], """
@@ -287,7 +293,107 @@ select cast(10000 + s_suppkey as bigint), cast(14 as bigint), 'N' from {supplier
 union all
 select cast(2000 + n_nationkey as bigint), cast(12 as bigint), 'Y' from {nation} where n_nationkey % 5 = 0
 union all
-select cast(2000 + n_nationkey as bigint), cast(13 as bigint), 'Y' from {nation} where n_nationkey % 4 = 1""")
+select cast(2000 + n_nationkey as bigint), cast(13 as bigint), 'Y' from {nation} where n_nationkey % 4 = 1
+union all
+select cast(2000 + n_nationkey as bigint), cast(16 as bigint), 'Y' from {nation} where n_nationkey % 3 = 0
+union all
+select cast(2000 + n_nationkey as bigint), cast(18 as bigint), 'Y' from {nation} where n_nationkey % 3 = 1
+union all
+select cast(10000 + s_suppkey as bigint), cast(17 as bigint), 'N' from {supplier} where s_suppkey % 2 = 0""")
+
+
+# --- payables (from orders / lineitem / supplier) ----------------------------
+_bind("fin_document", ["orders"], """
+select o_orderkey as fin_document_key,
+       cast(2000 + o_custkey % 25 as bigint) as legal_entity_key,
+       case when o_orderkey % 97 = 0 then o_orderkey - 1 end as voided_fin_document_key,
+       case when o_orderkey % 101 = 0 then o_orderkey + 1 end as voiding_fin_document_key,
+       case when o_orderkey % 5 = 0 then cast(null as string) else concat('Order ', o_orderpriority) end as comments,
+       o_custkey % 15 as created_by, o_orderdate as created_timestamp,
+       cast(1 + o_custkey % 3 as bigint) as currency,
+       concat('Vendor invoice ', cast(o_orderkey as string)) as description,
+       cast(o_orderdate as date) as document_date,
+       concat('VI', cast(o_orderkey as string)) as document_number,
+       0 as document_type,
+       (o_custkey + 3) % 15 as last_updated_by, o_orderdate as last_updated_timestamp,
+       case when o_orderkey % 9 = 0 then cast(null as bigint) else cast(1 + o_orderkey % 3 as bigint) end as local_currency,
+       cast(o_orderdate as date) + cast(o_orderkey % 20 as int) as post_date,
+       case when o_orderstatus = 'P' then cast(null as bigint) else (o_custkey + 7) % 15 end as posted_by,
+       case when o_orderstatus = 'P' then cast(null as timestamp) else o_orderdate + interval 2 day end
+         as posted_timestamp,
+       concat('REF', cast(o_orderkey % 1000 as string)) as reference,
+       case o_orderstatus when 'F' then 'Posted' when 'O' then 'Open' else 'Pending' end as status,
+       (o_custkey + 5) % 15 as submitted_by, o_orderdate + interval 1 day as submitted_timestamp
+from {orders}""")
+
+_bind("vendor_invoice", ["orders"], """
+select o_orderkey as fin_document_key, o_orderkey % 40 as account_key,
+       cast(2000 + o_custkey % 25 as bigint) as organization_key,
+       cast(1 + o_orderkey % 4 as bigint) as payment_term_key,
+       case when o_orderkey % 7 = 0 then o_orderkey end as po_key,
+       cast(10000 + o_custkey % 10 as bigint) as vendor_org_key,
+       cast(cast(o_totalprice as decimal(18,2)) * cast(0.02 as decimal(4,2)) as decimal(18,2)) as discount_amount,
+       cast(cast(o_orderdate as date) + interval 30 day as date) as due_date,
+       case when o_orderkey % 17 = 0 then 'Disputed' end as hold_reason,
+       cast(o_totalprice as decimal(18,2)) as invoice_amount,
+       cast(o_orderdate as date) as invoice_date,
+       cast(cast(o_totalprice as decimal(18,2)) * cast(0.02 as decimal(4,2)) as decimal(18,2)) as local_discount_amount,
+       cast(o_totalprice as decimal(18,2)) as local_invoice_amount,
+       case when o_orderkey % 17 = 0 then 'Y' else 'N' end as payment_on_hold
+from {orders}""")
+
+_bind("vendor_invoice_activity", ["lineitem"], """
+select l_orderkey as fin_document_key,
+       case when l_linenumber = 7 then cast(null as decimal(18,2))
+            else cast(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(4,2)) as decimal(18,2)) end as applied,
+       cast(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2)) as decimal(18,2)) as discount,
+       cast(l_extendedprice as decimal(18,2)) as invoice_amount,
+       cast(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(4,2)) as decimal(18,2)) as local_applied,
+       cast(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2)) as decimal(18,2)) as local_discount,
+       cast(l_extendedprice as decimal(18,2)) as local_invoice_amount
+from {lineitem}""")
+
+_bind("fin_document_recurring", ["orders"], """
+select o_orderkey as fin_document_key, o_orderkey - 13 as orig_fin_document_key,
+       12 as max_occurrences, cast(1 + o_orderkey % 12 as int) as sequence
+from {orders} where o_orderkey % 13 = 0""")
+
+_bind("purchase_order", ["orders"], """
+select o_orderkey as po_key,
+       case when o_orderkey % 14 = 0 then o_orderkey + 1 else o_orderkey end as orig_po_key,
+       concat('PO', cast(o_orderkey as string)) as document_number
+from {orders} where o_orderkey % 7 = 0""")
+
+_bind("payment_term", [], f"""
+select payment_term_key, description, discount_days
+from {_values([(1, 'Net 30', 10), (2, 'Net 45', None), (3, '2/10 Net 30', 10), (4, 'Due on receipt', 0)],
+              ['payment_term_key', 'description', 'discount_days'])}""")
+
+_bind("address", ["supplier"], """
+select s_suppkey as address_key, concat('City', cast(s_nationkey as string)) as city,
+       concat('Country', cast(s_nationkey as string)) as country,
+       concat(cast(10000 + s_suppkey as string), '-', cast(s_nationkey as string)) as postal_code,
+       case when s_suppkey % 3 = 0 then cast(null as string) else 'ST' end as state_province,
+       concat(cast(s_suppkey as string), ' Main St') as street1,
+       case when s_suppkey % 2 = 0 then 'Suite 100' end as street2, cast(null as string) as street3
+from {supplier}""")
+
+_bind("customer_address", ["supplier"], """
+select cast(10000 + s_suppkey as bigint) as customer_key, s_suppkey as address_key,
+       case when s_suppkey % 4 = 3 then 'N' else 'Y' end as default_remit_to
+from {supplier}""")
+
+_bind("integration", [], f"""
+select integration_key, integration_name
+from {_values([(1, 'AP export'), (2, 'Bank feed')], ['integration_key', 'integration_name'])}""")
+
+_bind("integration_value", ["orders"], """
+select o_orderkey as integration_value_key, cast(1 + o_orderkey % 2 as bigint) as integration_key,
+       o_orderkey as internal_key, o_orderkey + 500000000 as external_key, 'VI' as value_type
+from {orders} where o_orderkey % 3 = 0
+union all
+select o_orderkey + 900000000, cast(2 as bigint), -o_orderkey, o_orderkey + 700000000, 'PAY'
+from {orders} where o_orderkey % 11 = 0""")
 
 
 DRIVER_TABLES = (
