@@ -26,7 +26,14 @@ def register(name: str, build: Callable, oracle: str | None) -> None:
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from . import balance_queries, dim_queries, ledger_queries, payables_queries, report_queries  # noqa: F401
+    from . import (  # noqa: F401
+        balance_queries,
+        dim_queries,
+        ledger_queries,
+        payables_queries,
+        pool_queries,
+        report_queries,
+    )
 
 
 def all_queries() -> dict[str, QuerySpec]:

@@ -396,6 +396,74 @@ select o_orderkey + 900000000, cast(2 as bigint), -o_orderkey, o_orderkey + 7000
 from {orders} where o_orderkey % 11 = 0""")
 
 
+# --- cost pools (calcs aggregated from orders per group and month) -----------
+_bind("cost_pool_group", [], f"""
+select cost_pool_group_key, currency_code_key, cost_pool_group_name
+from {_values([(1, 1, 'Standard'), (2, 2, 'Provisional')],
+              ['cost_pool_group_key', 'currency_code_key', 'cost_pool_group_name'])}""")
+
+_bind("cost_pool_group_mle", ["nation"], """
+select cast(1 + n_nationkey % 2 as bigint) as cost_pool_group_key, cast(2000 + n_nationkey as bigint) as legal_entity_key
+from {nation} where n_nationkey < 4""")
+
+# Pools: one per nation; two carry names of the report's exclusion list.
+_bind("cost_pool", ["nation"], """
+select cast(n_nationkey as bigint) as cost_pool_key, cast(1 + n_nationkey % 2 as bigint) as cost_pool_group_key,
+       case n_nationkey when 3 then 'G&A ODC (For Cost Structure Update Only)'
+                        when 6 then 'G&A TRAVEL (For Cost Structure Update Only)'
+                        else concat('Pool ', n_name) end as cost_pool_name,
+       n_nationkey % 4 as display_sequence,
+       case when n_nationkey % 5 = 4 then 'N' else 'Y' end as post_rate_to_cost_struct
+from {nation}""")
+
+# One calc per (group, month) with the month's lowest order key; months that are
+# multiples of 6 get a second calc (highest key), linked to budgets; November of
+# even years is voided.
+_bind("cost_pool_group_calc", ["orders"], """
+select k as cost_pool_group_calc_key, g as cost_pool_group_key, m as post_fiscal_month_key,
+       case when m % 100 = 11 and (m - m % 100) % 200 = 0 then cast(7 as bigint) end as voided_by,
+       case when m % 100 = 11 and (m - m % 100) % 200 = 0 then timestamp '2003-01-01 00:00:00' end as voided_timestamp
+from (
+  select min(o_orderkey) as k, cast(1 + o_custkey % 2 as bigint) as g,
+         cast(year(o_orderdate) * 100 + month(o_orderdate) as bigint) as m
+  from {orders} group by cast(1 + o_custkey % 2 as bigint), cast(year(o_orderdate) * 100 + month(o_orderdate) as bigint)
+  union all
+  select max(o_orderkey), cast(1 + o_custkey % 2 as bigint), cast(year(o_orderdate) * 100 + month(o_orderdate) as bigint)
+  from {orders} where month(o_orderdate) % 6 = 0
+  group by cast(1 + o_custkey % 2 as bigint), cast(year(o_orderdate) * 100 + month(o_orderdate) as bigint)
+) c""")
+
+_bind("cost_pool_group_calc_budget", ["orders"], """
+select b.budget_key, c.k as cost_pool_group_calc_key
+from (select max(o_orderkey) as k from {orders} where month(o_orderdate) % 6 = 0
+      group by cast(1 + o_custkey % 2 as bigint), cast(year(o_orderdate) * 100 + month(o_orderdate) as bigint)) c
+join (values (2), (4)) b(budget_key) on c.k % 2 = 0 or b.budget_key = 2""")
+
+_bind("cost_pool_calc", ["cost_pool_group_calc", "cost_pool"], """
+select c.cost_pool_group_calc_key * 100 + p.cost_pool_key as cost_pool_calc_key,
+       c.cost_pool_group_calc_key, p.cost_pool_key,
+       cast((p.cost_pool_key + 1) * 0.125 as decimal(18,6)) as rate
+from {cost_pool_group_calc} c join {cost_pool} p on p.cost_pool_group_key = c.cost_pool_group_key
+where (c.cost_pool_group_calc_key + p.cost_pool_key) % 7 <> 0""")
+
+# YTD amounts grow with the period number; pool 7 has a zero base (rate guard).
+_bind("cost_pool_source_calc", ["cost_pool_calc", "cost_pool_group_calc"], """
+select x.cost_pool_calc_key,
+       cast((c.post_fiscal_month_key % 100) * (100 + x.cost_pool_key) + s * 10 + x.cost_pool_group_calc_key % 13
+            as decimal(18,2)) as amount
+from {cost_pool_calc} x
+join {cost_pool_group_calc} c on c.cost_pool_group_calc_key = x.cost_pool_group_calc_key
+join (values (1), (2)) t(s) on true""")
+
+_bind("cost_pool_basis_calc", ["cost_pool_calc", "cost_pool_group_calc"], """
+select x.cost_pool_calc_key,
+       case when x.cost_pool_key = 7 then cast(0 as decimal(18,2))
+            else cast((c.post_fiscal_month_key % 100) * (1000 + 3 * x.cost_pool_key) + x.cost_pool_group_calc_key % 17
+                      as decimal(18,2)) end as amount
+from {cost_pool_calc} x
+join {cost_pool_group_calc} c on c.cost_pool_group_calc_key = x.cost_pool_group_calc_key""")
+
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
