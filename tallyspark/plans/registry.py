@@ -27,6 +27,7 @@ def register(name: str, build: Callable, oracle: str | None) -> None:
 def _load_all() -> None:
     # importing the modules registers their queries
     from . import (  # noqa: F401
+        accrual_queries,
         balance_queries,
         dim_queries,
         ledger_queries,

@@ -257,14 +257,36 @@ select user_id as person_key, concat('First', cast(user_id as string)) as first_
        cast(1 + user_id % 3 as bigint) as currency_code_key,
        cast(2000 + user_id % 25 as bigint) as customer_key,
        cast(1 + user_id % 2 as bigint) as business_week_key,
-       case when user_id % 9 = 0 then 'N' else 'Y' end as active
+       case when user_id % 9 = 0 then 'N' else 'Y' end as active,
+       make_date(2015 + user_id % 8, 1 + user_id % 12, 1) as hire_date,
+       concat('user', cast(user_id as string), '@example.com') as email
 from (select distinct user_id from {events}) u""")
 
 _bind("project", ["customer"], """
 select c_custkey % 10 as project_key, concat('P', cast(c_custkey % 10 as string)) as project_code,
        concat('Project ', cast(c_custkey % 10 as string)) as title,
        cast(10000 + c_custkey % 10 as bigint) as customer_key,
-       cast(2000 + c_custkey % 10 as bigint) as owning_customer_key
+       cast(2000 + c_custkey % 10 as bigint) as owning_customer_key,
+       cast(1 + c_custkey % 3 as bigint) as project_type_key,
+       cast(1 + c_custkey % 3 as bigint) as billing_type_key,
+       cast(1 + c_custkey % 4 as bigint) as project_status_key,
+       cast(c_custkey % 4 as bigint) as contract_key,
+       cast(1 + c_custkey % 2 as bigint) as cost_struct_key,
+       cast(1 + c_custkey % 3 as bigint) as project_currency,
+       cast(1 + c_custkey % 2 as bigint) as project_billing_currency,
+       cast(1 + c_custkey % 3 as bigint) as location_key,
+       cast(1 + c_custkey % 2 as bigint) as posting_group_key,
+       cast(1 + c_custkey % 2 as bigint) as pay_code_key,
+       cast(1000 * (1 + c_custkey) as decimal(18,2)) as total_value,
+       cast(900 * (1 + c_custkey) as decimal(18,2)) as orig_total_value,
+       case when c_custkey % 3 = 0 then cast(null as decimal(18,2)) else cast(800 * (1 + c_custkey) as decimal(18,2)) end
+         as funded_value,
+       cast(750 * (1 + c_custkey) as decimal(18,2)) as orig_funded_value,
+       make_date(2023, 1 + c_custkey, 1) as orig_start_date,
+       case when c_custkey % 2 = 0 then make_date(2024, 12, 31) end as orig_end_date,
+       make_date(2024, 1 + c_custkey, 28) as rev_end_date,
+       concat('Purpose ', cast(c_custkey as string)) as purpose,
+       case when c_custkey % 2 = 0 then 'Y' else 'N' end as assignment_flag
 from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 
 # --- access grants ------------------------------------------------------------
@@ -272,14 +294,15 @@ from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 # legal entity; 5 no grants; 3896 org- and legal-entity-scoped.
 _bind("member", [], f"""
 select person_key, role_key
-from {_values([(1, 1), (3896, 5), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key', 'role_key'])}""")
+from {_values([(1, 1), (3896, 5), (3896, 10), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key', 'role_key'])}""")
 
 _bind("org_access_person", [], f"""
 select org_access_person_key, person_key, role_key, access_type, global_access
 from {_values([(10, 2, 33, 2, 'Y'), (11, 3, 33, 2, 'N'), (12, 4, 33, 2, 'N'),
                (13, 3896, 33, 2, 'N'), (14, 3896, 33, 1, 'N'), (15, 5, 20, 2, 'N'),
                (16, 3896, 27, 2, 'N'), (17, 3896, 56, 6, 'N'), (18, 3896, 56, 3, 'N'),
-               (19, 2, 28, 2, 'Y'), (20, 4, 56, 2, 'Y'), (21, 4, 56, 6, 'Y')],
+               (19, 2, 28, 2, 'Y'), (20, 4, 56, 2, 'Y'), (21, 4, 56, 6, 'Y'),
+               (30, 9, 7, 0, 'N'), (31, 3896, 2, 0, 'N')],
               ['org_access_person_key', 'person_key', 'role_key', 'access_type', 'global_access'])}""")
 
 _bind("access_customer_view", ["supplier", "nation"], """
@@ -319,7 +342,7 @@ select o_orderkey as fin_document_key,
        case when o_orderkey % 9 = 0 then cast(null as bigint) else cast(1 + o_orderkey % 3 as bigint) end as local_currency,
        cast(o_orderdate as date) + cast(o_orderkey % 20 as int) as post_date,
        case when o_orderstatus = 'P' then cast(null as bigint) else (o_custkey + 7) % 15 end as posted_by,
-       case when o_orderstatus = 'P' then cast(null as timestamp) else o_orderdate + interval 2 day end
+       case when o_orderstatus = 'P' then null else o_orderdate + interval 2 day end
          as posted_timestamp,
        concat('REF', cast(o_orderkey % 1000 as string)) as reference,
        case o_orderstatus when 'F' then 'Posted' when 'O' then 'Open' else 'Pending' end as status,
@@ -464,6 +487,133 @@ from {cost_pool_calc} x
 join {cost_pool_group_calc} c on c.cost_pool_group_calc_key = x.cost_pool_group_calc_key""")
 
 
+# --- time, accruals, approvals (from events: 2024-01-01 .. 2024-01-30) -------
+WEEK_OF_TS = ("case when day(ts) <= 7 then 0 when day(ts) <= 14 then 1 when day(ts) <= 21 then 2 "
+              "when day(ts) <= 28 then 3 else 4 end")
+TASK_OF_EVENT = ("case event_type when 'signup' then 1 when 'view' then 2 when 'click' then 3 "
+                 "when 'purchase' then 4 else 5 end")
+
+_bind("accrual_plan", [], f"""
+select accrual_plan_key, accrual_plan, description, period_type, cast(begin_date as date) as begin_date,
+       carryover_ind, active, rate_method
+from {_values([(1, 'PTO', 'Paid time off', 'W', '2024-01-01', 'Y', 'Y', 'H'),
+               (2, 'SICK', 'Sick leave', 'W', '2024-01-01', 'N', 'Y', 'H'),
+               (3, 'FLOAT', 'Floating holiday', 'W', '2023-01-01', 'N', 'N', 'F')],
+              ['accrual_plan_key', 'accrual_plan', 'description', 'period_type', 'begin_date', 'carryover_ind',
+               'active', 'rate_method'])}""")
+
+_bind("accrual_period", [], f"""
+select plan * 10 + k as accrual_period_key, plan as accrual_plan_key,
+       cast(make_date(2024, 1, 1 + 7 * k) as date) as begin_date,
+       case when k = 4 then make_date(2024, 1, 31) else make_date(2024, 1, 7 + 7 * k) end as end_date
+from {_values([(p, k) for p in (1, 2, 3) for k in range(5)], ['plan', 'k'])}""")
+
+_bind("person_accrual_plan", ["events"], """
+select user_id * 10 + 1 + user_id % 2 as person_accrual_plan_key, cast(1 + user_id % 2 as bigint) as accrual_plan_key,
+       user_id as person_key, user_id % 10 as project_key,
+       case when user_id % 4 = 0 then cast(null as bigint) else cast(1 + user_id % 5 as bigint) end as task_key,
+       make_date(2024, 1, 1) as begin_date,
+       case when user_id % 5 = 0 then make_date(2024, 1, 20) else make_date(2024, 1, 31) end as end_date,
+       case when user_id % 7 = 0 then make_date(2024, 1, 10) end as loa_start_date,
+       case when user_id % 7 = 0 then make_date(2024, 1, 12) end as loa_end_date
+from (select distinct user_id from {events}) u
+union all
+select user_id * 10 + 3, cast(3 as bigint), user_id, user_id % 10, cast(null as bigint),
+       make_date(2024, 1, 8), make_date(2024, 1, 31), cast(null as date), cast(null as date)
+from (select distinct user_id from {events}) u where user_id % 2 = 0""")
+
+_bind("person_accrual", ["events"], f"""
+select user_id * 10 + 1 + user_id % 2 as person_accrual_plan_key,
+       (1 + user_id % 2) * 10 + {WEEK_OF_TS} as accrual_period_key,
+       user_id as person_key, event_id % 15 as posted_by_key,
+       cast((event_id % 80) * 0.25 as decimal(18,6)) as accrued_hours,
+       case when event_type = 'error' then null else ts end as posted_timestamp,
+       case event_type when 'signup' then 'I' when 'view' then 'A' when 'click' then 'P'
+                       when 'purchase' then 'U' else 'C' end as source_ind
+from {{events}}""")
+
+_bind("person_rate", ["events"], """
+select user_id as person_key, make_date(2023, 6, 1) as begin_date, make_date(2024, 1, 14) as end_date,
+       cast(20 + user_id % 7 as decimal(18,6)) as cost_rate
+from (select distinct user_id from {events}) u where user_id % 6 <> 5
+union all
+select user_id, make_date(2024, 1, 15), make_date(2024, 12, 31), cast(25 + user_id % 5 as decimal(18,6))
+from (select distinct user_id from {events}) u where user_id % 6 <> 5
+union all
+select user_id, make_date(2024, 1, 10), make_date(2024, 1, 12), cast(31 + user_id % 3 as decimal(18,6))
+from (select distinct user_id from {events}) u where user_id % 8 = 1""")
+
+_bind("business_week", [], f"""
+select business_week_key, cast(hours as decimal(18,6)) as hours
+from {_values([(1, '40.0'), (2, '37.5')], ['business_week_key', 'hours'])}""")
+
+_bind("task", [], f"""
+select task_key, task_name, task_number, billing_type_key, project_type_key,
+       cast(completed as date) as completed, cast(rev_end_date as date) as rev_end_date
+from {_values([(1, 'Onboarding', 'T1', 1, 1, None, '2024-03-31'), (2, 'Research', 'T2', None, 1, None, None),
+               (3, 'Design', 'T3', 2, 2, '2024-01-15', None), (4, 'Delivery', 'T4', 3, 3, None, '2024-06-30'),
+               (5, 'Support', 'T5', None, None, None, None)],
+              ['task_key', 'task_name', 'task_number', 'billing_type_key', 'project_type_key', 'completed',
+               'rev_end_date'])}""")
+
+_bind("project_type", [], f"""
+select project_type_key, billable, project_type
+from {_values([(1, 'Y', 'Billable'), (2, 'N', 'Overhead'), (3, 'Y', 'Fixed Fee')],
+              ['project_type_key', 'billable', 'project_type'])}""")
+
+_bind("person_time", ["events"], f"""
+select distinct user_id * 10 + {WEEK_OF_TS} as person_time_key, user_id as person_key,
+       case when user_id % 3 = 0 then 'A' else 'S' end as status,
+       case when user_id % 5 = 0 then 'P' else 'N' end as adjustment_status
+from {{events}}""")
+
+_bind("person_time_data", ["events"], f"""
+select event_id as time_data_key, user_id * 10 + {WEEK_OF_TS} as person_time_key,
+       user_id % 10 as project_key, cast(1 + (user_id + event_id) % 3 as bigint) as project_type_key,
+       cast({TASK_OF_EVENT} as bigint) as task_key, cast(ts as date) as work_date,
+       cast((event_id % 9) * 0.5 as decimal(18,6)) as quantity,
+       case when event_type = 'error' then cast(null as bigint) else event_id % 50 end as post_history_key,
+       event_id % 50 as cost_post_history_key,
+       cast(1 + event_id % 4 as bigint) as labor_category_key,
+       cast(event_id % 7 as bigint) as cost_struct_labor_key,
+       case when event_id % 3 = 0 then event_id % 40 end as invoice_key,
+       case when event_id % 11 = 0 then event_id end as vendor_invoice_key,
+       cast((event_id % 9) * 0.5 * 42.5 as decimal(18,2)) as cost_amount,
+       cast(1 + event_id % 3 as bigint) as cost_currency,
+       cast((event_id % 9) * 0.5 * 95 as decimal(18,2)) as bill_amount,
+       cast(1 + event_id % 3 as bigint) as bill_currency,
+       cast(42.5 as decimal(18,6)) as eff_cost_rate, cast(95 as decimal(18,6)) as eff_bill_rate,
+       cast((event_id % 9) * 0.5 * 40 as decimal(18,2)) as ic_cost_amount, cast(1 as bigint) as ic_cost_currency,
+       cast(event_id % 3 as decimal(18,2)) as additional_pay, cast(event_id % 2 as int) as adjusted_number,
+       case when event_id % 4 = 0 then cast(null as string) else concat('note ', event_type) end as comments,
+       cast(ts as date) + 3 as post_date
+from {{events}}""")
+
+_bind("post_history", [], f"""
+select post_history_key, cast(posted_by_key as bigint) as posted_by_key,
+       cast(journal_trans_date as date) as journal_trans_date, cast(post_timestamp as timestamp) as post_timestamp
+from {_values([(k, k % 15, f'2024-02-{1 + k % 28:02d}', f'2024-02-{1 + k % 28:02d} {k % 24:02d}:15:00') for k in range(50)],
+              ['post_history_key', 'posted_by_key', 'journal_trans_date', 'post_timestamp'])}""")
+
+_bind("approval_chain", [], f"""
+select chain_key, person_key
+from {_values([(1, 3896), (2, 7), (3, 8)], ['chain_key', 'person_key'])}""")
+
+_bind("approval_group_submitter", ["events"], """
+select cast(1 + user_id % 3 as bigint) as chain_key, user_id as person_key, cast(1 + user_id % 4 as int) as approval_type
+from (select distinct user_id from {events}) u""")
+
+_bind("alternate", [], f"""
+select alternate_key, person_key, role_key
+from {_values([(3896, 7, 2), (3896, 9, 7), (12, 8, 2)], ['alternate_key', 'person_key', 'role_key'])}""")
+
+_bind("org_access_hierarchy", ["nation"], """
+select cast(2000 + n_nationkey as bigint) as customer_key, cast(31 as bigint) as org_access_person_key
+from {nation} where n_nationkey % 4 = 2
+union all
+select cast(2000 + n_nationkey as bigint), cast(30 as bigint) from {nation} where n_nationkey % 4 = 3""")
+
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
