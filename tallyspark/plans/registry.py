@@ -33,6 +33,7 @@ def _load_all() -> None:
         ledger_queries,
         payables_queries,
         pool_queries,
+        posting_queries,
         report_queries,
     )
 

@@ -286,7 +286,8 @@ select c_custkey % 10 as project_key, concat('P', cast(c_custkey % 10 as string)
        case when c_custkey % 2 = 0 then make_date(2024, 12, 31) end as orig_end_date,
        make_date(2024, 1 + c_custkey, 28) as rev_end_date,
        concat('Purpose ', cast(c_custkey as string)) as purpose,
-       case when c_custkey % 2 = 0 then 'Y' else 'N' end as assignment_flag
+       case when c_custkey % 2 = 0 then 'Y' else 'N' end as assignment_flag,
+       cast(c_custkey % 7 as bigint) as ic_cost_struct_labor_key
 from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 
 # --- access grants ------------------------------------------------------------
@@ -294,7 +295,7 @@ from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 # legal entity; 5 no grants; 3896 org- and legal-entity-scoped.
 _bind("member", [], f"""
 select person_key, role_key
-from {_values([(1, 1), (3896, 5), (3896, 10), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key', 'role_key'])}""")
+from {_values([(1, 1), (3896, 5), (3896, 10), (3896, 16), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key', 'role_key'])}""")
 
 _bind("org_access_person", [], f"""
 select org_access_person_key, person_key, role_key, access_type, global_access
@@ -302,7 +303,9 @@ from {_values([(10, 2, 33, 2, 'Y'), (11, 3, 33, 2, 'N'), (12, 4, 33, 2, 'N'),
                (13, 3896, 33, 2, 'N'), (14, 3896, 33, 1, 'N'), (15, 5, 20, 2, 'N'),
                (16, 3896, 27, 2, 'N'), (17, 3896, 56, 6, 'N'), (18, 3896, 56, 3, 'N'),
                (19, 2, 28, 2, 'Y'), (20, 4, 56, 2, 'Y'), (21, 4, 56, 6, 'Y'),
-               (30, 9, 7, 0, 'N'), (31, 3896, 2, 0, 'N')],
+               (30, 9, 7, 0, 'N'), (31, 3896, 2, 0, 'N'),
+               (32, 3896, 14, 1, 'N'), (33, 3896, 14, 4, 'Y'), (34, 3896, 3, 1, 'Y'), (35, 3896, 3, 4, 'N'),
+               (36, 3896, 19, 1, 'Y'), (37, 3896, 19, 4, 'Y')],
               ['org_access_person_key', 'person_key', 'role_key', 'access_type', 'global_access'])}""")
 
 _bind("access_customer_view", ["supplier", "nation"], """
@@ -607,11 +610,152 @@ _bind("alternate", [], f"""
 select alternate_key, person_key, role_key
 from {_values([(3896, 7, 2), (3896, 9, 7), (12, 8, 2)], ['alternate_key', 'person_key', 'role_key'])}""")
 
-_bind("org_access_hierarchy", ["nation"], """
+_bind("org_access_hierarchy", ["nation", "supplier"], """
 select cast(2000 + n_nationkey as bigint) as customer_key, cast(31 as bigint) as org_access_person_key
 from {nation} where n_nationkey % 4 = 2
 union all
-select cast(2000 + n_nationkey as bigint), cast(30 as bigint) from {nation} where n_nationkey % 4 = 3""")
+select cast(2000 + n_nationkey as bigint), cast(30 as bigint) from {nation} where n_nationkey % 4 = 3
+union all
+select cast(2000 + n_nationkey as bigint), cast(35 as bigint) from {nation} where n_nationkey % 2 = 0
+union all
+select cast(10000 + s_suppkey as bigint), cast(32 as bigint) from {supplier} where s_suppkey % 3 = 0""")
+
+
+# --- project postings (journals from events; small lookups by rule) ----------
+def _journal(key: str, src_filter: str = "true") -> str:
+    """Two journal rows per event (a posting category and, for even ids, cost)."""
+    return f"""
+select event_id % 40 as account_key, event_id as {key},
+       cast((event_id % 50) * 1.5 + 10 as decimal(18,2)) as amount,
+       case event_id % 7 when 0 then 5 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 9
+                         when 5 then 5 else 1 end as category,
+       cast(ts as date) + cast(event_id % 20 as int) as journal_trans_date
+from {{events}} where {src_filter}
+union all
+select event_id % 40, event_id, cast((event_id % 30) * 2.25 as decimal(18,2)),
+       case when event_id % 2 = 0 then 6 else 3 end, cast(ts as date) + cast(event_id % 9 as int)
+from {{events}} where {src_filter}"""
+
+
+_bind("journal_time", ["events"], _journal("time_data_key"))
+_bind("journal_cost_plus_detail", ["events"], _journal("cost_plus_post_detail_key", "event_id % 3 = 0"))
+
+_bind("invcd_time", ["events"], """
+select event_id % 40 as invoice_key, event_id as time_data_key,
+       cast((event_id % 4) * 0.5 as decimal(18,6)) as writeoff_quantity
+from {events} where event_id % 5 = 0""")
+
+_bind("invoice", [], f"""
+select invoice_key, voided_invoice_key, cast(completed_date as date) as completed_date,
+       cast(invoice_date as date) as invoice_date, invoice_number
+from {_values([(k, k - 1 if k % 7 == 3 else None, None if k % 5 == 4 else f'2024-02-{1 + k % 28:02d}',
+                f'2024-01-{1 + k % 28:02d}', f'INV{k:05d}') for k in range(40)],
+              ['invoice_key', 'voided_invoice_key', 'completed_date', 'invoice_date', 'invoice_number'])}""")
+
+_bind("cost_plus_post_detail", ["events"], """
+select event_id as cost_plus_post_detail_key, event_id as time_data_key,
+       case when event_id % 4 = 0 then cast(null as bigint) else cast(1 + event_id % 3 as bigint) end as cost_element_key,
+       cast(1 + event_id % 3 as bigint) as fee_method_key,
+       event_id % 40 as invoice_key, event_id % 50 as post_history_key
+from {events} where event_id % 3 = 0""")
+
+_bind("cost_struct", [], f"""
+select cost_struct_key, cost_structure
+from {_values([(1, 'CS-Standard'), (2, 'CS-Government')], ['cost_struct_key', 'cost_structure'])}""")
+
+_bind("cost_element", [], f"""
+select cost_element_key, code, description, cost_element_type
+from {_values([(1, 'LAB', 'Direct labor', 'L'), (2, 'ODC', 'Other direct cost', 'O'),
+               (3, 'OH', 'Overhead', 'P'), (4, 'FEE', 'Fee', 'Fee')],
+              ['cost_element_key', 'code', 'description', 'cost_element_type'])}""")
+
+_bind("cost_struct_labor", [], f"""
+select cost_struct_labor_key, cost_struct_key, cost_element_key
+from {_values([(k, 1 + k % 2, 1 + k % 4) for k in range(7)],
+              ['cost_struct_labor_key', 'cost_struct_key', 'cost_element_key'])}""")
+
+_bind("cost_struct_odc", [], f"""
+select cost_struct_odc_key, cost_struct_key, cost_element_key
+from {_values([(k, 2 - k % 2, 1 + (k + 1) % 4) for k in range(5)],
+              ['cost_struct_odc_key', 'cost_struct_key', 'cost_element_key'])}""")
+
+_bind("fee_method", [], f"""
+select fee_method_key, fee_method
+from {_values([(1, 'Fixed Fee'), (2, 'Award Fee'), (3, 'Base Fee')], ['fee_method_key', 'fee_method'])}""")
+
+_bind("labor_category", [], f"""
+select labor_category_key, labor_category, description, account_number
+from {_values([(1, 'ENG1', 'Engineer I', '5001'), (2, 'ENG2', 'Engineer II', '5002'),
+               (3, 'PM', 'Project Manager', '5003'), (4, 'ADM', 'Administrator', None)],
+              ['labor_category_key', 'labor_category', 'description', 'account_number'])}""")
+
+_bind("billing_type", [], f"""
+select billing_type_key, code
+from {_values([(1, 'TM'), (2, 'FP'), (3, 'CP'), (4, 'NB')], ['billing_type_key', 'code'])}""")
+
+_bind("project_status", [], f"""
+select project_status_key, status
+from {_values([(1, 'Open'), (2, 'Closed'), (3, 'On Hold - Open'), (4, 'Pending')], ['project_status_key', 'status'])}""")
+
+_bind("project_controller", ["events"], """
+select user_id % 10 as project_key, user_id as person_key,
+       case user_id % 6 when 0 then 3 when 1 then 12 when 2 then 14 when 3 then 17 when 4 then 13 else 20 end
+         as role_key,
+       case when user_id % 4 < 2 then 'Y' else 'N' end as primary_ind
+from (select distinct user_id from {events}) u
+union all
+select project_key, cast(3896 as bigint), role_key, primary_ind
+from (values (2, 3, 'Y'), (5, 12, 'N'), (7, 20, 'Y')) v(project_key, role_key, primary_ind)""")
+
+_bind("project_open_access_view", ["project"], """
+select project_key,
+       case when project_key % 3 = 0 then 'Y' else 'N' end as billing_manager_open,
+       case when project_key % 4 = 1 then 'Y' else 'N' end as billing_viewer_open,
+       'N' as project_document_viewer_open,
+       case when project_key % 2 = 0 then 'Y' else 'N' end as project_manager_open,
+       'N' as project_po_viewer_open, 'N' as project_pr_viewer_open,
+       case when project_key % 3 = 1 then 'Y' else 'N' end as project_viewer_open,
+       'N' as resource_assigner_open,
+       case when project_key % 5 = 3 then 'Y' else 'N' end as resource_planner_open,
+       'N' as resource_requestor_open
+from {project} where project_key <> 9""")
+
+_bind("project_fee", ["project"], """
+select project_key, cast(1 + project_key % 3 as bigint) as fee_method_key, cast(0.1 as decimal(18,6)) as fee_factor,
+       'P' as fee_factor_type, cast(100 * project_key as decimal(18,2)) as fixed_fee_amount
+from {project}
+union all
+select project_key, cast(1 + (project_key + 1) % 3 as bigint), cast(0.05 as decimal(18,6)), 'F',
+       cast(50 * project_key as decimal(18,2))
+from {project} where project_key % 2 = 0
+union all
+select project_key, cast(1 + project_key % 3 as bigint), cast(0.02 as decimal(18,6)), 'F', cast(7 as decimal(18,2))
+from {project} where project_key % 5 = 0""")
+
+_bind("project_intercompany", ["project"], """
+select project_key, cast(2000 + (project_key * 3) % 25 as bigint) as ic_org from {project} where project_key % 3 <> 2
+union all
+select project_key, cast(2000 + (project_key * 7) % 25 as bigint) from {project} where project_key % 3 = 0
+union all
+select project_key, cast(99999 as bigint) from {project} where project_key = 4""")
+
+_bind("contract", [], f"""
+select contract_key, prime_contract_key, contract_code, contract_title
+from {_values([(0, None, 'C-000', 'Master services'), (1, 0, 'C-001', 'Task order 1'),
+               (2, 0, 'C-002', 'Task order 2'), (3, 9, 'C-003', 'Orphan order')],
+              ['contract_key', 'prime_contract_key', 'contract_code', 'contract_title'])}""")
+
+_bind("location", [], f"""
+select location_key, location_name
+from {_values([(1, 'HQ'), (2, 'Field'), (3, 'Remote')], ['location_key', 'location_name'])}""")
+
+_bind("pay_code", [], f"""
+select pay_code_key, pay_code
+from {_values([(1, 'REG'), (2, 'OT')], ['pay_code_key', 'pay_code'])}""")
+
+_bind("posting_group", [], f"""
+select posting_group_key, posting_group_name
+from {_values([(1, 'Domestic'), (2, 'International')], ['posting_group_key', 'posting_group_name'])}""")
 
 
 DRIVER_TABLES = (
