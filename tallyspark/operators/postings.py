@@ -237,9 +237,104 @@ def source_timesheet_cost_plus(lg) -> DataFrame:
     }))
 
 
+# ------------------------------------------------------------- D49.11 - D49.15
+def _project_charge(lg, table: str, key: str, journal: str, ttype: str, revenue_cat: int, trans_date: Column,
+                    comments, amount: str, posted: Column, with_task: bool, write_off: bool,
+                    element=None, structure: bool = False, joins=()) -> DataFrame:
+    """Shared shape of the project-level charge sources: charge row, project, optional task,
+    extra inner lookups, and its own journal pivot (revenue category varies by source)."""
+    jv = journal_pivot(lg.table(journal), key, revenue_cat=revenue_cat, cost_cat=None,
+                       extra=(F.max("journal_trans_date").alias("_last_journal_date"),))
+    p = lg.project.select("project_key", F.col("project_type_key").alias("_p_ptype"), F.col("cost_struct_key"),
+                          F.col("project_currency"), F.col("project_billing_currency"),
+                          F.col("completed_date").alias("_p_completed"), F.col("rev_end_date").alias("_p_rev_end"))
+    df = lg.table(table).join(p, "project_key")
+    if with_task:
+        t = lg.task.select("task_key", F.col("project_type_key").alias("_t_ptype"),
+                           F.col("completed").alias("_t_completed"), F.col("rev_end_date").alias("_t_rev_end"))
+        df = df.join(t, "task_key", "left")
+    for frame, on in joins:
+        df = df.join(frame, on)
+    if structure:
+        df = df.join(lg.cost_struct, "cost_struct_key", "left")
+    df = df.join(jv, key, "left")
+    ptype = F.coalesce(F.col("_t_ptype"), F.col("_p_ptype")) if with_task else F.col("_p_ptype")
+    cols = {
+        "transaction_data_key": F.col(key), "project_key": F.col("project_key"),
+        "task_key": F.col("task_key") if with_task else None, "cust_invoice_key": F.col("invoice_key"),
+        "trans_project_type_key": ptype, "trans_date": trans_date, "transaction_type": F.lit(ttype),
+        "comments_description": comments,
+        "post_date_unbilled": F.col("post_date_unbilled"), "post_date_billed": F.col("post_date_billed"),
+        "post_date_deferred_rev": F.col("post_date_deferred_rev"),
+        "post_date_recognized_rev": F.col("post_date_recognized_rev"),
+        "bill_amount": F.col(amount), "billable_amount": F.col(amount),
+        "postings_unbilled": F.col("unbilled"), "postings_billed": F.col("billed"),
+        "postings_deferred": F.col("deferred"), "postings_revenue": F.col("revenue"),
+        "postings_writeoff": F.col("write_off") if write_off else None,
+        "cost_element": element, "cost_element_desc": element, "cost_element_type": element,
+        "cost_structure": F.col("cost_structure") if structure else None,
+        "posted_indicator": posted, "account_key": F.col("account_key"),
+        "cost_currency": F.col("project_currency"), "bill_currency": F.col("project_billing_currency"),
+    }
+    return df.select(*conform({k: v for k, v in cols.items() if v is not None}))
+
+
+def source_fixed_price(lg) -> DataFrame:
+    """D49.11: fixed-price items; dated by the WBS end (task, then project) when flagged."""
+    wbs_end = F.coalesce(F.col("_t_completed"), F.col("_t_rev_end"), F.col("_p_completed"), F.col("_p_rev_end"))
+    return _project_charge(
+        lg, "fixed_price", "fixed_price_key", "journal_fixed_price", "Fixed Price Items", CAT_REVENUE,
+        F.when(F.col("use_wbs_end_date") == "Y", wbs_end).otherwise(F.col("bill_date")), F.col("description"),
+        "amount", _posted_indicator("post_history_key", "billable_post_history_key"), True, True)
+
+
+def source_prebilled_labor(lg) -> DataFrame:
+    """D49.12: pre-billed labor items (no task, no write-off)."""
+    return _project_charge(
+        lg, "prebilled_labor", "prebilled_labor_key", "journal_prebilled_labor", "Pre-billed Labor Items",
+        CAT_REVENUE, F.col("bill_date"), F.col("description"), "amount", _posted_indicator("post_history_key"),
+        False, False)
+
+
+def source_funding_cap(lg) -> DataFrame:
+    """D49.13: funding-cap adjustments, revenue in category 10, dated by their posting."""
+    ph = lg.post_history.select("post_history_key", F.col("journal_trans_date").alias("_ph_date"))
+    label = F.lit("Funding Cap Adjustment")
+    return _project_charge(
+        lg, "funding_cap_adjustment", "funding_cap_adjustment_key", "journal_funding_cap_adjustment",
+        "Funding Cap Adjustments", CAT_FUNDING_CAP, F.col("_ph_date"), None, "bill_amount",
+        _posted_indicator("post_history_key"), True, True, element=label, structure=True,
+        joins=[(ph, "post_history_key")])
+
+
+def source_fee_cap(lg) -> DataFrame:
+    """D49.14: fee-cap adjustments, revenue in category 25, labelled by fee method."""
+    ph = lg.post_history.select("post_history_key", F.col("journal_trans_date").alias("_ph_date"))
+    fm = lg.fee_method.select("fee_method_key", "fee_method")
+    return _project_charge(
+        lg, "fee_cap_adjustment", "fee_cap_adjustment_key", "journal_fee_cap_adjustment", "Fee Cap Adjustments",
+        CAT_FEE_CAP, F.col("_ph_date"), F.col("fee_method"), "bill_amount", _posted_indicator("post_history_key"),
+        False, True, element=F.col("fee_method"), joins=[(ph, "post_history_key"), (fm, "fee_method_key")])
+
+
+def source_onetime_charge(lg) -> DataFrame:
+    """D49.15: one-time charges, dated by their invoice; posted when any journal row exists."""
+    inv = lg.invoice.select("invoice_key", F.col("invoice_date").alias("_inv_date"))
+    return _project_charge(
+        lg, "onetime_charge", "onetime_charge_key", "journal_onetime_charge", "Additional Items", CAT_REVENUE,
+        F.col("_inv_date"), F.col("description"), "amount",
+        F.when(F.col("_last_journal_date").isNotNull(), "Y").otherwise("N"), True, False,
+        joins=[(inv, "invoice_key")])
+
+
 SOURCES = {
     "timesheet_labor": source_timesheet_labor,
     "timesheet_cost_plus": source_timesheet_cost_plus,
+    "fixed_price": source_fixed_price,
+    "prebilled_labor": source_prebilled_labor,
+    "funding_cap": source_funding_cap,
+    "fee_cap": source_fee_cap,
+    "onetime_charge": source_onetime_charge,
 }
 
 

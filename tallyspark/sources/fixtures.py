@@ -287,7 +287,8 @@ select c_custkey % 10 as project_key, concat('P', cast(c_custkey % 10 as string)
        make_date(2024, 1 + c_custkey, 28) as rev_end_date,
        concat('Purpose ', cast(c_custkey as string)) as purpose,
        case when c_custkey % 2 = 0 then 'Y' else 'N' end as assignment_flag,
-       cast(c_custkey % 7 as bigint) as ic_cost_struct_labor_key
+       cast(c_custkey % 7 as bigint) as ic_cost_struct_labor_key,
+       case when c_custkey % 3 = 0 then make_date(2024, 1, 25) end as completed_date
 from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 
 # --- access grants ------------------------------------------------------------
@@ -758,6 +759,63 @@ select posting_group_key, posting_group_name
 from {_values([(1, 'Domestic'), (2, 'International')], ['posting_group_key', 'posting_group_name'])}""")
 
 
+# --- project-level charges (from orders, dated January 2024) ------------------
+def _order_journal(key: str, src_filter: str, revenue_cat: int) -> str:
+    return f"""
+select o_orderkey % 40 as account_key, o_orderkey as {key},
+       cast(cast(o_totalprice as decimal(18,2)) * cast(0.1 as decimal(4,2)) as decimal(18,2)) as amount,
+       case o_orderkey % 5 when 0 then 5 when 1 then 1 when 2 then 2 when 3 then {revenue_cat} else 9 end as category,
+       make_date(2024, 1, cast(1 + o_orderkey % 28 as int)) as journal_trans_date
+from {{orders}} where {src_filter}
+union all
+select o_orderkey % 40, o_orderkey, cast(o_orderkey % 97 as decimal(18,2)), {revenue_cat},
+       make_date(2024, 2, cast(1 + o_orderkey % 27 as int))
+from {{orders}} where {src_filter} and o_orderkey % 3 = 0"""
+
+
+_CHARGE_COMMON = """o_orderkey % 10 as project_key, o_orderkey % 40 as invoice_key,
+       case when o_orderkey % 9 = 0 then cast(null as bigint) else o_orderkey % 50 end as post_history_key"""
+
+_bind("fixed_price", ["orders"], f"""
+select o_orderkey as fixed_price_key, {_CHARGE_COMMON},
+       case when o_orderkey % 7 = 0 then cast(null as bigint) else cast(1 + o_orderkey % 5 as bigint) end as task_key,
+       case when o_orderkey % 11 = 0 then o_orderkey % 50 end as billable_post_history_key,
+       cast(o_totalprice as decimal(18,2)) as amount, make_date(2024, 1, cast(1 + o_orderkey % 28 as int)) as bill_date,
+       concat('Milestone ', o_orderpriority) as description,
+       case when o_orderkey % 3 = 0 then 'Y' else 'N' end as use_wbs_end_date
+from {{orders}} where o_orderkey % 4 = 0""")
+_bind("journal_fixed_price", ["orders"], _order_journal("fixed_price_key", "o_orderkey % 4 = 0", 3))
+
+_bind("prebilled_labor", ["orders"], f"""
+select o_orderkey as prebilled_labor_key, {_CHARGE_COMMON},
+       cast(o_totalprice as decimal(18,2)) as amount, make_date(2024, 1, cast(1 + o_orderkey % 27 as int)) as bill_date,
+       concat('Prebill ', o_orderstatus) as description
+from {{orders}} where o_orderkey % 4 = 1""")
+_bind("journal_prebilled_labor", ["orders"], _order_journal("prebilled_labor_key", "o_orderkey % 4 = 1", 3))
+
+_bind("funding_cap_adjustment", ["orders"], f"""
+select o_orderkey as funding_cap_adjustment_key, {_CHARGE_COMMON},
+       case when o_orderkey % 5 = 0 then cast(null as bigint) else cast(1 + o_orderkey % 5 as bigint) end as task_key,
+       cast(-o_totalprice as decimal(18,2)) as bill_amount
+from {{orders}} where o_orderkey % 4 = 2""")
+_bind("journal_funding_cap_adjustment", ["orders"],
+      _order_journal("funding_cap_adjustment_key", "o_orderkey % 4 = 2", 10))
+
+_bind("fee_cap_adjustment", ["orders"], f"""
+select o_orderkey as fee_cap_adjustment_key, {_CHARGE_COMMON},
+       cast(1 + o_orderkey % 4 as bigint) as fee_method_key,
+       cast(o_totalprice * 0 + (o_orderkey % 200) as decimal(18,2)) as bill_amount
+from {{orders}} where o_orderkey % 4 = 3""")
+_bind("journal_fee_cap_adjustment", ["orders"], _order_journal("fee_cap_adjustment_key", "o_orderkey % 4 = 3", 25))
+
+_bind("onetime_charge", ["orders"], """
+select o_orderkey as onetime_charge_key, o_orderkey % 10 as project_key, o_orderkey % 45 as invoice_key,
+       case when o_orderkey % 2 = 0 then cast(null as bigint) else cast(1 + o_orderkey % 5 as bigint) end as task_key,
+       cast(o_orderkey % 300 as decimal(18,2)) as amount, concat('Charge ', o_orderpriority) as description
+from {orders} where o_orderkey % 5 = 0""")
+_bind("journal_onetime_charge", ["orders"], _order_journal("onetime_charge_key", "o_orderkey % 5 = 0 and o_orderkey % 10 <> 5", 3))
+
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
