@@ -220,3 +220,205 @@ def reconcile_integration(lg, header: DataFrame) -> DataFrame:
                     "currency_code", "vendor_invoice_date", "post_date", "doc_status", "posted_date",
                     "voiding_or_voided_doc_number", "current_balance", "vendor_invoice_amount",
                     "integration_key", "integration_value_key", "vendor_invoice_key", "internal_key")
+
+
+# ------------------------------------------------------------------ D37 / D38
+# Line-type labels and PO line-id prefixes.
+LINE_TYPE_LABELS = {"L": "Labor Details", "E": "Expense Details", "I": "Item Details", "TS": "Matched Labor",
+                    "ER": "Matched Expenses", "MIT": "Matched Items", "DFCA": "Funding Cap Adjustment"}
+PO_LINE_PREFIXES = [(("L", "TS"), "L"), (("E", "ER"), "E"), (("I", "MIT"), "I")]
+
+
+def _invoices(lg, key: str, alias: str) -> DataFrame:
+    return lg.invoice.select(F.col("invoice_key").alias(key), F.col("invoice_number").alias(alias))
+
+
+def _line_branch(lg, kind: str) -> DataFrame:
+    """One branch of the line union: labor lines (driven by the project-labor rows) or expense lines."""
+    from ..functions.labels import matching_type
+    fdd = lg.fin_document_detail
+    po = lg.fin_document_detail_po
+    prj = lg.project.select("project_key", F.col("billing_type_key").alias("_p_bt"))
+    t = lg.task.select("task_key", F.col("billing_type_key").alias("_t_bt"))
+    cppd = lg.cost_plus_post_detail
+    if kind == "labor":
+        base = lg.fin_document_det_proj_labor.join(fdd, "fin_document_detail_key")
+        det = lg.fin_document_detail_labor.select("fin_document_detail_key", "cost_struct_labor_key",
+                                                  F.col("invoice_key").alias("_ia"),
+                                                  F.col("manual_invoice_key").alias("_im"))
+        descr = lg.po_labor_line_descriptor.select(F.col("po_labor_line_descriptor_key").alias("_descr_key"),
+                                                   F.col("line_id").alias("_line_id"),
+                                                   F.col("reference").alias("_po_ref"), F.col("po_key").alias("_descr_po"))
+        pol = po.select("fin_document_detail_key", F.col("po_key").alias("_dtl_po"),
+                        F.col("po_labor_line_descriptor_key").alias("_descr_key"))
+        struct = lg.cost_struct_labor.select(F.col("cost_struct_labor_key"), F.col("cost_element_key").alias("_ce"))
+        link = cppd.select(F.col("fin_document_det_labor_key").alias("fin_document_detail_key"),
+                           F.col("cost_element_key").alias("_ce"), F.col("invoice_key").alias("_icp"))
+        lc = lg.labor_category.select("labor_category_key", F.col("account_number").alias("_lc_acct"))
+        df = (base.join(pol, "fin_document_detail_key", "left").join(descr, "_descr_key", "left")
+              .join(det, "fin_document_detail_key", "left").join(lc, "labor_category_key", "left")
+              .join(struct, "cost_struct_labor_key", "left"))
+        elem_key = F.col("cost_struct_labor_key")
+        qty, rate, lab, exp_type = F.col("hours"), F.col("cost_rate"), F.col("labor_category_key"), F.lit(None)
+        acct_number, line_type = F.col("_lc_acct"), "labor"
+    else:
+        base = fdd.filter(F.col("detail_type") == "E")
+        det = lg.fin_document_detail_expense.select("fin_document_detail_key", "cost_struct_odc_key",
+                                                    F.col("invoice_key").alias("_ia"),
+                                                    F.col("manual_invoice_key").alias("_im"))
+        proj = lg.fin_document_det_proj_expense.select("fin_document_detail_key", "expense_type_key", "project_key",
+                                                       "task_key", "project_type_key")
+        descr = lg.po_expense_line_descriptor.select(F.col("po_expense_line_descriptor_key").alias("_descr_key"),
+                                                     F.col("line_id").alias("_line_id"),
+                                                     F.col("reference").alias("_po_ref"),
+                                                     F.col("po_key").alias("_descr_po"))
+        pol = po.select("fin_document_detail_key", F.col("po_key").alias("_dtl_po"),
+                        F.col("po_expense_line_descriptor_key").alias("_descr_key"))
+        struct = lg.cost_struct_odc.select(F.col("cost_struct_odc_key"), F.col("cost_element_key").alias("_ce"))
+        link = cppd.select(F.col("fin_document_det_expense_key").alias("fin_document_detail_key"),
+                           F.col("cost_element_key").alias("_ce"), F.col("invoice_key").alias("_icp"))
+        df = (base.join(det, "fin_document_detail_key", "left").join(proj, "fin_document_detail_key", "left")
+              .join(pol, "fin_document_detail_key", "left").join(descr, "_descr_key", "left")
+              .join(struct, "cost_struct_odc_key", "left"))
+        elem_key = F.col("cost_struct_odc_key")
+        qty, rate, lab, exp_type = F.lit(None), F.lit(None), F.lit(None), F.col("expense_type_key")
+        acct_number, line_type = F.lit(None), "expense"
+    df = (df.join(prj, "project_key", "left").join(t, "task_key", "left")
+          .join(_invoices(lg, "_ia", "_inv_a"), "_ia", "left").join(_invoices(lg, "_im", "_inv_m"), "_im", "left")
+          .join(link, ["fin_document_detail_key", "_ce"], "left")
+          .join(_invoices(lg, "_icp", "_inv_cp"), "_icp", "left"))
+    return df.select(
+        F.col("fin_document_detail_key").alias("dtl_fin_document_detail_key"),
+        F.col("detail_type").alias("dtl_line_type"), F.col("fin_document_key").alias("dtl_fin_document_key"),
+        F.col("account_key").alias("dtl_account_key"), F.col("organization_key").alias("dtl_org_key"),
+        elem_key.cast("bigint").alias("dtl_cost_struct_elem_key"), F.col("debit_amount").alias("dtl_debit"),
+        F.col("credit_amount").alias("dtl_credit"), F.col("description").alias("dtl_description"),
+        F.col("reference").alias("dtl_reference"), exp_type.cast("bigint").alias("dtl_expense_type_key"),
+        qty.cast("decimal(18,6)").alias("dtl_qty"), lab.cast("bigint").alias("dtl_labor_category_key"),
+        rate.cast("decimal(18,6)").alias("dtl_cost_rate"), F.col("person_key").alias("dtl_person_key"),
+        F.col("project_key").alias("dtl_project_key"), F.col("task_key").alias("dtl_task_key"),
+        F.col("project_type_key").alias("dtl_project_type_key"),
+        F.col("transaction_date").alias("dtl_transaction_date"), F.col("_dtl_po").alias("dtl_po_key"),
+        F.col("_descr_key").alias("dtl_po_line_key"), F.col("_line_id").alias("dtl_po_line_id"),
+        acct_number.cast("string").alias("account_number"), F.col("_po_ref").alias("reference"),
+        F.col("_descr_po").cast("int").alias("po_key"), F.lit(line_type).alias("line_type"),
+        matching_type("_t_bt", "_p_bt").alias("matching_type"),
+        F.coalesce(F.col("_inv_cp"), F.col("_inv_a"), F.col("_inv_m")).alias("customer_invoice_number"),
+    )
+
+
+def vendor_invoice_lines(lg) -> DataFrame:
+    """D37 (+D37p, D37m, D37c): labor and expense lines of financial documents with their lookups.
+
+    The reference's outer projection names lookups whose joins are missing
+    from its text; they are rebuilt here by key [inferred]: document,
+    vendor org of the document's vendor invoice, fiscal month of the
+    document's post date, account, org, project (+ its org), task, project
+    type, labor category, expense type, person, and the cost element through
+    the line's labor or ODC cost structure.
+    """
+    from ..functions.labels import zero_pad_right
+    vi = _line_branch(lg, "labor").unionByName(_line_branch(lg, "expense"))
+    cust = lg.customer
+    fd = lg.fin_document.select(F.col("fin_document_key").alias("dtl_fin_document_key"),
+                                F.col("document_number").alias("doc_number"), F.col("status").alias("doc_status"),
+                                "post_date")
+    vorg = (lg.vendor_invoice.select(F.col("fin_document_key").alias("dtl_fin_document_key"), "vendor_org_key")
+            .join(cust.select(F.col("customer_key").alias("vendor_org_key"), F.col("customer_code").alias("vendor_org_code"),
+                              F.col("customer_name").alias("vendor_org_name")), "vendor_org_key"))
+    months = lg.fiscal_month.join(F.broadcast(lg.fiscal_year.select("fiscal_year_key", F.col("name").alias("_fy"))),
+                                  "fiscal_year_key").select("fiscal_month_key", "period_number", "_fy", "begin_date",
+                                                            "end_date")
+    a = lg.account.select(F.col("account_key").alias("dtl_account_key"), F.col("account_code").alias("details_account_code"),
+                          F.col("description").alias("details_account_description"))
+    c = cust.select(F.col("customer_key").alias("dtl_org_key"), F.col("customer_code").alias("details_org_code"),
+                    F.col("customer_name").alias("details_org_name"))
+    p = lg.project.select(F.col("project_key").alias("dtl_project_key"), F.col("project_code").alias("details_project_code"),
+                          F.col("title").alias("details_project_title"), F.col("customer_key").alias("_porg"))
+    porg = cust.select(F.col("customer_key").alias("_porg"), F.col("customer_code").alias("details_project_org_code"),
+                       F.col("customer_name").alias("details_project_org_name"))
+    t = lg.task.select(F.col("task_key").alias("dtl_task_key"), F.col("task_number").alias("details_task_number"),
+                       F.col("task_name").alias("details_task_name"))
+    pt = lg.project_type.select(F.col("project_type_key").alias("dtl_project_type_key"),
+                                F.col("project_type").alias("details_project_type"))
+    lc = lg.labor_category.select(F.col("labor_category_key").alias("dtl_labor_category_key"), "labor_category")
+    et = lg.expense_type.select(F.col("expense_type_key").alias("dtl_expense_type_key"), "expense_type_name")
+    per = lg.person.select(F.col("person_key").alias("dtl_person_key"), "last_name", "first_name", "middle_initial",
+                           "suffix", "username", "person_code")
+    ce_lab = lg.cost_struct_labor.select(F.col("cost_struct_labor_key").alias("_ce_key"), "cost_element_key") \
+        .withColumn("_kind", F.lit("labor"))
+    ce_odc = lg.cost_struct_odc.select(F.col("cost_struct_odc_key").alias("_ce_key"), "cost_element_key") \
+        .withColumn("_kind", F.lit("expense"))
+    ce = ce_lab.unionByName(ce_odc).join(lg.cost_element.select("cost_element_key", F.col("code").alias("details_cost_element")),
+                                         "cost_element_key", "left").drop("cost_element_key")
+    df = (vi.join(fd, "dtl_fin_document_key", "left").join(vorg, "dtl_fin_document_key", "left")
+          .transform(lambda d: interval_lookup(d, "post_date", months, ["fiscal_month_key", "period_number", "_fy"], "left"))
+          .join(a, "dtl_account_key", "left").join(c, "dtl_org_key", "left").join(p, "dtl_project_key", "left")
+          .join(porg, "_porg", "left").join(t, "dtl_task_key", "left").join(pt, "dtl_project_type_key", "left")
+          .join(lc, "dtl_labor_category_key", "left").join(et, "dtl_expense_type_key", "left")
+          .join(per, "dtl_person_key", "left")
+          .join(ce, (F.col("dtl_cost_struct_elem_key") == F.col("_ce_key")) & (F.col("line_type") == F.col("_kind")),
+                "left"))
+    lt = F.col("dtl_line_type")
+    has_po = F.col("dtl_po_key").isNotNull()
+    po_line = None
+    for types, prefix in PO_LINE_PREFIXES:
+        cond = lt.isin(*types) & has_po
+        val = F.concat_ws("", F.lit(prefix), F.col("dtl_po_line_id").cast("string"))
+        po_line = F.when(cond, val) if po_line is None else po_line.when(cond, val)
+    label = None
+    for k, v in LINE_TYPE_LABELS.items():
+        label = F.when(lt == k, v) if label is None else label.when(lt == k, v)
+    category = (F.when(lt.isin("L", "TS"), F.col("labor_category")).when(lt.isin("E", "ER"), F.col("expense_type_name")))
+    null_key = F.lit(None).cast("bigint")
+    return df.select(
+        "dtl_fin_document_detail_key", null_key.alias("dtl_vendor_invoice_key"), null_key.alias("dtl_time_data_key"),
+        null_key.alias("dtl_expense_data_allocation_key"), null_key.alias("dtl_vi_funding_cap_adjustment_key"),
+        "dtl_fin_document_key", F.col("po_key").alias("dtl_po_key_int"), "fiscal_month_key",
+        F.col("dtl_project_key").alias("project_key"), "vendor_org_key",
+        F.col("dtl_org_key").alias("financial_org_key"), "vendor_org_code", "vendor_org_name", "doc_number",
+        "doc_status", fiscal_period("_fy", "period_number").alias("fiscal_period"),
+        (F.col("dtl_debit") - F.col("dtl_credit")).alias("details_amount"),
+        zero_pad_right(F.col("dtl_po_key")).alias("related_po"), po_line.alias("related_po_line_id"),
+        F.col("dtl_po_line_id").alias("details_po_line_id"), label.alias("details_type"),
+        "details_account_code", "details_account_description", "details_org_code", "details_org_name",
+        F.col("dtl_reference").alias("details_reference"), F.col("dtl_description").alias("details_description"),
+        F.col("dtl_transaction_date").alias("details_date"), F.col("dtl_qty").alias("details_hours_or_quantity"),
+        F.col("dtl_cost_rate").alias("details_rate"), "details_project_org_code", "details_project_org_name",
+        "details_project_code", "details_project_title", "details_task_number", "details_task_name",
+        "details_project_type", category.alias("details_category"),
+        F.col("last_name").alias("details_person_last_name"), F.col("first_name").alias("details_person_first_name"),
+        F.col("middle_initial").alias("details_person_middle_initial"), F.col("suffix").alias("details_person_suffix"),
+        F.col("username").alias("details_person_username"), F.col("person_code").alias("details_person_code"),
+        "details_cost_element", F.col("reference").alias("related_po_line_reference"),
+        F.col("account_number").alias("details_labor_category_external_code"), "line_type", "matching_type",
+        "customer_invoice_number",
+    )
+
+
+def invoice_line_report(lg, viewer: int, as_of: str, date_from: str, date_to: str) -> DataFrame:
+    """Invoice lines RIGHT JOIN invoice headers on the document *number*, by document date.
+
+    ``date_to`` is inclusive to the end of that day: the reference's
+    ``23:59:59.997`` upper bound becomes the half-open ``[from, to + 1 day)``.
+    """
+    lines = vendor_invoice_lines(lg).select(
+        F.col("doc_number").alias("_line_doc_number"), "related_po_line_id", "details_task_name",
+        "details_person_code", "details_project_org_name", "details_project_code", "details_category",
+        "details_project_type", "details_date", "details_rate", "details_hours_or_quantity", "details_amount",
+        "details_person_last_name", "details_person_first_name", "dtl_fin_document_detail_key",
+        "dtl_vendor_invoice_key", "dtl_time_data_key", "dtl_expense_data_allocation_key",
+        "dtl_vi_funding_cap_adjustment_key")
+    header = vendor_invoice_header(lg, viewer, as_of).filter(
+        (F.col("doc_date") >= F.lit(date_from).cast("date"))
+        & (F.col("doc_date") < F.date_add(F.lit(date_to).cast("date"), 1)))
+    df = lines.join(header, lines._line_doc_number == header.doc_number, "right")
+    return df.select(
+        "doc_number", "doc_date", "vendor_code", "vendor_name", "related_po_line_id", "details_task_name",
+        "details_person_code", "details_project_org_name", "details_project_code", "details_category",
+        "details_project_type", "details_date", "currency_code", "details_rate", "details_hours_or_quantity",
+        "details_amount", "last_modified_date", "voiding_or_voided_doc_number", "vendor_invoice_date",
+        "purchase_order_number", "details_person_last_name", "details_person_first_name", "doc_status",
+        "vendor_invoice_key", "dtl_fin_document_detail_key", "dtl_vendor_invoice_key", "dtl_time_data_key",
+        "dtl_expense_data_allocation_key", "dtl_vi_funding_cap_adjustment_key", "_line_doc_number",
+    ).toDF(*[f"c{i}" for i in range(30)])

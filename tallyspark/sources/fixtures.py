@@ -259,7 +259,9 @@ select user_id as person_key, concat('First', cast(user_id as string)) as first_
        cast(1 + user_id % 2 as bigint) as business_week_key,
        case when user_id % 9 = 0 then 'N' else 'Y' end as active,
        make_date(2015 + user_id % 8, 1 + user_id % 12, 1) as hire_date,
-       concat('user', cast(user_id as string), '@example.com') as email
+       concat('user', cast(user_id as string), '@example.com') as email,
+       concat('P', cast(1000 + user_id as string)) as person_code,
+       case when user_id % 10 = 0 then 'Jr.' end as suffix
 from (select distinct user_id from {events}) u""")
 
 _bind("project", ["customer"], """
@@ -653,12 +655,21 @@ from {_values([(k, k - 1 if k % 7 == 3 else None, None if k % 5 == 4 else f'2024
                 f'2024-01-{1 + k % 28:02d}', f'INV{k:05d}') for k in range(40)],
               ['invoice_key', 'voided_invoice_key', 'completed_date', 'invoice_date', 'invoice_number'])}""")
 
-_bind("cost_plus_post_detail", ["events"], """
+_bind("cost_plus_post_detail", ["events", "fin_document_detail"], """
 select event_id as cost_plus_post_detail_key, event_id as time_data_key,
        case when event_id % 4 = 0 then cast(null as bigint) else cast(1 + event_id % 3 as bigint) end as cost_element_key,
        cast(1 + event_id % 3 as bigint) as fee_method_key,
-       event_id % 40 as invoice_key, event_id % 50 as post_history_key
-from {events} where event_id % 3 = 0""")
+       event_id % 40 as invoice_key, event_id % 50 as post_history_key,
+       cast(null as bigint) as fin_document_det_labor_key, cast(null as bigint) as fin_document_det_expense_key
+from {events} where event_id % 3 = 0
+union all
+select 2000000000 + fin_document_detail_key, cast(null as bigint),
+       case when detail_type = 'L' then cast(1 + (fin_document_detail_key % 7) % 4 as bigint)
+            else cast(1 + ((fin_document_detail_key % 5) + 1) % 4 as bigint) end,
+       cast(1 + fin_document_detail_key % 3 as bigint), fin_document_detail_key % 40, fin_document_detail_key % 50,
+       case when detail_type = 'L' then fin_document_detail_key end,
+       case when detail_type = 'E' then fin_document_detail_key end
+from {fin_document_detail} where fin_document_detail_key % 6 = 0 and detail_type in ('L', 'E')""")
 
 _bind("cost_struct", [], f"""
 select cost_struct_key, cost_structure
@@ -816,6 +827,86 @@ from {orders} where o_orderkey % 5 = 0""")
 _bind("journal_onetime_charge", ["orders"], _order_journal("onetime_charge_key", "o_orderkey % 5 = 0 and o_orderkey % 10 <> 5", 3))
 
 
+# --- financial document detail lines (lineitem, one row per line key) -------
+# (l_orderkey, l_linenumber) is not unique in the driver data, so lines are
+# first collapsed to one row per key.
+_bind("fin_document_detail", ["lineitem"], """
+select k as fin_document_detail_key, fin_document_key, account_key, organization_key, person_key,
+       debit_amount, credit_amount, concat('Detail ', cast(k as string)) as description,
+       case rf when 'R' then 'L' when 'A' then 'E' else 'I' end as detail_type,
+       concat('R', cast(k % 1000 as string)) as reference, transaction_date
+from (select l_orderkey * 10 + l_linenumber as k, max(l_orderkey) as fin_document_key,
+             max(l_partkey) % 40 as account_key, cast(10000 + max(l_suppkey) as bigint) as organization_key,
+             max(l_suppkey) % 15 as person_key, cast(max(l_extendedprice) as decimal(18,2)) as debit_amount,
+             cast(cast(max(l_extendedprice) as decimal(18,2)) * cast(max(l_discount) as decimal(4,2)) as decimal(18,2))
+               as credit_amount,
+             max(l_returnflag) as rf, cast(max(l_shipdate) as date) as transaction_date
+      from {lineitem} group by l_orderkey * 10 + l_linenumber) d""")
+
+_bind("fin_document_det_proj_labor", ["fin_document_detail"], """
+select fin_document_detail_key, cast(1 + fin_document_detail_key % 4 as bigint) as labor_category_key,
+       fin_document_detail_key % 10 as project_key,
+       case when fin_document_detail_key % 6 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
+         as task_key,
+       cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key,
+       cast(40 + fin_document_detail_key % 30 as decimal(18,6)) as cost_rate,
+       cast((fin_document_detail_key % 16) * 0.5 as decimal(18,6)) as hours
+from {fin_document_detail} where detail_type = 'L' and fin_document_detail_key % 5 <> 0""")
+
+_bind("fin_document_detail_labor", ["fin_document_detail"], """
+select fin_document_detail_key, cast(fin_document_detail_key % 7 as bigint) as cost_struct_labor_key,
+       case when fin_document_detail_key % 3 = 0 then fin_document_detail_key % 40 end as invoice_key,
+       case when fin_document_detail_key % 3 = 1 then fin_document_detail_key % 45 end as manual_invoice_key,
+       case when fin_document_detail_key % 4 = 0 then cast(null as bigint) else fin_document_detail_key % 50 end
+         as post_history_key,
+       debit_amount as amount, cast(debit_amount * cast(1.5 as decimal(3,1)) as decimal(18,2)) as bill_amount,
+       cast(1 + fin_document_detail_key % 3 as bigint) as bill_currency,
+       cast(95 as decimal(18,6)) as bill_rate
+from {fin_document_detail} where detail_type = 'L'""")
+
+_bind("fin_document_det_proj_expense", ["fin_document_detail"], """
+select fin_document_detail_key, cast(1 + fin_document_detail_key % 5 as bigint) as expense_type_key,
+       fin_document_detail_key % 10 as project_key,
+       case when fin_document_detail_key % 4 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
+         as task_key,
+       cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key
+from {fin_document_detail} where detail_type = 'E' and fin_document_detail_key % 3 <> 0""")
+
+_bind("fin_document_detail_expense", ["fin_document_detail"], """
+select fin_document_detail_key, cast(fin_document_detail_key % 5 as bigint) as cost_struct_odc_key,
+       case when fin_document_detail_key % 3 = 0 then fin_document_detail_key % 40 end as invoice_key,
+       case when fin_document_detail_key % 3 = 2 then fin_document_detail_key % 45 end as manual_invoice_key,
+       case when fin_document_detail_key % 4 = 1 then cast(null as bigint) else fin_document_detail_key % 50 end
+         as post_history_key,
+       debit_amount as amount, cast(debit_amount * cast(1.1 as decimal(3,1)) as decimal(18,2)) as bill_amount,
+       cast(1 + fin_document_detail_key % 3 as bigint) as bill_currency
+from {fin_document_detail} where detail_type = 'E'""")
+
+_bind("fin_document_detail_po", ["fin_document_detail"], """
+select fin_document_detail_key, fin_document_key as po_key,
+       case when detail_type = 'L' then fin_document_detail_key end as po_labor_line_descriptor_key,
+       case when detail_type = 'E' then fin_document_detail_key end as po_expense_line_descriptor_key
+from {fin_document_detail} where fin_document_detail_key % 4 = 0""")
+
+_bind("po_labor_line_descriptor", ["fin_document_detail"], """
+select fin_document_detail_key as po_labor_line_descriptor_key, fin_document_key as po_key,
+       cast(fin_document_detail_key % 100 as int) as line_id, account_key, organization_key,
+       concat('POL-', cast(fin_document_detail_key % 1000 as string)) as reference
+from {fin_document_detail} where detail_type = 'L' and fin_document_detail_key % 8 = 0""")
+
+_bind("po_expense_line_descriptor", ["fin_document_detail"], """
+select fin_document_detail_key as po_expense_line_descriptor_key, fin_document_key as po_key,
+       cast(fin_document_detail_key % 100 as int) as line_id, account_key, organization_key,
+       concat('POE-', cast(fin_document_detail_key % 1000 as string)) as reference
+from {fin_document_detail} where detail_type = 'E' and fin_document_detail_key % 8 = 0""")
+
+_bind("expense_type", [], f"""
+select expense_type_key, expense_type, expense_type_name
+from {_values([(1, 'TRAVEL', 'Travel'), (2, 'MEALS', 'Meals'), (3, 'ADVANCE', 'Advance'),
+               (4, 'CASH-RETURN', 'Cash return'), (5, 'SUPPLIES', 'Supplies')],
+              ['expense_type_key', 'expense_type', 'expense_type_name'])}""")
+
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
