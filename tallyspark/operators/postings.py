@@ -108,7 +108,8 @@ def journal_pivot(journal: DataFrame, keys, revenue_cat: int = CAT_REVENUE, cost
         _cat_sum(CAT_DEFERRED).alias("deferred"), _cat_sum(revenue_cat).alias("revenue"),
         _cat_sum(CAT_WRITE_OFF).alias("write_off"),
         (_cat_sum(cost_cat) if cost_cat is not None else F.lit(None).cast(MONEY)).alias("posted_cost"),
-        F.max("account_key").alias("account_key"), *extra,
+        (F.max("account_key") if "account_key" in journal.columns else F.lit(None).cast("bigint")).alias("account_key"),
+        *extra,
     ]
     return journal.groupBy(*keys).agg(*aggs)
 
@@ -327,7 +328,266 @@ def source_onetime_charge(lg) -> DataFrame:
         joins=[(inv, "invoice_key")])
 
 
+# ------------------------------------------------------------- D49.3 - D49.10
+EXCLUDED_EXPENSE_TYPES = ("ADVANCE", "CASH-RETURN")  # fixed values: never posted as expense/item lines
+
+# Financial document types (the document decode differs from the GL one).
+DOCUMENT_TYPES = {0: "VI", 1: "VP", 3: "CP", 4: "D", 5: "JE", 6: "BR", 7: "CI", 8: "LC", 9: "EC", 10: "FY",
+                  11: "AL", 12: "CMT"}
+
+
+def document_type(col) -> Column:
+    """D11, document form: 12 is CMT, 2/13/14 are unknown, unknown gives NULL."""
+    c = F.col(col) if isinstance(col, str) else col
+    expr = None
+    for k, v in DOCUMENT_TYPES.items():
+        expr = F.when(c == k, v) if expr is None else expr.when(c == k, v)
+    return expr
+
+
+def _vendor_docs_on(lg, key: str) -> DataFrame:
+    return _vendor_docs(lg).withColumnRenamed("vendor_invoice_key", key)
+
+
+def _struct(lg, table: str, key_col: str) -> DataFrame:
+    key = "cost_struct_labor_key" if table == "cost_struct_labor" else "cost_struct_odc_key"
+    return _cost_structure(lg, key_col, table, key)
+
+
+def _expense_types(lg, exclude: bool) -> DataFrame:
+    et = lg.expense_type
+    if exclude:
+        et = et.filter(~F.col("expense_type").isin(*EXCLUDED_EXPENSE_TYPES))
+    return et.select("expense_type_key", F.col("expense_type").alias("_et_code"), F.col("expense_type_name").alias("_et_name"))
+
+
+def _docs(lg) -> DataFrame:
+    return lg.fin_document.select("fin_document_key", F.col("document_type").alias("_doc_type"),
+                                  F.col("status").alias("_doc_status"), F.col("document_number").alias("_doc_number"),
+                                  F.col("post_date").alias("_doc_post_date"), F.col("currency").alias("_doc_currency"))
+
+
+def _line_frame(lg, family: str, cost_plus: bool) -> DataFrame:
+    """Transaction lines of one family, keyed by ``_line_key``, with their per-line lookups."""
+    if family == "expense":
+        eda, ed = lg.expense_data_allocation, lg.expense_data
+        er = lg.expense_report.select("expense_report_key", "owner_key", F.col("currency").alias("_er_currency"),
+                                      "date_completed", F.col("post_date").alias("_er_post"), F.col("status").alias("_er_status"))
+        df = (eda.join(ed.select("expense_data_key", "expense_report_key", "expense_type_key",
+                                 F.col("comments").alias("_ed_comments"), "expense_date", "summary"), "expense_data_key")
+              .join(_expense_types(lg, exclude=not cost_plus), "expense_type_key").join(er, "expense_report_key"))
+        if not cost_plus:
+            df = df.join(_vendor_docs_on(lg, "vendor_invoice_key"), "vendor_invoice_key", "left")
+        df = df.join(_struct(lg, "cost_struct_odc", "cost_struct_odc_key"), "cost_struct_odc_key", "left")
+        return df.withColumn("_line_key", F.col("expense_data_allocation_key"))
+    fdd = lg.fin_document_detail.select("fin_document_detail_key", "fin_document_key", "person_key", "account_key",
+                                        "transaction_date", F.col("description").alias("_fdd_desc"))
+    if family == "fin_labor":
+        proj = lg.fin_document_det_proj_labor
+        det = lg.fin_document_detail_labor
+        struct = _struct(lg, "cost_struct_labor", "cost_struct_labor_key")
+        skey = "cost_struct_labor_key"
+    elif family == "fin_expense":
+        proj = lg.fin_document_det_proj_expense
+        det = lg.fin_document_detail_expense
+        struct = _struct(lg, "cost_struct_odc", "cost_struct_odc_key")
+        skey = "cost_struct_odc_key"
+    else:
+        proj = lg.fin_document_det_proj_item
+        det = lg.fin_document_detail_item
+        struct = _struct(lg, "cost_struct_odc", "cost_struct_odc_key")
+        skey = "cost_struct_odc_key"
+    det = det.select("fin_document_detail_key", skey, F.col("invoice_key").alias("_det_invoice"),
+                     F.col("post_history_key").alias("_det_ph"), F.col("amount").alias("_det_amount"),
+                     F.col("bill_amount").alias("_det_bill"), F.col("bill_currency").alias("_det_bill_ccy"),
+                     *(["bill_rate"] if family == "fin_labor" else []),
+                     *(["expense_type_key"] if family == "fin_item" else []))
+    df = fdd.join(_docs(lg), "fin_document_key").join(proj, "fin_document_detail_key")
+    if family == "fin_item":
+        df = df.join(lg.fin_doc_det_item, "fin_document_detail_key")
+    # the cost-plus variants reach the line through its detail row, so it is an inner join there
+    df = df.join(det, "fin_document_detail_key", "inner" if cost_plus else "left")
+    if family == "fin_item":
+        df = (df.join(lg.item.select("item_key", F.col("code").alias("_item_code"), F.col("name").alias("_item_name")),
+                      "item_key")
+              .join(lg.unit_of_measure.select("uom_key", F.col("name").alias("_uom")), "uom_key")
+              .join(_expense_types(lg, exclude=True), "expense_type_key"))
+    elif family == "fin_expense":
+        df = df.join(_expense_types(lg, exclude=False), "expense_type_key")
+    df = (df.join(_vendor_docs_on(lg, "fin_document_key"), "fin_document_key", "left")
+          .join(struct, skey, "left"))
+    if family in ("fin_labor", "fin_item"):
+        # both read the labor write-off table (the item CTE reads it too, as in the reference)
+        df = df.join(writeoffs(lg.invcd_document_labor, lg.invoice, "fin_document_detail_key"),
+                     "fin_document_detail_key", "left")
+    return df.withColumn("_line_key", F.col("fin_document_detail_key"))
+
+
+def _family_columns(family: str, cost_plus: bool) -> dict:
+    if family == "expense":
+        cols = {
+            "transaction_data_key": F.col("expense_data_allocation_key"), "expense_report_key": F.col("expense_report_key"),
+            "project_key": F.col("project_key"), "person_key": F.col("owner_key"), "task_key": F.col("task_key"),
+            "trans_project_type_key": F.col("project_type_key"), "trans_date": F.col("expense_date"),
+            "transaction_type": F.lit("Expense Reports"), "source_doc_type": F.lit("ER"),
+            "source_doc_status": F.col("_er_status"), "source_doc_number": F.col("expense_report_key").cast("string"),
+            "er_completion_date": F.col("date_completed"), "ts_or_er_posted_date": F.col("_er_post"),
+            "comments_description": concat_nn(concat_nn("_ed_comments", F.lit(" ")), "summary"),
+            "expense_type": F.coalesce(F.col("_et_name"), F.col("_et_code")),
+            "bill_amount": F.col("bill_amount"), "cost_amount": F.col("amount"),
+            "posted_indicator": _posted_indicator("post_history_key", "cost_post_history_key"),
+            "ic_cost_amount": F.col("ic_cost_amount"), "ic_cost_currency": F.col("ic_cost_currency"),
+            "cost_currency": F.col("_er_currency"), "bill_currency": F.col("bill_currency"),
+        }
+        if not cost_plus:
+            cols.update({"cust_invoice_key": F.col("invoice_key"), "vendor_invoicing_key": F.col("vendor_invoicing_key"),
+                         "document_number": F.col("document_number"), "billable_amount": F.col("bill_amount")})
+        return cols
+    ttype = {"fin_labor": "Financial Labor", "fin_expense": "Financial Expenses", "fin_item": "Financial Items"}[family]
+    cols = {
+        "transaction_data_key": F.col("fin_document_detail_key"), "fin_document_key": F.col("fin_document_key"),
+        "project_key": F.col("project_key"), "person_key": F.col("person_key"), "task_key": F.col("task_key"),
+        "vendor_invoicing_key": F.col("vendor_invoicing_key"), "document_number": F.col("document_number"),
+        "trans_project_type_key": F.col("project_type_key"), "trans_date": F.col("transaction_date"),
+        "transaction_type": F.lit(ttype), "source_doc_type": document_type("_doc_type"),
+        "source_doc_status": F.col("_doc_status"), "source_doc_number": F.col("_doc_number"),
+        "comments_description": F.col("_fdd_desc"), "post_date_cost": F.col("_doc_post_date"),
+        "bill_amount": F.col("_det_bill"), "cost_amount": F.col("_det_amount"),
+        "posted_indicator": F.when(F.col("_det_ph").isNull(), "N").otherwise("Y"),
+        "account_key": F.col("account_key"), "cost_currency": F.col("_doc_currency"),
+        "bill_currency": F.col("_det_bill_ccy"),
+    }
+    if family == "fin_labor":
+        cols["labor_category_key"] = F.col("labor_category_key")
+        cols["quantity_cost"] = F.col("hours")
+        q = F.col("hours")
+    elif family == "fin_item":
+        cols.update({"quantity_cost": F.col("quantity"), "item_code": F.col("_item_code"),
+                     "item_name": F.col("_item_name"), "item_uom": F.col("_uom"), "expense_type": F.col("_et_name")})
+        q = F.col("quantity")
+    else:
+        cols["expense_type"] = F.col("_et_name")
+        q = None
+    if q is not None:
+        cols["quantity_net_billable"] = F.coalesce(q - F.col("write_off_quantity"), q)
+    if not cost_plus:
+        cols.update({"cust_invoice_key": F.col("_det_invoice"), "billable_amount": F.col("_det_bill"),
+                     "postings_cost": F.col("_det_amount")})
+        if q is not None:
+            cols["quantity_writeoff"] = F.col("write_off_quantity")
+        if family == "fin_labor":
+            cols.update({"bill_rate": F.col("bill_rate"), "cost_rate": F.col("cost_rate")})
+    return cols
+
+
+def _with_pivot(cols: dict, elem: bool = False) -> dict:
+    cols = dict(cols)
+    cols.update({
+        "post_date_unbilled": F.col("post_date_unbilled"), "post_date_billed": F.col("post_date_billed"),
+        "post_date_deferred_rev": F.col("post_date_deferred_rev"),
+        "post_date_recognized_rev": F.col("post_date_recognized_rev"),
+        "postings_unbilled": F.col("unbilled"), "postings_billed": F.col("billed"),
+        "postings_deferred": F.col("deferred"), "postings_revenue": F.col("revenue"),
+        "postings_writeoff": F.col("write_off"),
+    })
+    return cols
+
+
+def _direct_source(lg, family: str, journal: str, cost_cat=None) -> DataFrame:
+    df = _line_frame(lg, family, cost_plus=False)
+    key = "expense_data_allocation_key" if family == "expense" else "fin_document_detail_key"
+    jv = (journal_pivot(lg.table(journal), key, cost_cat=cost_cat)
+          .withColumnRenamed("account_key", "_jv_account").withColumnRenamed("posted_cost", "_jv_posted_cost"))
+    df = df.join(jv, key, "left")
+    cols = _with_pivot(_family_columns(family, False))
+    cols.update({"cost_element": F.col("ce_code"), "cost_element_desc": F.col("ce_desc"),
+                 "cost_element_type": F.col("ce_type"), "cost_structure": F.col("cost_structure")})
+    if family == "expense":
+        ph = lg.post_history.select(F.col("post_history_key").alias("cost_post_history_key"),
+                                    F.col("journal_trans_date").alias("_ph_date"))
+        df = df.join(ph, "cost_post_history_key", "left")
+        cols.update({"post_date_cost": F.col("_ph_date"), "postings_cost": F.col("_jv_posted_cost"),
+                     "account_key": F.col("_jv_account")})
+    return df.select(*conform(cols))
+
+
+def _cost_plus_source(lg, family: str, link: str) -> DataFrame:
+    """Cost-plus variant: journal rows aggregated per (line, cost element or fee method) first."""
+    cppd = lg.cost_plus_post_detail.select("cost_plus_post_detail_key", F.col(link).alias("_line_key"),
+                                           "cost_element_key", "fee_method_key", F.col("invoice_key").alias("_cp_invoice"),
+                                           F.col("post_history_key").alias("_cp_ph"))
+    ph = lg.post_history.select(F.col("post_history_key").alias("_cp_ph"), F.col("journal_trans_date").alias("_ph_date"))
+    ce = lg.cost_element.select("cost_element_key", F.col("code").alias("_ce_code"),
+                                F.col("description").alias("_ce_desc"), F.col("cost_element_type").alias("_ce_type"))
+    j = (lg.journal_cost_plus_detail.join(cppd, "cost_plus_post_detail_key").join(ph, "_cp_ph", "left")
+         .join(lg.fee_method, "fee_method_key", "left").join(ce, "cost_element_key", "left")
+         .withColumn("_elem", F.coalesce(F.col("_ce_code"), F.col("fee_method"))))
+    groups = journal_pivot(j, ["_line_key", "_elem"], cost_cat=None, extra=(
+        F.max("_ph_date").alias("_cp_ph_date"), F.max("_cp_invoice").alias("_cp_invoice_key"),
+        F.max(F.coalesce(F.col("_ce_desc"), F.col("fee_method"))).alias("_elem_desc"),
+        F.max(F.when(F.col("_ce_type").isNull(), F.lit("Fee")).otherwise(F.col("_ce_type"))).alias("_elem_type"),
+    )).withColumnRenamed("account_key", "_jv_account")
+    df = groups.join(_line_frame(lg, family, cost_plus=True), "_line_key")
+    cols = _with_pivot(_family_columns(family, True))
+    cols.update({"cust_invoice_key": F.col("_cp_invoice_key"), "cost_element": F.col("_elem"),
+                 "cost_element_desc": F.col("_elem_desc"), "cost_element_type": F.col("_elem_type"),
+                 "cost_structure": F.col("cost_structure")})
+    if family == "expense":
+        cols.update({"post_date_cost": F.col("_cp_ph_date"), "account_key": F.col("_jv_account")})
+    else:
+        cols["account_key"] = F.col("account_key")
+    return df.select(*conform(cols))
+
+
+def source_expense(lg):
+    """D49.3: expense-report allocations (ADVANCE and CASH-RETURN excluded)."""
+    return _direct_source(lg, "expense", "journal_expense", cost_cat=CAT_COST_EXPENSE)
+
+
+def source_expense_cost_plus(lg):
+    """D49.4: cost-plus postings of expense allocations (no type exclusion, as in the reference)."""
+    return _cost_plus_source(lg, "expense", "expense_data_allocation_key")
+
+
+def source_fin_labor(lg):
+    """D49.5: labor lines of financial documents."""
+    return _direct_source(lg, "fin_labor", "journal_document_labor")
+
+
+def source_fin_labor_cost_plus(lg):
+    """D49.6: cost-plus postings of financial labor lines."""
+    return _cost_plus_source(lg, "fin_labor", "fin_document_det_labor_key")
+
+
+def source_fin_expense(lg):
+    """D49.7: expense lines of financial documents."""
+    return _direct_source(lg, "fin_expense", "journal_document_expense")
+
+
+def source_fin_expense_cost_plus(lg):
+    """D49.8: cost-plus postings of financial expense lines."""
+    return _cost_plus_source(lg, "fin_expense", "fin_document_det_expense_key")
+
+
+def source_fin_item(lg):
+    """D49.9: item lines of financial documents (excluded expense types dropped)."""
+    return _direct_source(lg, "fin_item", "journal_document_item")
+
+
+def source_fin_item_cost_plus(lg):
+    """D49.10: cost-plus postings of financial item lines."""
+    return _cost_plus_source(lg, "fin_item", "fin_document_det_item_key")
+
+
 SOURCES = {
+    "expense": source_expense,
+    "expense_cost_plus": source_expense_cost_plus,
+    "fin_labor": source_fin_labor,
+    "fin_labor_cost_plus": source_fin_labor_cost_plus,
+    "fin_expense": source_fin_expense,
+    "fin_expense_cost_plus": source_fin_expense_cost_plus,
+    "fin_item": source_fin_item,
+    "fin_item_cost_plus": source_fin_item_cost_plus,
     "timesheet_labor": source_timesheet_labor,
     "timesheet_cost_plus": source_timesheet_cost_plus,
     "fixed_price": source_fixed_price,

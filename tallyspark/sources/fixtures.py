@@ -641,7 +641,13 @@ from {{events}} where {src_filter}"""
 
 
 _bind("journal_time", ["events"], _journal("time_data_key"))
-_bind("journal_cost_plus_detail", ["events"], _journal("cost_plus_post_detail_key", "event_id % 3 = 0"))
+_bind("journal_cost_plus_detail", ["events", "fin_document_detail"],
+      _journal("cost_plus_post_detail_key", "event_id % 3 = 0") + """
+union all
+select account_key, 2000000000 + fin_document_detail_key, cast(fin_document_detail_key % 60 + 5 as decimal(18,2)),
+       case fin_document_detail_key % 4 when 0 then 5 when 1 then 1 when 2 then 3 else 9 end,
+       transaction_date + cast(fin_document_detail_key % 5 as int)
+from {fin_document_detail} where fin_document_detail_key % 6 = 0""")
 
 _bind("invcd_time", ["events"], """
 select event_id % 40 as invoice_key, event_id as time_data_key,
@@ -660,7 +666,9 @@ select event_id as cost_plus_post_detail_key, event_id as time_data_key,
        case when event_id % 4 = 0 then cast(null as bigint) else cast(1 + event_id % 3 as bigint) end as cost_element_key,
        cast(1 + event_id % 3 as bigint) as fee_method_key,
        event_id % 40 as invoice_key, event_id % 50 as post_history_key,
-       cast(null as bigint) as fin_document_det_labor_key, cast(null as bigint) as fin_document_det_expense_key
+       cast(null as bigint) as fin_document_det_labor_key, cast(null as bigint) as fin_document_det_expense_key,
+       cast(null as bigint) as fin_document_det_item_key,
+       case when event_id % 6 = 0 and event_type in ('purchase', 'click') then event_id end as expense_data_allocation_key
 from {events} where event_id % 3 = 0
 union all
 select 2000000000 + fin_document_detail_key, cast(null as bigint),
@@ -668,8 +676,9 @@ select 2000000000 + fin_document_detail_key, cast(null as bigint),
             else cast(1 + ((fin_document_detail_key % 5) + 1) % 4 as bigint) end,
        cast(1 + fin_document_detail_key % 3 as bigint), fin_document_detail_key % 40, fin_document_detail_key % 50,
        case when detail_type = 'L' then fin_document_detail_key end,
-       case when detail_type = 'E' then fin_document_detail_key end
-from {fin_document_detail} where fin_document_detail_key % 6 = 0 and detail_type in ('L', 'E')""")
+       case when detail_type = 'E' then fin_document_detail_key end,
+       case when detail_type = 'I' then fin_document_detail_key end, cast(null as bigint)
+from {fin_document_detail} where fin_document_detail_key % 6 = 0""")
 
 _bind("cost_struct", [], f"""
 select cost_struct_key, cost_structure
@@ -840,7 +849,8 @@ from (select l_orderkey * 10 + l_linenumber as k, max(l_orderkey) as fin_documen
              max(l_suppkey) % 15 as person_key, cast(max(l_extendedprice) as decimal(18,2)) as debit_amount,
              cast(cast(max(l_extendedprice) as decimal(18,2)) * cast(max(l_discount) as decimal(4,2)) as decimal(18,2))
                as credit_amount,
-             max(l_returnflag) as rf, cast(max(l_shipdate) as date) as transaction_date
+             max(l_returnflag) as rf,
+             make_date(2024, 1, cast(1 + (l_orderkey * 10 + l_linenumber) % 28 as int)) as transaction_date
       from {lineitem} group by l_orderkey * 10 + l_linenumber) d""")
 
 _bind("fin_document_det_proj_labor", ["fin_document_detail"], """
@@ -870,7 +880,7 @@ select fin_document_detail_key, cast(1 + fin_document_detail_key % 5 as bigint)
        case when fin_document_detail_key % 4 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
          as task_key,
        cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key
-from {fin_document_detail} where detail_type = 'E' and fin_document_detail_key % 3 <> 0""")
+from {fin_document_detail} where detail_type = 'E' and fin_document_detail_key % 7 <> 3""")
 
 _bind("fin_document_detail_expense", ["fin_document_detail"], """
 select fin_document_detail_key, cast(fin_document_detail_key % 5 as bigint) as cost_struct_odc_key,
@@ -907,6 +917,92 @@ from {_values([(1, 'TRAVEL', 'Travel'), (2, 'MEALS', 'Meals'), (3, 'ADVANCE', 'A
               ['expense_type_key', 'expense_type', 'expense_type_name'])}""")
 
 
+# --- expense reports (events) and item lines (financial details) ----------------
+_bind("expense_report", ["events"], f"""
+select distinct user_id * 10 + {WEEK_OF_TS} as expense_report_key, user_id as owner_key,
+       cast(1 + user_id % 3 as bigint) as currency,
+       case when user_id % 4 = 0 then cast(null as date) else make_date(2024, 2, cast(1 + user_id % 20 as int)) end
+         as date_completed,
+       make_date(2024, 2, cast(3 + user_id % 20 as int)) as post_date,
+       case when user_id % 5 = 0 then 'Open' else 'Approved' end as status
+from {{events}} where event_type in ('purchase', 'click')""")
+
+_bind("expense_data", ["events"], f"""
+select event_id as expense_data_key, user_id * 10 + {WEEK_OF_TS} as expense_report_key,
+       cast(1 + event_id % 5 as bigint) as expense_type_key,
+       case when event_id % 3 = 0 then cast(null as string) else concat('exp ', cast(event_id as string)) end as comments,
+       cast(ts as date) as expense_date, concat('summary ', event_type) as summary
+from {{events}} where event_type in ('purchase', 'click')""")
+
+_bind("expense_data_allocation", ["events"], """
+select event_id as expense_data_allocation_key, event_id as expense_data_key, user_id % 10 as project_key,
+       cast(1 + event_id % 3 as bigint) as project_type_key,
+       case when event_id % 4 = 0 then cast(null as bigint) else cast(1 + event_id % 5 as bigint) end as task_key,
+       case when event_id % 3 = 0 then event_id % 40 end as invoice_key,
+       case when event_id % 13 = 0 then event_id end as vendor_invoice_key,
+       case when event_id % 5 = 0 then cast(null as bigint) else event_id % 50 end as post_history_key,
+       event_id % 50 as cost_post_history_key, cast(event_id % 5 as bigint) as cost_struct_odc_key,
+       cast(10 + event_id % 90 as decimal(18,2)) as amount, cast(12 + event_id % 95 as decimal(18,2)) as bill_amount,
+       cast(1 + event_id % 3 as bigint) as bill_currency, cast(9 + event_id % 80 as decimal(18,2)) as ic_cost_amount,
+       cast(1 as bigint) as ic_cost_currency
+from {events} where event_type in ('purchase', 'click')""")
+
+_bind("journal_expense", ["events"], _journal("expense_data_allocation_key", "event_type in ('purchase', 'click')")
+      .replace("case when event_id % 2 = 0 then 6 else 3 end", "case when event_id % 2 = 0 then 18 else 3 end"))
+
+
+def _detail_journal(key_filter: str) -> str:
+    return f"""
+select fin_document_detail_key, cast(debit_amount * cast(0.2 as decimal(3,1)) as decimal(18,2)) as amount,
+       case fin_document_detail_key % 6 when 0 then 5 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 9 else 1 end
+         as category, transaction_date + cast(fin_document_detail_key % 10 as int) as journal_trans_date
+from {{fin_document_detail}} where {key_filter}
+union all
+select fin_document_detail_key, cast(fin_document_detail_key % 70 as decimal(18,2)), 3, transaction_date + 20
+from {{fin_document_detail}} where {key_filter} and fin_document_detail_key % 2 = 0"""
+
+
+_bind("journal_document_labor", ["fin_document_detail"], _detail_journal("detail_type = 'L'"))
+_bind("journal_document_expense", ["fin_document_detail"], _detail_journal("detail_type = 'E'"))
+_bind("journal_document_item", ["fin_document_detail"], _detail_journal("detail_type = 'I'"))
+
+_bind("invcd_document_labor", ["fin_document_detail"], """
+select fin_document_detail_key, fin_document_detail_key % 40 as invoice_key,
+       cast((fin_document_detail_key % 5) * 0.25 as decimal(18,6)) as writeoff_quantity
+from {fin_document_detail} where fin_document_detail_key % 7 in (0, 1)""")
+
+_bind("fin_document_det_proj_item", ["fin_document_detail"], """
+select fin_document_detail_key, fin_document_detail_key % 10 as project_key,
+       case when fin_document_detail_key % 3 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
+         as task_key,
+       cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key
+from {fin_document_detail} where detail_type = 'I'""")
+
+_bind("fin_doc_det_item", ["fin_document_detail"], """
+select fin_document_detail_key, cast(1 + fin_document_detail_key % 6 as bigint) as item_key,
+       cast(1 + fin_document_detail_key % 3 as bigint) as uom_key,
+       cast(1 + fin_document_detail_key % 12 as decimal(18,6)) as quantity
+from {fin_document_detail} where detail_type = 'I' and fin_document_detail_key % 9 <> 0""")
+
+_bind("fin_document_detail_item", ["fin_document_detail"], """
+select fin_document_detail_key, cast(fin_document_detail_key % 5 as bigint) as cost_struct_odc_key,
+       cast(1 + fin_document_detail_key % 5 as bigint) as expense_type_key,
+       case when fin_document_detail_key % 3 = 0 then fin_document_detail_key % 40 end as invoice_key,
+       case when fin_document_detail_key % 4 = 2 then cast(null as bigint) else fin_document_detail_key % 50 end
+         as post_history_key,
+       debit_amount as amount, cast(debit_amount * cast(1.2 as decimal(3,1)) as decimal(18,2)) as bill_amount,
+       cast(1 + fin_document_detail_key % 3 as bigint) as bill_currency
+from {fin_document_detail} where detail_type = 'I'""")
+
+_bind("item", [], f"""
+select item_key, code, name
+from {_values([(k, f'ITM{k}', f'Item {k}') for k in range(1, 7)], ['item_key', 'code', 'name'])}""")
+
+_bind("unit_of_measure", [], f"""
+select uom_key, name
+from {_values([(1, 'Each'), (2, 'Box'), (3, 'Hour')], ['uom_key', 'name'])}""")
+
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
