@@ -16,9 +16,10 @@ Plan, and why it scales:
   join with a running sum per (account, org, fiscal year) times the number of
   rows of the month, which reproduces its duplicate-count quirk exactly.
 * D23 pairs each carried balance with the one carried into its month.  The
-  reference's self join multiplies duplicate rows (k x j); here the previous
-  side is collapsed to (key, amounts, count) and each row is repeated
-  ``count`` times, which gives the same multiset without a many-to-many join.
+  reference's self join multiplies duplicate rows (k x j); here a RANGE
+  window of exactly the previous calendar month collects those j rows and
+  each row is exploded against them: the same multiset, computed from one
+  pass over ``totals`` without joining it to itself.
 """
 
 from __future__ import annotations
@@ -150,13 +151,22 @@ STATEMENT_COLUMNS = [
 def period_balances(lg, as_of: str, years: int = 3, exact_duplicates: bool = True) -> DataFrame:
     """beginning/ending balance rows per (account, org, month), statement schema."""
     t = totals(lg, as_of, exact_duplicates)
-    prev = t.groupBy(*KEY, F.col("fiscal_month_key").alias("prev_fiscal_month_key"),
-                     F.col("amount").alias("begin_amount"), F.col("local_amount").alias("begin_local")) \
-        .agg(F.count(F.lit(1)).alias("_j"))
-    pairs = t.join(prev, KEY + ["prev_fiscal_month_key"])
-    pairs = pairs.filter(~((F.col("begin_amount") == 0) & (F.col("amount") == 0)))
-    pairs = pairs.select("*", F.explode(F.array_repeat(F.lit(1), F.col("_j").cast("int"))).alias("_rep"))
     cal = fiscal_calendar(lg.fiscal_month, lg.fiscal_quarter, lg.fiscal_year)
+    # Month ordinal by calendar order: the balance carried into month m comes from the rows
+    # whose "from" month is the calendar-previous one, i.e. ordinal - 1.  A RANGE frame of
+    # exactly [-1, -1] on that ordinal collects those rows (duplicates included), so the
+    # reference's self join becomes one window over (account, org) -- totals is computed once
+    # and never joined to itself.  A list holds the previous month's rows of one key: at most
+    # its currency pairs.
+    ordinal = F.broadcast(cal.select(F.col("fiscal_month_key").alias("prev_fiscal_month_key"),
+                                     F.row_number().over(Window.orderBy("begin_date")).alias("_ord")))
+    w = Window.partitionBy(*KEY).orderBy("_ord").rangeBetween(-1, -1)
+    prev_rows = F.collect_list(F.struct(F.col("amount").alias("a"), F.col("local_amount").alias("l"))).over(w)
+    pairs = (t.join(ordinal, "prev_fiscal_month_key")
+             .select("*", prev_rows.alias("_prev"))
+             .select("*", F.explode("_prev").alias("_p"))
+             .select("*", F.col("_p.a").alias("begin_amount"), F.col("_p.l").alias("begin_local"))
+             .filter(~((F.col("begin_amount") == 0) & (F.col("amount") == 0))))
     fm = F.broadcast(cal.filter(trailing_years("begin_date", as_of, years))
                      .select("fiscal_month_key", F.col("prev_month_key").alias("_pm")))
     fm_prev = F.broadcast(cal.select(F.col("fiscal_month_key").alias("_pm"),

@@ -631,24 +631,38 @@ def project_access(lg, viewer: int, controller_roles, open_pairs):
     return has_any_role(lg.member, viewer, ADMIN_ROLES), projects, opened, glob, h1, h4
 
 
-def filter_project_access(lg, df: DataFrame, project_col: str, org_col: str, owner_col: str, viewer: int,
-                          controller_roles=POSTING_CONTROLLER_ROLES, open_pairs=POSTING_OPEN_PAIRS) -> DataFrame:
+def allowed_projects(lg, viewer: int, controller_roles=POSTING_CONTROLLER_ROLES, open_pairs=POSTING_OPEN_PAIRS,
+                     owner_must_exist: bool = True) -> tuple[Column, DataFrame]:
+    """(viewer flag, keys of the projects the viewer may see) for D34/D35.
+
+    Every grant condition depends only on the project (its key, its org and
+    its owning org), so it is evaluated on the project table -- a dimension --
+    and the fact is then filtered by project key alone.  With
+    ``owner_must_exist`` the owning org counts only if it exists as an org
+    (the posting detail reaches it through a left join); the project
+    dimension tests the raw key.
+    """
+    flag, projects, opened, glob, h1, h4 = project_access(lg, viewer, controller_roles, open_pairs)
+    p = lg.project.select("project_key", F.col("customer_key").alias("org_key"),
+                          F.col("owning_customer_key").alias("owner_key"))
+    if owner_must_exist:
+        orgs = lg.customer.select(F.col("customer_key").alias("owner_key"), F.lit(True).alias("_own_exists"))
+        p = p.join(orgs, "owner_key", "left").select(
+            "project_key", "org_key", F.when(F.col("_own_exists"), F.col("owner_key")).alias("owner_key"))
+    by_pair = (p.join(opened, "project_key").join(glob, "role_key", "left")
+               .join(h1, ["role_key", "org_key"], "left").join(h4, ["role_key", "owner_key"], "left")
+               .filter((F.col("g1") | F.col("h1")) & (F.col("g4") | F.col("h4")))
+               .select("project_key"))
+    return flag, by_pair.unionByName(projects)
+
+
+def filter_project_access(lg, df: DataFrame, project_col: str, viewer: int,
+                          controller_roles=POSTING_CONTROLLER_ROLES, open_pairs=POSTING_OPEN_PAIRS,
+                          owner_must_exist: bool = True) -> DataFrame:
     """Admin, controller (or alternate of a primary controller), or for some
     (open flag, role) pair: project open AND (global or project-org grant) AND (global or owner grant)."""
-    flag, projects, opened, glob, h1, h4 = project_access(lg, viewer, controller_roles, open_pairs)
-    keys = df.select(F.col(project_col).alias("project_key"), F.col(org_col).alias("org_key"),
-                     F.col(owner_col).alias("owner_key")).distinct()
-    ok = (keys.join(opened, "project_key").join(glob, "role_key", "left")
-          .join(h1, ["role_key", "org_key"], "left").join(h4, ["role_key", "owner_key"], "left")
-          .filter((F.col("g1") | F.col("h1")) & (F.col("g4") | F.col("h4")))
-          .select("project_key", "org_key", "owner_key").distinct().withColumn("_open_ok", F.lit(True)))
-    cond = (F.col(project_col).eqNullSafe(F.col("_pk")) & F.col(org_col).eqNullSafe(F.col("_ok_org"))
-            & F.col(owner_col).eqNullSafe(F.col("_ok_own")))
-    okr = ok.select(F.col("project_key").alias("_pk"), F.col("org_key").alias("_ok_org"),
-                    F.col("owner_key").alias("_ok_own"), "_open_ok")
-    joined = df.join(okr, cond, "left")
-    return joined.filter(flag | F.col(project_col).isin(projects) | F.col("_open_ok").isNotNull()) \
-        .drop("_pk", "_ok_org", "_ok_own", "_open_ok")
+    flag, allowed = allowed_projects(lg, viewer, controller_roles, open_pairs, owner_must_exist)
+    return df.filter(flag | F.col(project_col).isin(allowed))
 
 
 # ------------------------------------------------------------------ D50 - D53l
@@ -707,7 +721,7 @@ def posting_detail(lg, viewer: int, as_of: str, months_back: int = 60, sources=N
           .join(cur("cost_currency", "ccc"), "cost_currency", "left")
           .join(cur("ic_cost_currency", "icc"), "ic_cost_currency", "left")
           .join(prim, ["project_key", "person_key"], "left").join(alti, ["project_key", "person_key"], "left"))
-    df = filter_project_access(lg, df, "project_key", "project_organization_key", "project_owning_org_key", viewer)
+    df = filter_project_access(lg, df, "project_key", viewer)
     see_cost = has_any_role(lg.member, viewer, COST_VIEW_ROLES)
     see_bill = has_any_role(lg.member, viewer, BILL_VIEW_ROLES)
     billable = F.col("billable_indicator") == "Y"
@@ -817,8 +831,8 @@ def project_dim(lg, viewer: int) -> DataFrame:
           .join(F.broadcast(lg.currency_code.select(F.col("currency_code_key").alias("_ooc"),
                                                     F.col("iso_currency_code").alias("owning_org_currency_code"))),
                 "_ooc", "left"))
-    df = filter_project_access(lg, df, "project_key", "customer_key", "owning_customer_key", viewer,
-                               PROJECT_DIM_CONTROLLER_ROLES, PROJECT_DIM_OPEN_PAIRS)
+    df = filter_project_access(lg, df, "project_key", viewer, PROJECT_DIM_CONTROLLER_ROLES, PROJECT_DIM_OPEN_PAIRS,
+                               owner_must_exist=False)
     return df.select(
         "project_key", "customer_key", F.col("owning_customer_key").alias("owning_cust_key"),
         *[F.col(f) for f, _ in PROJECT_DIM_OPEN_PAIRS], "project_code", F.col("title").alias("project_title"),
@@ -848,13 +862,18 @@ SUMMARY_SUM = ["billable_amount", "postings_unbilled", "postings_billed", "posti
 
 
 def posting_summary(lg, viewer: int, as_of: str, date_from: str, status_like: str = "%Open%",
-                    billing_types=("TM", "FP", "CP")) -> DataFrame:
+                    billing_types=("TM", "FP", "CP"), checkpoint: bool = False) -> DataFrame:
     """Posting detail joined to the project dimension, grouped by org+project and task labels.
 
     The dimension fans out (controllers, fee rows), so SUMs count a posting
-    once per dimension row, as the reference does.
+    once per dimension row, as the reference does.  ``checkpoint=True`` stores
+    the posting detail in the session's checkpoint folder first (cuts the
+    ~200-join lineage on long-running clusters).
     """
     x = posting_detail(lg, viewer, as_of)
+    if checkpoint:
+        from ..session import cut_lineage
+        x = cut_lineage(x)
     dim = project_dim(lg, viewer).select(F.col("project_key").alias("_dim_project_key"), "status",
                                          "proj_billing_type_code")
     df = x.join(dim, x.project_key == dim._dim_project_key).filter(

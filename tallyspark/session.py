@@ -51,3 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Materialise ``df`` with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Used between a very wide plan (the 15-source posting union) and what is
+    computed from it: the stored partitions live in the shared checkpoint
+    folder, so losing an executor afterwards re-reads them instead of replaying
+    the whole union, and later planning starts from a short plan.  Never a
+    machine-local checkpoint.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    return df.checkpoint(eager=True)

@@ -722,7 +722,9 @@ _bind("project_controller", ["events"], """
 select user_id % 10 as project_key, user_id as person_key,
        case user_id % 6 when 0 then 3 when 1 then 12 when 2 then 14 when 3 then 17 when 4 then 13 else 20 end
          as role_key,
-       case when user_id % 4 < 2 then 'Y' else 'N' end as primary_ind
+       -- a bounded set of primary controllers (at most one per project and role among them); all
+       -- other users are non-primary, so the project dimension's fan-out does not grow with the data
+       case when user_id < 24 then 'Y' else 'N' end as primary_ind
 from (select distinct user_id from {events}) u
 union all
 select project_key, cast(3896 as bigint), role_key, primary_ind
@@ -1055,12 +1057,30 @@ def duckdb_prefix(names) -> str:
     return ",\n".join(parts)
 
 
+# Bindings that aggregate (GROUP BY / DISTINCT) a driver table.  In a real
+# deployment these are stored ERP tables; here each is derived on the fly, and
+# a report that reads one from many places would otherwise recompute the
+# aggregation once per consumer (column pruning makes every copy different,
+# so Spark cannot reuse the exchange).  They are materialised once per
+# ``Ledger`` with a reliable checkpoint in the session's checkpoint folder.
+MATERIALIZED = frozenset({
+    "account", "project", "person", "person_time", "person_accrual_plan", "person_rate", "expense_report",
+    "approval_group_submitter", "cost_pool_group_calc", "cost_pool_group_calc_budget", "fin_document_detail",
+})
+
+
 class Ledger:
-    """Lazy ledger tables over one scale-factor folder (no Spark action runs here)."""
+    """Ledger tables over one scale-factor folder.
 
-    def __init__(self, spark, sf_dir: str):
+    Plain bindings are lazy views; the aggregating bindings in
+    ``MATERIALIZED`` are checkpointed on first use (pass
+    ``materialize=False`` to keep every table lazy).
+    """
+
+    def __init__(self, spark, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
 
     # Fact-sized driver tables.  When one arrives in fewer input splits than the
     # session has cores (the test files are a single parquet row group each),
@@ -1085,7 +1105,11 @@ class Ledger:
         frames = {}
         for d in b.deps:
             frames[d] = self.table(d) if d in BINDINGS else self.driver(d)
-        return self.spark.sql(b.sql, **frames)
+        df = self.spark.sql(b.sql, **frames)
+        if self.materialize and name in MATERIALIZED:
+            from ..session import cut_lineage
+            df = cut_lineage(df)
+        return df
 
     def __getattr__(self, name):
         if name in BINDINGS:
