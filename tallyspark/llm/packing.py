@@ -27,9 +27,9 @@ from .common import stored
 from .tokens import tokenizer
 
 CAPACITY = 2048
-GROUPS = 24
-#: Pieces longer than this share of the capacity are grouped, shorter ones fill up.
-LARGE = 1 / 8
+GROUPS = 128
+#: Pieces longer than this share of the capacity are grouped, shorter ones fill up; the best of these is taken.
+LARGE = (1 / 8, 1 / 4, 1 / 3, 1 / 2)
 _BUCKETS = 1024
 
 
@@ -138,8 +138,12 @@ def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> Counter:
-    """Patterns (lengths from the sequence's beginning) and how many sequences have them."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: tuple[float, ...] = LARGE) -> Counter:
+    """Patterns (lengths from the sequence's beginning) and how many sequences have them: the fewest over ``large``."""
+    return min((_grouped(counts, capacity, groups, x) for x in large), key=lambda p: sum(p.values()))
+
+
+def _grouped(counts: dict[int, int], capacity: int, groups: int, large: float) -> Counter:
     long_ = sorted(((n, c) for n, c in counts.items() if n > capacity * large), reverse=True)
     total = sum(c for _, c in long_)
     sizes, members = [], []

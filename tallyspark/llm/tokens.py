@@ -1,12 +1,14 @@
 """Token ids of whole texts by a public tokenizer file, with a word cache.
 
 The tokenizer cuts a text at white space before anything else, so the ids of
-a text are the ids of its white-space-separated chunks one after the other.
-Each Python worker keeps the ids of the chunks it has met.  New chunks are
-encoded many at a time in one string joined by blanks; an id that ends a word
-(its vocabulary entry ends in ``</w>``) closes a pre-token, which tells where
-one chunk's ids end.  Chunks for which this cannot hold (control characters,
-special-token strings) go through the tokenizer one by one.
+a text are the ids of its chunks between ASCII white space, one after the
+other.  Arrow splits a block of texts and lists its different chunks; only
+those are looked at one by one, and each Python worker keeps the ids of what
+it has met.  New pre-tokens are encoded many at a time in one string joined by
+blanks; an id that ends a word (its vocabulary entry ends in ``</w>``) closes
+a pre-token, which tells where its ids end.  Chunks for which this need not
+hold (other alphabets, control characters, special-token strings) go through
+the tokenizer one by one.
 """
 
 from __future__ import annotations
@@ -15,21 +17,22 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pattern of the tokenizer file's pre-tokenizer (fixed value, must equal the file's).
 PRE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks on which Python's and the tokenizer's lower-casing, composition and classes agree.
-_PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
-#: Python's split() takes these for white space, the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Anything but characters on which Python's and the tokenizer's lower-casing, composition and classes agree.
+_ODD = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u024f]")
+_SIGNS = frozenset(".,;:!?|")
 _cache: dict = {}
 
 
 class WordTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, max_cached: int = 400_000, batch_chars: int = 4000):
+    def __init__(self, path: str, max_cached: int = 500_000, batch_chars: int = 4000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -47,25 +50,14 @@ class WordTokenizer:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.pre = regex.compile(PRE)
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}  # ids of lower-cased pre-tokens
         self.max_cached, self.batch_chars = max_cached, batch_chars
 
     def _slow(self, chunk: str) -> bytes:
         return np.array(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        if self.lite is None:
-            for c in new:
-                self.chunks[c] = self._slow(c)
-            return
-        parts = {}
-        for c in new:
-            if _PLAIN.fullmatch(c) is None or any(s in c for s in self.specials):
-                self.chunks[c] = self._slow(c)
-                continue
-            parts[c] = self.pre.findall(c.lower())
-        words = list({w for p in parts.values() for w in p})
-        ids, k = {}, 0
+    def _learn(self, words: list[str]) -> None:
+        known, k = self.known, 0
         while k < len(words):
             size, j = 0, k
             while j < len(words) and (j == k or size < self.batch_chars):
@@ -76,27 +68,53 @@ class WordTokenizer:
             if len(cuts) == j - k:
                 raw, at = flat.tobytes(), 0
                 for w, end in zip(words[k:j], (cuts * 4).tolist()):
-                    ids[w] = raw[at:end]
+                    known[w] = raw[at:end]
                     at = end
             else:
                 for w in words[k:j]:
-                    ids[w] = self._slow(w)
+                    known[w] = self._slow(w)
             k = j
-        for c, p in parts.items():
-            self.chunks[c] = ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p])
 
-    def encode(self, texts: list[str], step: int = 128) -> list[bytes]:
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks."""
+        if self.lite is None:
+            return [self._slow(c) for c in chunks]
+        if len(self.known) > self.max_cached:
+            self.known = {"": b""}
+        known, parts = self.known, []
+        text = " ".join(chunks)
+        odd = _ODD.search(text) is not None or any(s in text for s in self.specials)
+        for c in chunks:
+            if odd and (_ODD.search(c) or any(s in c for s in self.specials)):
+                parts.append(None)
+            elif c.isalpha():
+                parts.append((c.lower(),))
+            elif c[-1:] in _SIGNS and c[:-1].isalpha():
+                parts.append((c[:-1].lower(), c[-1]))
+            else:
+                parts.append(tuple(self.pre.findall(c.lower())))
+        new = {w for p in parts if p for w in p if w not in known}
+        if new:
+            self._learn(list(new))
+        return [self._slow(c) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])
+                for c, p in zip(chunks, parts)]
+
+    def encode(self, texts: list[str], step: int = 1024) -> list[bytes]:
         out = []
         for k in range(0, len(texts), step):
-            split = [t.split() if _ODD.search(t) is None else None for t in texts[k:k + step]]
-            known = self.chunks
-            if len(known) > self.max_cached:
-                known.clear()
-            new = {w for ws in split if ws for w in ws} - known.keys()
-            if new:
-                self._learn(list(new))
-            for t, ws in zip(texts[k:k + step], split):
-                out.append(self._slow(t) if ws is None else b"".join([known[w] for w in ws]))
+            lists = pc.ascii_split_whitespace(pa.array(texts[k:k + step], pa.string()))
+            coded = lists.flatten().dictionary_encode()
+            ids = self._chunks(coded.dictionary.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            first = np.cumsum(size) - size
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            n = size[at]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            raw = flat[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            offsets = lists.offsets.to_numpy()
+            cuts = (upto[offsets - offsets[0]] * 4).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
 
