@@ -185,8 +185,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
                .withColumn("t", every("kv")).withColumn("kind", F.lit(0)).select(*cols))
     visitors = (visit.join(size, ["label", "d", "cell"]).withColumn("t", block("kv", 2)).withColumn("s", every("ks"))
                 .withColumn("kind", F.lit(1)).withColumn("visits", none).select(*cols))
-    found = stored(members.unionByName(visitors).groupBy("label", "d", "cell", "s", "t")
-                   .applyInPandas(lambda p: _compare(p, threshold), "a long, b long, n long"))
+    # dealt anew by all five columns: the joins left the rows together by cell, which would put a hot cell's blocks in one task
+    blocks = members.unionByName(visitors).repartition("label", "d", "cell", "s", "t")
+    found = stored(blocks.groupBy("label", "d", "cell", "s", "t").applyInPandas(lambda p: _compare(p, threshold), "a long, b long, n long"))
     gained = found.groupBy("a").agg(F.sum("n").alias("n"))
     group = components(found.where("a != b").select("a", "b"))
     per = stored(whole.join(gained, whole["id"] == gained["a"], "left").join(group, whole["id"] == group["node"], "left")
