@@ -1,15 +1,20 @@
 """Token-id output in training order: fixed-stride binary shards.
 
 Every text's ids (plus an end mark) are cut into sequences of a fixed number
-of ids.  A keyed Feistel network permutes the numbers of all sequences; where
-its power-of-two domain is larger than their number, it is applied again
-until it lands inside (cycle-walking).  The result is each sequence's slot in
-the training order.  A shard file holds the slots of one range, each at
-``(slot - first) * stride`` bytes, so a reader can resume at any slot.
+of ids.  A sequence's number follows from its input partition and its place in
+it; partitions are numbered apart by a bound on their sequences, taken from
+the bytes of their texts, so no pass over the ids is needed to count them.  A
+keyed Feistel network permutes these numbers; where its power-of-two domain is
+larger than their range, it is applied again until it lands inside
+(cycle-walking).  Equal ranges of the permuted numbers are the shards, and the
+order within them is the training order: a sequence's slot is the number of
+sequences before it.  In a file each sequence takes the same number of bytes,
+so a reader can resume at any slot.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import posixpath
 import uuid
@@ -21,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
 from .tokens import tokenizer
 
 IDS = 512
-PER_SHARD = 8_192
+#: Bytes of text for each shard, on average.
+SHARD_BYTES = 16_000_000
 ROUNDS = 6
 KEY = 20_240_229
 PAD = 0xFFFF
@@ -92,39 +97,43 @@ def _filesystem(uri: str):
     return FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (LocalFileSystem(), uri)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = IDS, per_shard: int = PER_SHARD,
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = IDS, shard_bytes: int = SHARD_BYTES,
                  key: int = KEY) -> DataFrame:
     """Write all sequences to ``folder`` and return where each one is.
 
-    ``folder`` is a path or URI that all executors share.  One row per
-    sequence: doc_id, piece, slot, shard, byte_offset, n_ids, ids_crc32 (of
-    its 16-bit ids).  Short sequences are padded with 0xFFFF.  A file is
-    written under a name of its own and renamed when whole, so a task that
-    runs again, or twice, leaves the same file.  ``index.json`` holds what a
-    reader needs.  Null and empty texts are one sequence, the end mark; no
-    rows give an index with no shards.  Other columns are not read.
+    ``folder`` is a path or URI that all executors share; ``docs`` is read
+    twice and must come in the same partitions and order, as a stored table
+    does.  One row per sequence: doc_id, piece, slot, shard, byte_offset,
+    n_ids, ids_crc32 (of its 16-bit ids).  Short sequences are padded with
+    0xFFFF.  A file is written under a name of its own and renamed when whole,
+    so a task that runs again, or twice, leaves the same file.  ``index.json``
+    holds what a reader needs.  Null and empty texts are one sequence, the end
+    mark; no rows give an index with no shards.  Other columns are not read.
     """
-    cut = sequences(docs, tokenizer_path, ids)
     spark, stride = docs.sparkSession, 2 * ids
-    store = posixpath.join(folder, "sequences")
-    cut.write.mode("overwrite").option("compression", "zstd").parquet(store)
-    cut = spark.read.parquet(store)
-    per_part = {r["part"]: r["count"] for r in cut.groupBy("part").count().collect()}  # one row per input partition
-    n, first = 0, {}
-    for p in sorted(per_part):
-        first[p] = n
-        n += per_part[p]
-    shards = -(-n // per_shard)
-
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "doc_id long, piece int, shard long, byte_offset long, n_ids int, ids_crc32 long"
+    fs, root = _filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    # an id stands for at least one byte of the folded text, and folding at most triples a text's bytes
+    room = (F.lit(1) + F.floor((3 * F.octet_length(F.coalesce("text", F.lit(""))) + 1) / ids)).cast("long")
+    parts = (docs.select(F.spark_partition_id().alias("part"), room.alias("room"), F.octet_length("text").alias("bytes"))
+             .groupBy("part").agg(F.sum("room").alias("room"), F.sum("bytes").alias("bytes")).collect())  # one row per input partition
+    domain, first = 0, {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        first[r["part"]] = domain
+        domain += r["room"]
+    shards = max(1, -(-sum(r["bytes"] or 0 for r in parts) // shard_bytes))
+    width = max(1, -(-domain // shards))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             number = b["part"].map(first).to_numpy(np.int64) + b["nth"].to_numpy(np.int64)
-            slot = feistel(number, n, key)
-            yield b[["doc_id", "piece", "n_ids", "payload"]].assign(slot=slot, shard=slot // per_shard)
+            at = feistel(number, domain, key) if len(b) else number
+            yield b[["doc_id", "piece", "n_ids", "payload"]].assign(at=at, shard=at // width)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _filesystem(folder)
-        at, out, name, temp = None, None, None, None
+        now, out, name, temp, done = None, None, None, None, 0
 
         def close():
             if out is not None:
@@ -133,30 +142,37 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = I
 
         for b in batches:
             for shard, rows in b.groupby("shard", sort=False):
-                if shard != at:
+                if shard != now:
                     close()
-                    at, name = shard, posixpath.join(root, f"shard-{shard:06d}.bin")
+                    now, done, name = shard, 0, posixpath.join(root, f"shard-{shard:06d}.bin")
                     temp = f"{name}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temp)
                 blank = np.uint16(PAD).tobytes()
-                for p in rows["payload"]:
-                    out.write(p + blank * (ids - len(p) // 2))
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "piece": b["piece"], "slot": b["slot"], "shard": b["shard"].astype("int32"),
-                "byte_offset": (b["slot"] - b["shard"] * per_shard) * stride, "n_ids": b["n_ids"],
-                "ids_crc32": [zlib.crc32(p) for p in b["payload"]]})
+                out.write(b"".join([p + blank * (ids - len(p) // 2) for p in rows["payload"]]))
+                yield pd.DataFrame({
+                    "doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "shard": rows["shard"],
+                    "byte_offset": (done + np.arange(len(rows))) * stride, "n_ids": rows["n_ids"],
+                    "ids_crc32": [zlib.crc32(p) for p in rows["payload"]]})
+                done += len(rows)
         close()
 
-    schema = "doc_id long, piece int, slot long, shard int, byte_offset long, n_ids int, ids_crc32 long"
-    fs, root = _filesystem(folder)
-    fs.create_dir(root, recursive=True)
-    placed = cut.mapInPandas(slots, "doc_id long, piece int, n_ids int, payload binary, slot long, shard long")
-    done = (placed.repartitionByRange(max(1, min(shards, 4096)), "shard").sortWithinPartitions("slot").mapInPandas(write, schema)
-            if n else spark.createDataFrame([], schema))
-    done = stored(done)
+    placed = sequences(docs, tokenizer_path, ids).mapInPandas(
+        place, "doc_id long, piece int, n_ids int, payload binary, at long, shard long")
+    done = placed.repartition(min(shards, 65_536), "shard").sortWithinPartitions("shard", "at").mapInPandas(write, schema)
+    where = posixpath.join(folder, "places")
+    done.write.mode("overwrite").parquet(where)
+    done = spark.read.schema(schema).parquet(where)
+    held = {r["shard"]: r["count"] for r in done.groupBy("shard").count().collect()}  # one row per shard
+    starts, n = [], 0
+    for x in range(shards):
+        starts.append(n)
+        n += held.get(x, 0)
     with fs.open_output_stream(posixpath.join(root, "index.json")) as f:
-        f.write(json.dumps({"sequences": n, "ids": ids, "stride": stride, "per_shard": per_shard, "shards": shards, "key": key}).encode())
-    return done
+        f.write(json.dumps({"sequences": n, "ids": ids, "stride": stride, "starts": starts, "key": key}).encode())
+    begin = F.broadcast(spark.createDataFrame(list(enumerate(starts)), "shard long, begin long"))
+    return done.join(begin, "shard").select(
+        "doc_id", "piece", (F.col("begin") + F.floor(F.col("byte_offset") / stride)).cast("long").alias("slot"),
+        F.col("shard").cast("int").alias("shard"), "byte_offset", "n_ids", "ids_crc32")
 
 
 def read_slots(spark: SparkSession, folder: str, start: int, count: int) -> Iterator[np.ndarray]:
@@ -165,12 +181,12 @@ def read_slots(spark: SparkSession, folder: str, start: int, count: int) -> Iter
     with fs.open_input_stream(posixpath.join(root, "index.json")) as f:
         ix = json.loads(f.read())
     slot, stop = start, min(ix["sequences"], start + count)
+    ends = ix["starts"][1:] + [ix["sequences"]]
     while slot < stop:
-        shard = slot // ix["per_shard"]
-        upto = min(stop, (shard + 1) * ix["per_shard"])
+        shard = bisect.bisect_right(ix["starts"], slot) - 1
         with fs.open_input_file(posixpath.join(root, f"shard-{shard:06d}.bin")) as f:
-            f.seek((slot - shard * ix["per_shard"]) * ix["stride"])
-            for _ in range(upto - slot):
+            f.seek((slot - ix["starts"][shard]) * ix["stride"])
+            for _ in range(min(stop, ends[shard]) - slot):
                 x = np.frombuffer(f.read(ix["stride"]), "<u2")
                 yield x[x != PAD]
-        slot = upto
+                slot += 1
