@@ -64,31 +64,35 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer_path: str, ids: int = IDS, end_id: int = 0) -> DataFrame:
-    """(part, nth, doc_id, piece, n_ids, payload): each text's ids and ``end_id`` in pieces, 16 bits an id.
+def sequences(docs: DataFrame, tokenizer_path: str, first: dict[int, int], domain: int, width: int, ids: int = IDS,
+              key: int = KEY, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, n_ids, payload, at, shard): each text's ids and ``end_id`` in pieces, 16 bits an id.
 
-    ``part`` and ``nth`` are the input partition and the place in it; a lost
-    partition is read and cut again in the same order.
+    A sequence's number is ``first`` of its input partition plus its place in
+    it; a lost partition is read and cut again in the same order.  ``at`` is
+    the permuted number, ``shard`` its range of ``width`` numbers.
     """
     end = int(end_id).to_bytes(2, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok, part, nth = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tok, nth = tokenizer(tokenizer_path), first.get(TaskContext.get().partitionId(), 0)
         for b in batches:
-            for k in range(0, len(b), 1024):
-                some, out = b.iloc[k:k + 1024], []
+            for k in range(0, len(b), 512):
+                some, out = b.iloc[k:k + 512], []
                 for doc, raw in zip(some["doc_id"], tok.encode([t or "" for t in some["text"]])):
                     raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes() + end
                     for i, at in enumerate(range(0, len(raw), 2 * ids)):
                         piece = raw[at:at + 2 * ids]
-                        out.append((part, nth, None if pd.isna(doc) else int(doc), i, len(piece) // 2, piece))
-                        nth += 1
-                yield pd.DataFrame(out, columns=["part", "nth", "doc_id", "piece", "n_ids", "payload"]).astype({"doc_id": "Int64"})
+                        out.append((None if pd.isna(doc) else int(doc), i, len(piece) // 2, piece))
+                at = feistel(np.arange(nth, nth + len(out)), domain, key)
+                nth += len(out)
+                yield (pd.DataFrame(out, columns=["doc_id", "piece", "n_ids", "payload"]).astype({"doc_id": "Int64"})
+                       .assign(at=at, shard=at // width))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        cut, "part int, nth long, doc_id long, piece int, n_ids int, payload binary")
+        cut, "doc_id long, piece int, n_ids int, payload binary, at long, shard long")
 
 
 def _filesystem(uri: str):
@@ -125,12 +129,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = I
     shards = max(1, -(-sum(r["bytes"] or 0 for r in parts) // shard_bytes))
     width = max(1, -(-domain // shards))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            number = b["part"].map(first).to_numpy(np.int64) + b["nth"].to_numpy(np.int64)
-            at = feistel(number, domain, key) if len(b) else number
-            yield b[["doc_id", "piece", "n_ids", "payload"]].assign(at=at, shard=at // width)
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _filesystem(folder)
         now, out, name, temp, done = None, None, None, None, 0
@@ -156,8 +154,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = I
                 done += len(rows)
         close()
 
-    placed = sequences(docs, tokenizer_path, ids).mapInPandas(
-        place, "doc_id long, piece int, n_ids int, payload binary, at long, shard long")
+    placed = sequences(docs, tokenizer_path, first, domain, width, ids, key)
     done = placed.repartition(min(shards, 65_536), "shard").sortWithinPartitions("shard", "at").mapInPandas(write, schema)
     where = posixpath.join(folder, "places")
     done.write.mode("overwrite").parquet(where)

@@ -32,7 +32,7 @@ _cache: dict = {}
 class WordTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, max_cached: int = 500_000, batch_chars: int = 4000):
+    def __init__(self, path: str, max_cached: int = 300_000, batch_chars: int = 4000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
