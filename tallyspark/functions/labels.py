@@ -126,7 +126,8 @@ def round_to_scale(x, scale, max_scale: int = 6, out_type: str = MONEY) -> Colum
     expr = F.when(s == 0, F.round(xv, 0).cast(out_type))
     for k in range(1, max_scale + 1):
         expr = expr.when(s == k, F.round(xv, k).cast(out_type))
-    return expr
+    # a finer scale than the amounts carry changes nothing; a null scale gives null
+    return expr.when(s > max_scale, xv.cast(out_type))
 
 
 # F12 --------------------------------------------------------------------------

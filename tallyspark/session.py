@@ -38,40 +38,24 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
-    untouched; only a bare local test session gets a fresh temporary folder.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        _set_context_dir(spark, current)
-        return current
-    path = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    _set_context_dir(spark, path)
-    return path
-
-
-def _set_context_dir(spark: SparkSession, path: str) -> None:
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
-        pass
+    """The folder in ``spark.checkpoint.dir``; only a local session gets one of its own when none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df):
-    """Materialise ``df`` with a reliable checkpoint in ``spark.checkpoint.dir``.
+    """``df`` stored by a reliable checkpoint in ``spark.checkpoint.dir``.
 
-    Used between a very wide plan (the 15-source posting union) and what is
-    computed from it: the stored partitions live in the shared checkpoint
-    folder, so losing an executor afterwards re-reads them instead of replaying
-    the whole union, and later planning starts from a short plan.  Never a
-    machine-local checkpoint.
+    Used, when the caller asks for it, between a very wide plan (the 15-source
+    posting union) and what is computed from it: losing an executor afterwards
+    re-reads the stored partitions, and later planning starts from a short
+    plan.
     """
-    spark = df.sparkSession
-    try:
-        ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-    except Exception:  # noqa: BLE001 - no usable checkpoint folder: keep the lazy plan (same result)
-        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -433,7 +433,7 @@ from {_values([(1, 1, 'Standard'), (2, 2, 'Provisional')],
 
 _bind("cost_pool_group_mle", ["nation"], """
 select cast(1 + n_nationkey % 2 as bigint) as cost_pool_group_key, cast(2000 + n_nationkey as bigint) as legal_entity_key
-from {nation} where n_nationkey < 4""")
+from {nation}""")
 
 # Pools: one per nation; two carry names of the report's exclusion list.
 _bind("cost_pool", ["nation"], """
@@ -838,22 +838,26 @@ from {orders} where o_orderkey % 5 = 0""")
 _bind("journal_onetime_charge", ["orders"], _order_journal("onetime_charge_key", "o_orderkey % 5 = 0 and o_orderkey % 10 <> 5", 3))
 
 
-# --- financial document detail lines (lineitem, one row per line key) -------
-# (l_orderkey, l_linenumber) is not unique in the driver data, so lines are
-# first collapsed to one row per key.
+# --- financial document detail lines (lineitem, one row per line) ------------
+# (l_orderkey, l_linenumber) is not unique in the driver data, so rows that
+# share it are numbered in the order of their other columns; the number is
+# part of the line's key.
 _bind("fin_document_detail", ["lineitem"], """
 select k as fin_document_detail_key, fin_document_key, account_key, organization_key, person_key,
        debit_amount, credit_amount, concat('Detail ', cast(k as string)) as description,
        case rf when 'R' then 'L' when 'A' then 'E' else 'I' end as detail_type,
        concat('R', cast(k % 1000 as string)) as reference, transaction_date
-from (select l_orderkey * 10 + l_linenumber as k, max(l_orderkey) as fin_document_key,
-             max(l_partkey) % 40 as account_key, cast(10000 + max(l_suppkey) as bigint) as organization_key,
-             max(l_suppkey) % 15 as person_key, cast(max(l_extendedprice) as decimal(18,2)) as debit_amount,
-             cast(cast(max(l_extendedprice) as decimal(18,2)) * cast(max(l_discount) as decimal(4,2)) as decimal(18,2))
+from (select (l_orderkey * 10 + l_linenumber) * 1000
+               + row_number() over (partition by l_orderkey, l_linenumber
+                                    order by l_partkey, l_suppkey, l_extendedprice, l_discount, l_returnflag, l_quantity) as k,
+             l_orderkey as fin_document_key,
+             l_partkey % 40 as account_key, cast(10000 + l_suppkey as bigint) as organization_key,
+             l_suppkey % 15 as person_key, cast(l_extendedprice as decimal(18,2)) as debit_amount,
+             cast(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(4,2)) as decimal(18,2))
                as credit_amount,
-             max(l_returnflag) as rf,
+             l_returnflag as rf,
              make_date(2024, 1, cast(1 + (l_orderkey * 10 + l_linenumber) % 28 as int)) as transaction_date
-      from {lineitem} group by l_orderkey * 10 + l_linenumber) d""")
+      from {lineitem}) d""")
 
 _bind("fin_document_det_proj_labor", ["fin_document_detail"], """
 select fin_document_detail_key, cast(1 + fin_document_detail_key % 4 as bigint) as labor_category_key,
@@ -1058,12 +1062,12 @@ def duckdb_prefix(names) -> str:
 
 
 # Bindings that aggregate (GROUP BY / DISTINCT) a driver table.  In a real
-# deployment these are stored ERP tables; here each is derived on the fly, and
-# a report that reads one from many places would otherwise recompute the
-# aggregation once per consumer (column pruning makes every copy different,
-# so Spark cannot reuse the exchange).  They are materialised once per
-# ``Ledger`` with a reliable checkpoint in the session's checkpoint folder.
-MATERIALIZED = frozenset({
+# deployment these are stored ERP tables; here a report that reads one from
+# many places would recompute the aggregation once per consumer (column
+# pruning makes every copy different, so Spark cannot reuse the exchange).
+# They are marked for caching, which starts no job: the first action that
+# reads one fills it, and a lost executor's part is computed again.
+CACHED = frozenset({
     "account", "project", "person", "person_time", "person_accrual_plan", "person_rate", "expense_report",
     "approval_group_submitter", "cost_pool_group_calc", "cost_pool_group_calc_budget", "fin_document_detail",
 })
@@ -1072,34 +1076,19 @@ MATERIALIZED = frozenset({
 class Ledger:
     """Ledger tables over one scale-factor folder.
 
-    Plain bindings are lazy views; the aggregating bindings in
-    ``MATERIALIZED`` are checkpointed on first use (pass
-    ``materialize=False`` to keep every table lazy).
+    Bindings are lazy views; the aggregating ones in ``CACHED`` are marked for
+    caching (pass ``cache=False`` to leave that out).
     """
 
-    def __init__(self, spark, sf_dir: str, materialize: bool = True):
+    def __init__(self, spark, sf_dir: str, cache: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.materialize = materialize
-
-    # The two largest driver tables.  When one arrives in fewer input splits than
-    # the session has cores (the test files are a single parquet row group
-    # each), its scan is spread round-robin so the stages before the first
-    # shuffle run on every core.  Measured at sf0.1: running/YTD/period balances
-    # 10 s faster each; the small events table is left alone (spreading it cost
-    # more than it saved).  On a cluster a large table already has thousands of
-    # splits, the condition is false and no shuffle is added.
-    FACT_SOURCES = ("lineitem", "orders")
+        self.cache = cache
 
     @functools.lru_cache(maxsize=None)
     def driver(self, name: str):
         real = "customer" if name == "tpch_customer" else name
-        df = self.spark.read.parquet(f"{self.sf_dir}/{real}.parquet")
-        if real in self.FACT_SOURCES:
-            cores = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{real}.parquet")
 
     @functools.lru_cache(maxsize=None)
     def table(self, name: str):
@@ -1108,9 +1097,8 @@ class Ledger:
         for d in b.deps:
             frames[d] = self.table(d) if d in BINDINGS else self.driver(d)
         df = self.spark.sql(b.sql, **frames)
-        if self.materialize and name in MATERIALIZED:
-            from ..session import cut_lineage
-            df = cut_lineage(df)
+        if self.cache and name in CACHED:
+            df = df.cache()
         return df
 
     def __getattr__(self, name):

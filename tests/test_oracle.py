@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from check import digest
+from tallyspark.plans.registry import oracle_sqls, spark_callables
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = spark_callables()
+ORACLES = oracle_sqls()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
