@@ -1,8 +1,6 @@
 """Helpers that write the DuckDB oracle SQL.
 
-The oracle follows the reference's own formulation (unions, EXISTS / IN
-subqueries, self joins, correlated subqueries) over the same fixture
-bindings, so it independently checks the DataFrame rewrites.
+The SQL runs over the same fixture bindings as the Spark queries.
 """
 
 from __future__ import annotations
@@ -56,21 +54,17 @@ def fiscal_period_sql(name: str, period: str) -> str:
 
 
 def finance_access_sql(org_expr: str, viewer: int) -> str:
-    """The reference's finance org filter, verbatim in structure (EXISTS / IN / UNION ALL)."""
+    """Whether a viewer may see an organization: administrators and holders of a global grant see all, others what
+    their grants name, an organization itself or all of a legal entity."""
     return f"""(
-  EXISTS (SELECT 1 FROM member WHERE person_key = {viewer} AND role_key = 1)
-  OR EXISTS (SELECT 1 FROM org_access_person WHERE person_key = {viewer} AND role_key = 33 AND global_access = 'Y')
+  (SELECT count(*) FROM member WHERE person_key = {viewer} AND role_key = 1)
+  + (SELECT count(*) FROM org_access_person WHERE person_key = {viewer} AND role_key = 33 AND global_access = 'Y') > 0
   OR {org_expr} IN (
-      SELECT v.customer_key FROM access_customer_view v
-      JOIN org_access_person oap ON oap.org_access_person_key = v.org_access_person_key
-      WHERE oap.person_key = {viewer} AND oap.role_key = 33 AND oap.access_type = 2 AND v.legal_entity_ind = 'N'
-      UNION ALL
-      SELECT cust.customer_key FROM customer cust
-      WHERE cust.legal_entity_key IN (
-          SELECT v.customer_key FROM access_customer_view v
-          JOIN org_access_person oap ON oap.org_access_person_key = v.org_access_person_key
-          WHERE oap.person_key = {viewer} AND oap.role_key = 33 AND oap.access_type = 2
-            AND v.legal_entity_ind = 'Y')))"""
+      SELECT c.customer_key
+      FROM org_access_person g
+      JOIN access_customer_view named USING (org_access_person_key)
+      JOIN customer c ON named.customer_key = CASE named.legal_entity_ind WHEN 'N' THEN c.customer_key WHEN 'Y' THEN c.legal_entity_key END
+      WHERE (g.person_key, g.role_key, g.access_type) = ({viewer}, 33, 2)))"""
 
 
 FINANCE_ACCESS_FIXTURES = ["member", "org_access_person", "access_customer_view", "customer"]
