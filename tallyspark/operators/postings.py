@@ -862,29 +862,33 @@ SUMMARY_SUM = ["billable_amount", "postings_unbilled", "postings_billed", "posti
 
 
 def posting_summary(lg, viewer: int, as_of: str, date_from: str, status_like: str = "%Open%",
-                    billing_types=("TM", "FP", "CP"), checkpoint: bool = False) -> DataFrame:
+                    billing_types=("TM", "FP", "CP"), dedupe_dim: bool = False, checkpoint: bool = False) -> DataFrame:
     """Posting detail joined to the project dimension, grouped by org+project and task labels.
 
-    The dimension fans out (controllers, fee rows), so SUMs count a posting
-    once per dimension row, as the reference does.  ``checkpoint=True`` stores
-    the posting detail in the session's checkpoint folder first (cuts the
-    ~200-join lineage on long-running clusters).
+    The dimension has several rows for a project (controllers, fee rows), and a
+    SUM counts a posting once for each of them, as the reference does;
+    ``dedupe_dim=True`` counts it once.  The detail is summed by project and
+    labels first and the sums multiplied by the project's dimension rows, so no
+    posting is ever repeated.  ``checkpoint=True`` stores the posting detail in
+    the session's checkpoint folder first (cuts the ~200-join lineage on
+    long-running clusters).
     """
     x = posting_detail(lg, viewer, as_of)
     if checkpoint:
         from ..session import cut_lineage
         x = cut_lineage(x)
-    dim = project_dim(lg, viewer).select(F.col("project_key").alias("_dim_project_key"), "status",
-                                         "proj_billing_type_code")
-    df = x.join(dim, x.project_key == dim._dim_project_key).filter(
-        F.col("status").like(status_like) & F.col("proj_billing_type_code").isin(*billing_types)
-        & (F.col("transaction_date") >= F.lit(date_from).cast("timestamp_ntz")))
-    g1 = concat_nn("project_org_code", F.lit(" "), "project_code")
-    g2 = concat_nn("task_number", F.lit(" "), "task_name")
-    aggs = [F.max(c).alias(f"c{i}") for i, c in enumerate(SUMMARY_MAX)]
-    aggs += [F.sum(c).alias(f"c{i + 10}") for i, c in enumerate(SUMMARY_SUM)]
-    aggs += [F.max("_dim_project_key").alias("c15"), F.max("transaction_data_key").alias("c16"),
-             F.max("transaction_type").alias("c17"), F.max("cost_element").alias("c18"),
-             F.max("cost_amount").alias("c19")]
-    out = df.groupBy(g1.alias("_g1"), g2.alias("_g2")).agg(*aggs)
-    return out.orderBy("_g1", "_g2").drop("_g1", "_g2")
+    rows_of = F.lit(1).cast("long") if dedupe_dim else F.count("*")
+    dim = (project_dim(lg, viewer)
+           .filter(F.col("status").like(status_like) & F.col("proj_billing_type_code").isin(*billing_types))
+           .groupBy("project_key").agg(rows_of.alias("_rows")))
+    labels = [concat_nn("project_org_code", F.lit(" "), "project_code").alias("_g1"),
+              concat_nn("task_number", F.lit(" "), "task_name").alias("_g2")]
+    maxes = {f"c{i}": c for i, c in enumerate(SUMMARY_MAX)}
+    maxes |= {"c15": "project_key", "c16": "transaction_data_key", "c17": "transaction_type", "c18": "cost_element",
+              "c19": "cost_amount"}
+    sums = {f"c{i + 10}": c for i, c in enumerate(SUMMARY_SUM)}
+    per = (x.filter(F.col("transaction_date") >= F.lit(date_from).cast("timestamp_ntz")).groupBy("project_key", *labels)
+           .agg(*[F.max(c).alias(k) for k, c in maxes.items()], *[F.sum(c).alias(k) for k, c in sums.items()]))
+    out = per.join(dim, "project_key").groupBy("_g1", "_g2").agg(
+        *[F.max(k).alias(k) for k in maxes], *[F.sum(F.col(k) * F.col("_rows")).alias(k) for k in sums])
+    return out.orderBy("_g1", "_g2").select(*[f"c{i}" for i in range(20)])

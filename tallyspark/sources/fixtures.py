@@ -16,13 +16,15 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
+from .tables import load
+
 # Money derived from DOUBLE columns is cast to DECIMAL first and multiplied in
 # decimals: a double product cast to DECIMAL rounds half cases differently in
 # Spark (via the shortest decimal string) and DuckDB (exact binary value).
 
 # Fixed values of the bindings (years of the fiscal calendar, currency list,
 # grant assignments).  They define the synthetic ERP, not query parameters.
-FISCAL_YEARS = list(range(1995, 2003))
+FISCAL_YEARS = [*range(1995, 2003), 2024]  # the ledger's years and the one of the time entries
 CURRENCIES = [(1, "USD", 2), (2, "EUR", 2), (3, "JPY", 0)]
 
 
@@ -155,45 +157,40 @@ select l_orderkey * 10 + l_linenumber as general_ledger_key,
 from {lineitem}""")
 
 # --- trees (nested sets) ------------------------------------------------------
+# Visit numbers leave ten for each supplier key that exists, so a nation's
+# interval holds all its suppliers however many there are.
+_SPAN = "(select cast(10 * (max(s_suppkey) + 2) as bigint) from {supplier})"
+
 _bind("org_tree", ["region", "nation", "supplier"], """
 select cast(1000 + r_regionkey as bigint) as node_key, 0 as tree_level,
-       cast(r_regionkey as bigint) * 100000000 as left_visit,
-       cast(r_regionkey as bigint) * 100000000 + 99999999 as right_visit
+       100 * r_regionkey * SPAN as left_visit, 100 * (r_regionkey + 1) * SPAN - 1 as right_visit
 from {region}
 union all
-select cast(2000 + n_nationkey as bigint), 1,
-       cast(n_regionkey as bigint) * 100000000 + (n_nationkey + 1) * 1000000,
-       cast(n_regionkey as bigint) * 100000000 + (n_nationkey + 1) * 1000000 + 999999
+select cast(2000 + n_nationkey as bigint), 1, (100 * n_regionkey + n_nationkey + 1) * SPAN,
+       (100 * n_regionkey + n_nationkey + 2) * SPAN - 1
 from {nation}
 union all
-select cast(10000 + s_suppkey as bigint), 2,
-       cast(n_regionkey as bigint) * 100000000 + (n_nationkey + 1) * 1000000 + s_suppkey * 10 + 1,
-       cast(n_regionkey as bigint) * 100000000 + (n_nationkey + 1) * 1000000 + s_suppkey * 10 + 2
-from {supplier} join {nation} on n_nationkey = s_nationkey""")
+select cast(10000 + s_suppkey as bigint), 2, (100 * n_regionkey + n_nationkey + 1) * SPAN + s_suppkey * 10 + 1,
+       (100 * n_regionkey + n_nationkey + 1) * SPAN + s_suppkey * 10 + 2
+from {supplier} join {nation} on n_nationkey = s_nationkey""".replace("SPAN", _SPAN))
 
 # Financial org tree: nations are roots, regions are missing from it.
 _bind("org_fin_tree", ["nation", "supplier"], """
 select cast(2000 + n_nationkey as bigint) as node_key, 0 as tree_level,
-       cast(n_nationkey as bigint) * 100000000 as left_visit,
-       cast(n_nationkey as bigint) * 100000000 + 99999999 as right_visit
+       n_nationkey * SPAN as left_visit, (n_nationkey + 1) * SPAN - 1 as right_visit
 from {nation}
 union all
-select cast(10000 + s_suppkey as bigint), 1,
-       cast(s_nationkey as bigint) * 100000000 + s_suppkey * 10 + 1,
-       cast(s_nationkey as bigint) * 100000000 + s_suppkey * 10 + 2
-from {supplier}""")
+select cast(10000 + s_suppkey as bigint), 1, s_nationkey * SPAN + s_suppkey * 10 + 1, s_nationkey * SPAN + s_suppkey * 10 + 2
+from {supplier}""".replace("SPAN", _SPAN))
 
 # Cost-pool org tree: suppliers directly under their region (nations skipped).
 _bind("org_cost_pool_tree", ["region", "nation", "supplier"], """
 select cast(1000 + r_regionkey as bigint) as node_key, 0 as tree_level,
-       cast(r_regionkey as bigint) * 100000000 as left_visit,
-       cast(r_regionkey as bigint) * 100000000 + 99999999 as right_visit
+       r_regionkey * SPAN as left_visit, (r_regionkey + 1) * SPAN - 1 as right_visit
 from {region}
 union all
-select cast(10000 + s_suppkey as bigint), 1,
-       cast(n_regionkey as bigint) * 100000000 + s_suppkey * 10 + 1,
-       cast(n_regionkey as bigint) * 100000000 + s_suppkey * 10 + 2
-from {supplier} join {nation} on n_nationkey = s_nationkey""")
+select cast(10000 + s_suppkey as bigint), 1, n_regionkey * SPAN + s_suppkey * 10 + 1, n_regionkey * SPAN + s_suppkey * 10 + 2
+from {supplier} join {nation} on n_nationkey = s_nationkey""".replace("SPAN", _SPAN))
 
 _bind("org_consolidation_tree", ["org_tree"], "select * from {org_tree}")
 
@@ -722,10 +719,10 @@ _bind("project_controller", ["events"], """
 select user_id % 10 as project_key, user_id as person_key,
        case user_id % 6 when 0 then 3 when 1 then 12 when 2 then 14 when 3 then 17 when 4 then 13 else 20 end
          as role_key,
-       -- a bounded set of primary controllers (at most one per project and role among them); all
-       -- other users are non-primary, so the project dimension's fan-out does not grow with the data
-       case when user_id < 24 then 'Y' else 'N' end as primary_ind
+       -- each project and role has one primary controller, its first user; all others are alternates
+       case when f.first_user is not null then 'Y' else 'N' end as primary_ind
 from (select distinct user_id from {events}) u
+left join (select min(user_id) as first_user from {events} group by user_id % 10, user_id % 6) f on f.first_user = u.user_id
 union all
 select project_key, cast(3896 as bigint), role_key, primary_ind
 from (values (2, 3, 'Y'), (5, 12, 'N'), (7, 20, 'Y')) v(project_key, role_key, primary_ind)""")
@@ -1088,7 +1085,7 @@ class Ledger:
     @functools.lru_cache(maxsize=None)
     def driver(self, name: str):
         real = "customer" if name == "tpch_customer" else name
-        return self.spark.read.parquet(f"{self.sf_dir}/{real}.parquet")
+        return load(self.spark, self.sf_dir, real)
 
     @functools.lru_cache(maxsize=None)
     def table(self, name: str):

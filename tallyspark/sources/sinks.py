@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def display_names(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the column titles of a printed report (P1): ``names``, else words in capitals (fiscal_period: Fiscal Period).
+
+    Two columns with the same title are an error.
+    """
+    titles = {c: (names or {}).get(c) or c.replace("_", " ").title() for c in df.columns}
+    if len({t.lower() for t in titles.values()}) < len(titles):
+        raise ValueError("two columns have the same title")
+    return df.withColumnsRenamed(titles)
+
+
 def write_report(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
     """Write a report as parquet, optionally partitioned (e.g. by fiscal year)."""
     w = df.write.mode(mode)
