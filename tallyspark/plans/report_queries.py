@@ -1,4 +1,4 @@
-"""Registered report queries (D30-D32) with oracles built from the reference's joins."""
+"""Registered report queries (D30-D32) with their DuckDB SQL: a fact beside its dimensions."""
 
 from __future__ import annotations
 
@@ -7,66 +7,56 @@ from ..params import DEFAULT as P
 from .dim_queries import ACCOUNT_DIM_FIXTURES, ORG_DIM_FIXTURES, account_dim_sql, org_dim_sql
 from .ledger_queries import BUDGET_FIXTURES, budget_actual_sql
 from .registry import register
-from .sqltext import fiscal_period_sql, with_fixtures
+from .sqltext import with_fixtures
 
 YEAR_FROM, YEAR_TO = "FY1999", "FY2000"
 
 
-def calendar_sql() -> str:
-    return f"""
-SELECT fm.fiscal_month_key, fm.period_number, fm.begin_date, fm.end_date,
-       {fiscal_period_sql('fy.name', 'fm.period_number')} AS fiscal_period,
-       CASE WHEN fm.period_number IN (1,2,3) THEN 'Q1' WHEN fm.period_number IN (4,5,6) THEN 'Q2'
-            WHEN fm.period_number IN (7,8,9) THEN 'Q3' WHEN fm.period_number IN (10,11,12) THEN 'Q4' END AS fiscal_quarter,
-       fq.begin_date AS fiscal_quarter_begin_date, fq.end_date AS fiscal_quarter_end_date,
-       fy.name AS fiscal_year, fy.begin_date AS fiscal_year_begin_date, fy.end_date AS fiscal_year_end_date
-FROM fiscal_month fm
-JOIN fiscal_year fy ON fy.fiscal_year_key = fm.fiscal_year_key
-JOIN fiscal_quarter fq ON fq.fiscal_quarter_key = fm.fiscal_quarter_key"""
+FIX = sorted(set(BUDGET_FIXTURES + ACCOUNT_DIM_FIXTURES + ORG_DIM_FIXTURES + ["fiscal_quarter"]))
 
+#: The fiscal calendar: months that have a year and a quarter.
+CALENDAR = """(
+  SELECT fiscal_month_key, m.end_date, y.name AS fiscal_year,
+         CASE WHEN period_number BETWEEN 1 AND 12 THEN concat('Q', (period_number + 2) // 3) END AS fiscal_quarter
+  FROM fiscal_month m JOIN fiscal_year y USING (fiscal_year_key) SEMI JOIN fiscal_quarter q USING (fiscal_quarter_key))"""
 
-FIX = sorted(set(BUDGET_FIXTURES + ACCOUNT_DIM_FIXTURES + ORG_DIM_FIXTURES + ["fiscal_quarter"]))
-LV = [f"acct_fin_lv{k}_{s}" for k in range(2, 7) for s in ("code", "name")]
+
+def star_sql(fact: str, columns: dict[str, str], orgs: bool, where: str = "TRUE") -> str:
+    """``columns`` (name: expression) of the fact ``f`` with its account ``a``, its month ``cal`` and, if wanted, its organization ``o``."""
+    shown = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    org = f"JOIN ({org_dim_sql()}) o ON o.customer_key = f.organization_key" if orgs else ""
+    return with_fixtures(FIX, f"""
+SELECT {shown}
+FROM ({fact}) f JOIN ({account_dim_sql()}) a USING (account_key) JOIN {CALENDAR} cal USING (fiscal_month_key) {org}
+WHERE {where}""")
+
+
+LEVELS = [f"acct_fin_lv{k}_{s}" for k in range(2, 7) for s in ("code", "name")]
+
+
+def numbered(expressions) -> dict[str, str]:
+    return {f"c{i}": e for i, e in enumerate(expressions)}
 
 
 def aop_report_sql(viewer, as_of):
-    return with_fixtures(FIX, f"""
-SELECT f.budget, f.fiscal_period, {', '.join('a.' + c for c in LV)}, a.acct_type, f.organization_key,
-       f.fiscal_month_key, f.act_budname, a.account_key AS dim_account_key, o.customer_key,
-       cal.fiscal_month_key AS calendar_fiscal_month_key, f.fin_org_code
-FROM ({budget_actual_sql(viewer, as_of, 36, 'zero')}) f
-JOIN ({account_dim_sql()}) a ON f.account_key = a.account_key
-JOIN ({calendar_sql()}) cal ON f.fiscal_month_key = cal.fiscal_month_key
-JOIN ({org_dim_sql()}) o ON f.organization_key = o.customer_key""")
+    facts = ["budget", "fiscal_period", "organization_key", "fiscal_month_key", "act_budname", "fin_org_code"]
+    columns = ({c: f"f.{c}" for c in facts} | {c: f"a.{c}" for c in [*LEVELS, "acct_type"]}
+               | {"dim_account_key": "a.account_key", "customer_key": "o.customer_key", "calendar_fiscal_month_key": "cal.fiscal_month_key"})
+    return star_sql(budget_actual_sql(viewer, as_of, 36, "zero"), columns, orgs=True)
 
 
 def income_statement_sql(viewer, as_of):
-    cols = (["f.fiscal_period"] + ["a." + c for c in LV] +
-            ["a.acct_type", "f.actual", "f.account_key", "f.organization_key", "f.fiscal_month_key",
-             "f.act_budname", "a.account_key", "o.customer_key", "cal.fiscal_month_key", "f.fin_org_code"])
-    sel = ", ".join(f"{c} AS c{i}" for i, c in enumerate(cols))
-    return with_fixtures(FIX, f"""
-SELECT {sel}
-FROM ({budget_actual_sql(viewer, as_of, 36, 'null')}) f
-JOIN ({account_dim_sql()}) a ON f.account_key = a.account_key
-JOIN ({calendar_sql()}) cal ON f.fiscal_month_key = cal.fiscal_month_key
-JOIN ({org_dim_sql()}) o ON f.organization_key = o.customer_key""")
+    columns = numbered(["f.fiscal_period", *(f"a.{c}" for c in LEVELS), "a.acct_type", "f.actual", "f.account_key", "f.organization_key",
+                        "f.fiscal_month_key", "f.act_budname", "a.account_key", "o.customer_key", "cal.fiscal_month_key", "f.fin_org_code"])
+    return star_sql(budget_actual_sql(viewer, as_of, 36, "null"), columns, orgs=True)
 
 
 def aop_vs_actual_sql(viewer, as_of, y0, y1):
-    cols = ["f.act_budname", "cal.fiscal_year", "cal.fiscal_quarter", "cal.end_date", "a.acct_fin_lv5_code",
-            "f.actual", "f.budget", "a.acct_fin_lv4_code", "a.acct_fin_lv6_code", "a.acct_fin_lv1_code",
-            "f.net_amount", "f.account_key", "f.organization_key", "f.fiscal_month_key", "a.account_key",
-            "cal.fiscal_month_key"]
-    sel = ", ".join(f"{c} AS c{i}" for i, c in enumerate(cols))
-    return with_fixtures(FIX, f"""
-SELECT {sel}
-FROM ({budget_actual_sql(viewer, as_of, 48, 'null')}) f
-JOIN ({account_dim_sql()}) a ON f.account_key = a.account_key
-JOIN ({calendar_sql()}) cal ON f.fiscal_month_key = cal.fiscal_month_key
-WHERE (cal.fiscal_year BETWEEN '{y0}' AND '{y1}' OR cal.end_date IS NULL)
-  AND (f.act_budname = 'AOP' OR concat(f.act_budname, '') = 'Actual')
-ORDER BY a.acct_fin_lv5_code ASC, cal.end_date DESC""")
+    columns = numbered(["f.act_budname", "cal.fiscal_year", "cal.fiscal_quarter", "cal.end_date", "a.acct_fin_lv5_code", "f.actual",
+                        "f.budget", "a.acct_fin_lv4_code", "a.acct_fin_lv6_code", "a.acct_fin_lv1_code", "f.net_amount", "f.account_key",
+                        "f.organization_key", "f.fiscal_month_key", "a.account_key", "cal.fiscal_month_key"])
+    return star_sql(budget_actual_sql(viewer, as_of, 48, "null"), columns, orgs=False,
+                    where=f"f.act_budname IN ('AOP', 'Actual') AND cal.fiscal_year BETWEEN '{y0}' AND '{y1}'")
 
 
 register("d30_aop_report", lambda lg: R.aop_report(lg, P.viewer, P.as_of), aop_report_sql(P.viewer, P.as_of))

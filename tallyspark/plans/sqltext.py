@@ -33,24 +33,28 @@ def trailing_years_sql(col: str, as_of: str, n: int) -> str:
     return f"{col} >= {ts(as_of)} - INTERVAL {n} YEAR"
 
 
+def decode_sql(col: str, mapping: dict, default: str | None = None) -> str:
+    """The value a fixed code list gives for ``col``."""
+    lit = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    found = f"map([{', '.join(map(lit, mapping))}], [{', '.join(map(lit, mapping.values()))}])[{col}]"
+    return found if default is None else f"coalesce({found}, {lit(default)})"
+
+
 def acct_type_sql(col: str) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACCOUNT_TYPE_NAMES.items())
-    return f"CASE {col} {whens} ELSE '{UNKNOWN_ACCOUNT_TYPE}' END"
+    return decode_sql(col, ACCOUNT_TYPE_NAMES, UNKNOWN_ACCOUNT_TYPE)
 
 
 def acct_type_order_sql(col: str) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in ACCOUNT_TYPE_ORDER.items())
-    return f"CASE {col} {whens} END"
+    return decode_sql(col, ACCOUNT_TYPE_ORDER)
 
 
 def doc_type_sql(col: str, part: int) -> str:
-    whens = " ".join(f"WHEN {k} THEN '{v[part]}'" for k, v in GL_FEATURES.items())
-    return f"CASE {col} {whens} ELSE '{UNKNOWN_DOC_TYPE}' END"
+    return decode_sql(col, {k: v[part] for k, v in GL_FEATURES.items()}, UNKNOWN_DOC_TYPE)
 
 
 def fiscal_period_sql(name: str, period: str) -> str:
-    return (f"CASE WHEN {period} < 10 THEN concat({name}, '-0', CAST({period} AS VARCHAR)) "
-            f"ELSE concat({name}, '-', CAST({period} AS VARCHAR)) END")
+    """Year name, dash, period of at least two digits; what is missing counts as empty."""
+    return f"concat({name}, '-', CASE WHEN {period} < 10 THEN 0 END, {period})"
 
 
 def finance_access_sql(org_expr: str, viewer: int) -> str:
