@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import MONEY, TOTAL, aging_bucket, fiscal_period
 from .access import ADMIN_ROLE
 from .calendar import interval_lookup
+from .joins import left_join_some
 
 AP_ROLES = (27, 28, 29)
 AP_DELEGATE_ROLE = 56
@@ -100,8 +101,8 @@ def _orgs(lg, role: str) -> DataFrame:
                               *([F.col("currency_code_key").alias("_vendor_ccy")] if role == "vendor" else []))
 
 
-def _doc_numbers(lg, role: str) -> DataFrame:
-    return lg.fin_document.select(F.col("fin_document_key").alias(f"_{role}_key"),
+def _doc_numbers(lg, role: str, key: str) -> DataFrame:
+    return lg.fin_document.select(F.col("fin_document_key").alias(key),
                                   F.col("document_number").alias(f"_{role}_number"))
 
 
@@ -142,12 +143,14 @@ def vendor_invoice_header(lg, viewer: int, as_of: str) -> DataFrame:
 
     df = (
         fd.join(fdr, "fin_document_key", "left")
-        .join(_doc_numbers(lg, "ofd"), F.col("_orig_key") == F.col("_ofd_key"), "left")
+        .transform(lambda d: left_join_some(d, _doc_numbers(lg, "ofd", "_orig_key"), "_orig_key", "fin_document_key"))
         .transform(lambda d: interval_lookup(d, "post_date", months, ["fiscal_month_key", "period_number", "_fy_name"]))
-        .join(_doc_numbers(lg, "voiding"), F.col("voiding_fin_document_key") == F.col("_voiding_key"), "left")
-        .join(_doc_numbers(lg, "voided"), F.col("voided_fin_document_key") == F.col("_voided_key"), "left")
+        .transform(lambda d: left_join_some(d, _doc_numbers(lg, "voiding", "voiding_fin_document_key"),
+                                            "voiding_fin_document_key", "fin_document_key"))
+        .transform(lambda d: left_join_some(d, _doc_numbers(lg, "voided", "voided_fin_document_key"),
+                                            "voided_fin_document_key", "fin_document_key"))
         .join(vi, "fin_document_key")
-        .join(po, "po_key", "left")
+        .transform(lambda d: left_join_some(d, po, "po_key", "fin_document_key"))
         .join(_orgs(lg, "legal_entity"), "legal_entity_key")
         .join(pt, "payment_term_key")
         .join(_orgs(lg, "vendor"), "vendor_key")
@@ -255,7 +258,7 @@ def _line_branch(lg, kind: str) -> DataFrame:
         link = cppd.select(F.col("fin_document_det_labor_key").alias("fin_document_detail_key"),
                            F.col("cost_element_key").alias("_ce"), F.col("invoice_key").alias("_icp"))
         lc = lg.labor_category.select("labor_category_key", F.col("account_number").alias("_lc_acct"))
-        df = (base.join(pol, "fin_document_detail_key", "left").join(descr, "_descr_key", "left")
+        df = (base.join(pol, "fin_document_detail_key", "left").transform(lambda d: left_join_some(d, descr, "_descr_key", "fin_document_detail_key"))
               .join(det, "fin_document_detail_key", "left").join(lc, "labor_category_key", "left")
               .join(struct, "cost_struct_labor_key", "left"))
         elem_key = F.col("cost_struct_labor_key")
@@ -278,15 +281,15 @@ def _line_branch(lg, kind: str) -> DataFrame:
         link = cppd.select(F.col("fin_document_det_expense_key").alias("fin_document_detail_key"),
                            F.col("cost_element_key").alias("_ce"), F.col("invoice_key").alias("_icp"))
         df = (base.join(det, "fin_document_detail_key", "left").join(proj, "fin_document_detail_key", "left")
-              .join(pol, "fin_document_detail_key", "left").join(descr, "_descr_key", "left")
+              .join(pol, "fin_document_detail_key", "left").transform(lambda d: left_join_some(d, descr, "_descr_key", "fin_document_detail_key"))
               .join(struct, "cost_struct_odc_key", "left"))
         elem_key = F.col("cost_struct_odc_key")
         qty, rate, lab, exp_type = F.lit(None), F.lit(None), F.lit(None), F.col("expense_type_key")
         acct_number, line_type = F.lit(None), "expense"
     df = (df.join(prj, "project_key", "left").join(t, "task_key", "left")
-          .join(_invoices(lg, "_ia", "_inv_a"), "_ia", "left").join(_invoices(lg, "_im", "_inv_m"), "_im", "left")
-          .join(link, ["fin_document_detail_key", "_ce"], "left")
-          .join(_invoices(lg, "_icp", "_inv_cp"), "_icp", "left"))
+          .join(link, ["fin_document_detail_key", "_ce"], "left"))
+    for key, number in (("_ia", "_inv_a"), ("_im", "_inv_m"), ("_icp", "_inv_cp")):
+        df = left_join_some(df, _invoices(lg, key, number), key, "fin_document_detail_key")
     return df.select(
         F.col("fin_document_detail_key").alias("dtl_fin_document_detail_key"),
         F.col("detail_type").alias("dtl_line_type"), F.col("fin_document_key").alias("dtl_fin_document_key"),

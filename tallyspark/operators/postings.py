@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import MONEY, concat_nn, round_to_scale
 from .access import has_any_role
 from .calendar import trailing_months
+from .joins import left_join_some
 
 # Journal categories.
 CAT_BILLED, CAT_DEFERRED, CAT_REVENUE, CAT_UNBILLED, CAT_COST_TIME, CAT_WRITE_OFF = 1, 2, 3, 5, 6, 9
@@ -145,7 +146,7 @@ def source_timesheet_labor(lg) -> DataFrame:
     jv = journal_pivot(lg.journal_time, "time_data_key")
     wv = writeoffs(lg.invcd_time, lg.invoice, "time_data_key")
     df = (ptd.join(pt, "person_time_key").join(ph, "cost_post_history_key", "left")
-          .join(_vendor_docs(lg), "vendor_invoice_key", "left")
+          .transform(lambda d: left_join_some(d, _vendor_docs(lg), "vendor_invoice_key", "time_data_key"))
           .join(_cost_structure(lg, "cost_struct_labor_key", "cost_struct_labor", "cost_struct_labor_key"),
                 "cost_struct_labor_key", "left")
           .join(jv, "time_data_key", "left").join(wv, "time_data_key", "left"))
@@ -186,9 +187,9 @@ def source_timesheet_cost_plus(lg) -> DataFrame:
     The reference looks the structure up in ``cost_struct_odc`` with the
     line's *labor* structure key; that join is kept as written.
     """
-    cppd = lg.cost_plus_post_detail.select("cost_plus_post_detail_key", "time_data_key", "cost_element_key",
-                                           "fee_method_key", F.col("invoice_key").alias("_cp_invoice"),
-                                           F.col("post_history_key").alias("_cp_ph"))
+    cppd = lg.cost_plus_post_detail.filter(F.col("time_data_key").isNotNull()).select(
+        "cost_plus_post_detail_key", "time_data_key", "cost_element_key", "fee_method_key",
+        F.col("invoice_key").alias("_cp_invoice"), F.col("post_history_key").alias("_cp_ph"))
     ph = lg.post_history.select(F.col("post_history_key").alias("_cp_ph"), F.col("journal_trans_date").alias("_ph_date"))
     fm = lg.fee_method.select("fee_method_key", "fee_method")
     ce = lg.cost_element.select("cost_element_key", F.col("code").alias("ce_code"),
@@ -377,7 +378,7 @@ def _line_frame(lg, family: str, cost_plus: bool) -> DataFrame:
                                  F.col("comments").alias("_ed_comments"), "expense_date", "summary"), "expense_data_key")
               .join(_expense_types(lg, exclude=not cost_plus), "expense_type_key").join(er, "expense_report_key"))
         if not cost_plus:
-            df = df.join(_vendor_docs_on(lg, "vendor_invoice_key"), "vendor_invoice_key", "left")
+            df = left_join_some(df, _vendor_docs(lg), "vendor_invoice_key", "expense_data_allocation_key")
         df = df.join(_struct(lg, "cost_struct_odc", "cost_struct_odc_key"), "cost_struct_odc_key", "left")
         return df.withColumn("_line_key", F.col("expense_data_allocation_key"))
     fdd = lg.fin_document_detail.select("fin_document_detail_key", "fin_document_key", "person_key", "account_key",
@@ -513,9 +514,10 @@ def _direct_source(lg, family: str, journal: str, cost_cat=None) -> DataFrame:
 
 def _cost_plus_source(lg, family: str, link: str) -> DataFrame:
     """Cost-plus variant: journal rows aggregated per (line, cost element or fee method) first."""
-    cppd = lg.cost_plus_post_detail.select("cost_plus_post_detail_key", F.col(link).alias("_line_key"),
-                                           "cost_element_key", "fee_method_key", F.col("invoice_key").alias("_cp_invoice"),
-                                           F.col("post_history_key").alias("_cp_ph"))
+    # the link is NULL for postings of the other families
+    cppd = lg.cost_plus_post_detail.filter(F.col(link).isNotNull()).select(
+        "cost_plus_post_detail_key", F.col(link).alias("_line_key"), "cost_element_key", "fee_method_key",
+        F.col("invoice_key").alias("_cp_invoice"), F.col("post_history_key").alias("_cp_ph"))
     ph = lg.post_history.select(F.col("post_history_key").alias("_cp_ph"), F.col("journal_trans_date").alias("_ph_date"))
     ce = lg.cost_element.select("cost_element_key", F.col("code").alias("_ce_code"),
                                 F.col("description").alias("_ce_desc"), F.col("cost_element_type").alias("_ce_type"))
