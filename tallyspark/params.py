@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class Params:
     as_of: str = "2000-06-15 10:30:00"  # timestamp: the time of day decides edge days
-    viewer: int = 3896
+    viewer: int = 900001
     # D26 direct-cost KPI filters (org codes, account descriptions)
     kpi_orgs: tuple = ("S3", "S8", "S15", "S22", "S29", "S36", "S43", "S57", "S64", "S71")
     kpi_accounts: tuple = ("Account 3", "Account 7", "Account 11", "Account 15", "Account 19")

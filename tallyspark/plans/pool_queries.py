@@ -17,13 +17,8 @@ FIX = ["cost_pool_group", "cost_pool_group_mle", "cost_pool", "cost_pool_group_c
        "fiscal_month", "fiscal_year", "fiscal_quarter", "budget", "budget_name"]
 
 PERIOD_FROM, PERIOD_TO, GROUP = "FY1998-01", "FY2000-07", "Standard"
-# Pools the reference's report leaves out.
-EXCLUDED_POOLS = (
-    "G&A MATERIALS (For Cost Structure Update Only)",
-    "G&A ODC (For Cost Structure Update Only)",
-    "G&A SUB (For Cost Structure Update Only)",
-    "G&A TRAVEL (For Cost Structure Update Only)",
-)
+# Pools that only carry rates and are left out of the report.
+EXCLUDED_POOLS = ("Materials, rates only", "Other costs, rates only", "Subcontracts, rates only", "Travel, rates only")
 
 
 CTES = f"""

@@ -39,8 +39,7 @@ def _load_all() -> None:
 
 
 def all_queries() -> dict[str, QuerySpec]:
-    if not REGISTRY:
-        _load_all()
+    _load_all()  # also when some of the modules were imported on their own
     return dict(REGISTRY)
 
 

@@ -292,20 +292,20 @@ from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 
 # --- access grants ------------------------------------------------------------
 # Viewers: 1 admin (role 1); 2 global finance access; 3 org-scoped; 4 scoped by
-# legal entity; 5 no grants; 3896 org- and legal-entity-scoped.
+# legal entity; 5 no grants; 900001 org- and legal-entity-scoped.
 _bind("member", [], f"""
 select person_key, role_key
-from {_values([(1, 1), (3896, 5), (3896, 10), (3896, 16), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key', 'role_key'])}""")
+from {_values([(1, 1), (900001, 5), (900001, 10), (900001, 16), (2, 5), (3, 5), (4, 5), (5, 5)], ['person_key', 'role_key'])}""")
 
 _bind("org_access_person", [], f"""
 select org_access_person_key, person_key, role_key, access_type, global_access
 from {_values([(10, 2, 33, 2, 'Y'), (11, 3, 33, 2, 'N'), (12, 4, 33, 2, 'N'),
-               (13, 3896, 33, 2, 'N'), (14, 3896, 33, 1, 'N'), (15, 5, 20, 2, 'N'),
-               (16, 3896, 27, 2, 'N'), (17, 3896, 56, 6, 'N'), (18, 3896, 56, 3, 'N'),
+               (13, 900001, 33, 2, 'N'), (14, 900001, 33, 1, 'N'), (15, 5, 20, 2, 'N'),
+               (16, 900001, 27, 2, 'N'), (17, 900001, 56, 6, 'N'), (18, 900001, 56, 3, 'N'),
                (19, 2, 28, 2, 'Y'), (20, 4, 56, 2, 'Y'), (21, 4, 56, 6, 'Y'),
-               (30, 9, 7, 0, 'N'), (31, 3896, 2, 0, 'N'),
-               (32, 3896, 14, 1, 'N'), (33, 3896, 14, 4, 'Y'), (34, 3896, 3, 1, 'Y'), (35, 3896, 3, 4, 'N'),
-               (36, 3896, 19, 1, 'Y'), (37, 3896, 19, 4, 'Y')],
+               (30, 9, 7, 0, 'N'), (31, 900001, 2, 0, 'N'),
+               (32, 900001, 14, 1, 'N'), (33, 900001, 14, 4, 'Y'), (34, 900001, 3, 1, 'Y'), (35, 900001, 3, 4, 'N'),
+               (36, 900001, 19, 1, 'Y'), (37, 900001, 19, 4, 'Y')],
               ['org_access_person_key', 'person_key', 'role_key', 'access_type', 'global_access'])}""")
 
 _bind("access_customer_view", ["supplier", "nation"], """
@@ -435,8 +435,8 @@ from {nation}""")
 # Pools: one per nation; two carry names of the report's exclusion list.
 _bind("cost_pool", ["nation"], """
 select cast(n_nationkey as bigint) as cost_pool_key, cast(1 + n_nationkey % 2 as bigint) as cost_pool_group_key,
-       case n_nationkey when 3 then 'G&A ODC (For Cost Structure Update Only)'
-                        when 6 then 'G&A TRAVEL (For Cost Structure Update Only)'
+       case n_nationkey when 3 then 'Other costs, rates only'
+                        when 6 then 'Travel, rates only'
                         else concat('Pool ', n_name) end as cost_pool_name,
        n_nationkey % 4 as display_sequence,
        case when n_nationkey % 5 = 4 then 'N' else 'Y' end as post_rate_to_cost_struct
@@ -600,7 +600,7 @@ from {_values([(k, k % 15, f'2024-02-{1 + k % 28:02d}', f'2024-02-{1 + k % 28:02
 
 _bind("approval_chain", [], f"""
 select chain_key, person_key
-from {_values([(1, 3896), (2, 7), (3, 8)], ['chain_key', 'person_key'])}""")
+from {_values([(1, 900001), (2, 7), (3, 8)], ['chain_key', 'person_key'])}""")
 
 _bind("approval_group_submitter", ["events"], """
 select cast(1 + user_id % 3 as bigint) as chain_key, user_id as person_key, cast(1 + user_id % 4 as int) as approval_type
@@ -608,7 +608,7 @@ from (select distinct user_id from {events}) u""")
 
 _bind("alternate", [], f"""
 select alternate_key, person_key, role_key
-from {_values([(3896, 7, 2), (3896, 9, 7), (12, 8, 2)], ['alternate_key', 'person_key', 'role_key'])}""")
+from {_values([(900001, 7, 2), (900001, 9, 7), (12, 8, 2)], ['alternate_key', 'person_key', 'role_key'])}""")
 
 _bind("org_access_hierarchy", ["nation", "supplier"], """
 select cast(2000 + n_nationkey as bigint) as customer_key, cast(31 as bigint) as org_access_person_key
@@ -724,7 +724,7 @@ select user_id % 10 as project_key, user_id as person_key,
 from (select distinct user_id from {events}) u
 left join (select min(user_id) as first_user from {events} group by user_id % 10, user_id % 6) f on f.first_user = u.user_id
 union all
-select project_key, cast(3896 as bigint), role_key, primary_ind
+select project_key, cast(900001 as bigint), role_key, primary_ind
 from (values (2, 3, 'Y'), (5, 12, 'N'), (7, 20, 'Y')) v(project_key, role_key, primary_ind)""")
 
 _bind("project_open_access_view", ["project"], """
@@ -822,7 +822,7 @@ _bind("journal_funding_cap_adjustment", ["orders"],
 
 _bind("fee_cap_adjustment", ["orders"], f"""
 select o_orderkey as fee_cap_adjustment_key, {_CHARGE_COMMON},
-       cast(1 + o_orderkey % 4 as bigint) as fee_method_key,
+       cast(1 + o_orderkey % 3 as bigint) as fee_method_key,
        cast(o_totalprice * 0 + (o_orderkey % 200) as decimal(18,2)) as bill_amount
 from {{orders}} where o_orderkey % 4 = 3""")
 _bind("journal_fee_cap_adjustment", ["orders"], _order_journal("fee_cap_adjustment_key", "o_orderkey % 4 = 3", 25))

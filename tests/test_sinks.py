@@ -27,6 +27,6 @@ def test_write_report_roundtrip(spark, lg):
 
 
 def test_summary_checkpoint_matches(spark, lg):
-    a = PS.posting_summary(lg, 3896, "2029-01-15 09:00:00", "2024-01-10 00:00:00")
-    b = PS.posting_summary(lg, 3896, "2029-01-15 09:00:00", "2024-01-10 00:00:00", checkpoint=True)
+    a = PS.posting_summary(lg, 900001, "2029-01-15 09:00:00", "2024-01-10 00:00:00")
+    b = PS.posting_summary(lg, 900001, "2029-01-15 09:00:00", "2024-01-10 00:00:00", checkpoint=True)
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
