@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.labels import account_type_name, account_type_order
 from .hierarchy import fill_levels, fill_levels_two_sources, flatten_with_attributes
 
+# An organization's own attributes.
+USER_FIELDS = [f"user{i:02d}" for i in range(1, 21)]
+ORG_ATTRIBUTES = [
+    "email_1099", "vendor_1099", "recipient_name_1099", "federal_tax_id", "federal_tax_id_type", "financial_org", "legal_entity",
+    "active", "classification", "entry_allowed", "begin_date", "end_date", "account_number", "industry", "sic_code", "sector",
+    "customer_size", "stock_symbol", *USER_FIELDS, "transact_elimination_flag"]
+
 ACCT_LEVELS = 10
 ORG_LEVELS = 6
 
@@ -119,7 +126,7 @@ def org_dim(lg, levels: int = ORG_LEVELS) -> DataFrame:
         .join(le_consol, "legal_entity_key", "left")
     df = fill_levels_two_sources(df, "own", "le", ["customer_code", "customer_name"], levels, "org_consolidation_lv")
     cols = ["customer_key", "customer_code", "customer_name", "customer_type",
-            "default_gl_post_org_code", "default_gl_post_org_name", "legal_entity_code", "legal_entity_name"]
+            "default_gl_post_org_code", "default_gl_post_org_name", "legal_entity_code", "legal_entity_name", *ORG_ATTRIBUTES]
     for out in list(ORG_TREES) + ["org_consolidation"]:
         for k in range(1, levels + 1):
             cols += [F.col(f"{out}_lv{k}_customer_code").alias(f"{out}_lv{k}_code"),

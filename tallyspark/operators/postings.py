@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import MONEY, concat_nn, round_to_scale
-from .access import has_any_role
+from .access import has_any_role, mask
 from .calendar import trailing_months
+from .dims import USER_FIELDS
 from .joins import left_join_some
 
 # Journal categories.
@@ -46,6 +47,24 @@ ADMIN_ROLES = (1, 21)
 COST_VIEW_ROLES = (1, 21, 10)
 BILL_VIEW_ROLES = (1, 21, 16)
 
+# Columns of a project that its dimension passes on, and the money only some roles see.
+PROJECT_ATTRIBUTES = [
+    "expense_assignment_flag", "future_charge", "item_assignment_flag", "time_assignment_flag", "assignment_flag", "hours_budget",
+    "hours_est_tot", "hours_etc", "purpose", "completed_date", "project_color", "leave_balance", "enforce_wbs_dates", "account_number",
+    "er_task_required", "item_task_required", "ts_task_required", "tito_required", "location_required", "task_level_assignment",
+    "limit_bill_to_funded", "limit_rev_to_funded", "exp_sub_po_required", "ts_sub_po_required", "orig_start_date", "orig_end_date",
+    "rev_start_date", "rev_end_date", "percent_complete", "pct_complete_rule", "probability_percent", "use_labor_category",
+    "proj_require_time_comments", "self_assign_plans", "allow_self_plan", "advanced_costing_flag", *USER_FIELDS]
+PROJECT_BILL_BUDGETS = ["exp_bill_budget", "labor_bill_budget", "exp_bill_est_tot", "labor_bill_est_tot", "exp_bill_etc", "labor_bill_etc"]
+PROJECT_COST_BUDGETS = ["exp_cost_burden_budget", "exp_cost_budget", "labor_cost_burden_budget", "labor_cost_budget", "exp_cost_est_tot",
+                        "labor_cost_est_tot", "exp_cost_etc", "labor_cost_etc"]
+BILL_BUDGET_ROLES, COST_BUDGET_ROLES = (1, 21, 37, 39), (1, 21, 38, 40)
+PROJECT_REVISED = ["total_cost", "total_fee", "funded_cost", "funded_fee"]  # with an original beside the current value
+DOCUMENT_OPEN_FLAGS = ["project_po_viewer_open", "project_pr_viewer_open", "project_document_viewer_open"]
+BILL_RATE_SOURCES = {"P": "P - Person Bill Rate", "L": "L - Labor Category Bill Rate"}
+COST_RATE_SOURCES = {"P": "P - Person Cost Rate", "L": "L - Labor Category Cost Rate"}
+CONTROLLER_COLUMNS = ["first_name", "last_name", "middle_initial", "username", "email"]
+
 # Cost element type decode.
 COST_ELEMENT_TYPES = {"O": "ODC", "L": "Labor", "P": "Indirect", "Fee": "Fee"}
 
@@ -805,8 +824,7 @@ def project_dim(lg, viewer: int) -> DataFrame:
     def ctrl(role, prefix):
         return (pc.filter(F.col("role_key") == role).select("project_key", F.col("person_key").alias(f"_{prefix}"))
                 .join(person.select(F.col("person_key").alias(f"_{prefix}"),
-                                    F.col("first_name").alias(f"{prefix}_first_name"),
-                                    F.col("last_name").alias(f"{prefix}_last_name")), f"_{prefix}", "left")
+                                    *[F.col(c).alias(f"{prefix}_{c}") for c in CONTROLLER_COLUMNS]), f"_{prefix}", "left")
                 .drop(f"_{prefix}"))
     cn = lg.contract.select(F.col("contract_key"), "contract_code", "contract_title", "prime_contract_key")
     mcn = lg.contract.select(F.col("contract_key").alias("prime_contract_key"),
@@ -814,7 +832,7 @@ def project_dim(lg, viewer: int) -> DataFrame:
     csl = _cost_structure(lg, "ic_cost_struct_labor_key", "cost_struct_labor", "cost_struct_labor_key") \
         .select("ic_cost_struct_labor_key", "ce_code")
     pf = first_fee_method(lg).join(lg.fee_method, "fee_method_key", "left") \
-        .select("project_key", "fee_method", "fee_factor")
+        .select("project_key", "fee_method", "fee_factor", "fee_factor_type", "fixed_fee_amount")
     df = (proj.join(c, "customer_key").join(coo, "owning_customer_key", "left")
           .join(lg.customer_type, "customer_type_key", "left")
           .join(lg.billing_type.select("billing_type_key", F.col("code").alias("proj_billing_type_code")),
@@ -835,14 +853,23 @@ def project_dim(lg, viewer: int) -> DataFrame:
                 "_ooc", "left"))
     df = filter_project_access(lg, df, "project_key", viewer, PROJECT_DIM_CONTROLLER_ROLES, PROJECT_DIM_OPEN_PAIRS,
                                owner_must_exist=False)
+    see_bill, see_cost = has_any_role(lg.member, viewer, BILL_BUDGET_ROLES), has_any_role(lg.member, viewer, COST_BUDGET_ROLES)
     return df.select(
         "project_key", "customer_key", F.col("owning_customer_key").alias("owning_cust_key"),
-        *[F.col(f) for f, _ in PROJECT_DIM_OPEN_PAIRS], "project_code", F.col("title").alias("project_title"),
+        *[F.col(f) for f, _ in PROJECT_DIM_OPEN_PAIRS], *DOCUMENT_OPEN_FLAGS, "project_code", F.col("title").alias("project_title"),
+        *PROJECT_ATTRIBUTES, F.col("created").alias("project_created_date"),
+        *[mask(F.col(c), see_bill).alias(c) for c in PROJECT_BILL_BUDGETS],
+        *[mask(F.col(c), see_cost).alias(c) for c in PROJECT_COST_BUDGETS],
+        *[F.coalesce(c, f"orig_{c}").alias(f"{c}_current") for c in PROJECT_REVISED],
+        *[F.col(f"orig_{c}").alias(f"{c}_original") for c in PROJECT_REVISED],
+        F.col("orig_funded_value").alias("funded_value_original"),
+        _decode(F.col("bill_rate_source"), BILL_RATE_SOURCES, None).alias("bill_rate_source"),
+        _decode(F.col("cost_rate_source"), COST_RATE_SOURCES, None).alias("cost_rate_source"),
         "status", "proj_billing_type_code", "project_type", "cost_structure", "location_name", "pay_code",
         "posting_group_name", "customer_type", "project_org_code", "project_org_name", "owning_org_code",
-        "owning_org_name", "owning_le_code", "owning_le_name", "project_manager_first_name",
-        "project_manager_last_name", "project_lead_first_name", "project_lead_last_name",
-        "project_viewer_first_name", "project_viewer_last_name", "contract_code", "contract_key", "contract_title",
+        "owning_org_name", "owning_le_code", "owning_le_name",
+        *[f"{who}_{c}" for who in ("project_manager", "project_lead", "project_viewer") for c in CONTROLLER_COLUMNS],
+        "contract_code", "contract_key", "contract_title",
         F.coalesce("_m_code", "contract_code").alias("master_contract_code"),
         F.coalesce("_m_title", "contract_title").alias("master_contract_title"),
         F.coalesce("total_value", "orig_total_value").alias("total_value_current"),
@@ -853,6 +880,7 @@ def project_dim(lg, viewer: int) -> DataFrame:
         F.when(F.col("ce_code").isNotNull(), concat_nn("cost_structure", F.lit("-"), "ce_code"))
         .alias("default_labor_cost_element"),
         F.col("fee_method").alias("project_fee_method"), F.col("fee_factor").alias("project_fee_factor"),
+        F.col("fee_factor_type").alias("project_fee_factor_type"), "fixed_fee_amount",
         "owning_org_currency_code",
     )
 

@@ -87,6 +87,7 @@ def org_dim_sql(n: int = D.ORG_LEVELS) -> str:
 SELECT c.customer_key, c.customer_code, c.customer_name, kind.customer_type,
        post.customer_code AS default_gl_post_org_code, post.customer_name AS default_gl_post_org_name,
        le.customer_code AS legal_entity_code, le.customer_name AS legal_entity_name,
+       {', '.join(f'c.{x}' for x in D.ORG_ATTRIBUTES)},
        {', '.join(shown + both)}
 FROM customer c
 {trees}

@@ -59,6 +59,9 @@ def _quarter_rows():
 BINDINGS: dict[str, Binding] = {}
 
 
+USER_FIELDS = [f"user{i:02d}" for i in range(1, 21)]
+
+
 def _bind(name, deps, sql):
     BINDINGS[name] = Binding(name, tuple(deps), sql)
 
@@ -103,6 +106,33 @@ select 10000 + s_suppkey, concat('S', cast(s_suppkey as string)), s_name,
        'N', cast(2000 + s_nationkey as bigint)
 from {supplier}""")
 
+
+
+def _widen(name: str, key: str, columns: dict[str, str]) -> None:
+    """Adds columns derived from the key to a binding; what a query does not read is pruned."""
+    b = BINDINGS[name]
+    extra = ",\n       ".join(f"{e} as {c}" for c, e in columns.items())
+    BINDINGS[name] = Binding(name, b.deps, f"select b.*, {extra}\nfrom ({b.sql}) b")
+
+
+def _yes_no(names, key: str) -> dict[str, str]:
+    return {c: f"case when {key} % {2 + i % 4} = 0 then 'Y' else 'N' end" for i, c in enumerate(names)}
+
+
+def _texts(names, key: str) -> dict[str, str]:
+    return {c: f"case when {key} % {5 + i % 3} <> 0 then concat('{c} ', cast({key} % {3 + i} as string)) end" for i, c in enumerate(names)}
+
+
+def _money(names, key: str) -> dict[str, str]:
+    return {c: f"case when {key} % {4 + i % 3} <> 1 then cast({key} * {3 + i} + {100 * (1 + i)} as decimal(18,2)) end" for i, c in enumerate(names)}
+
+
+_widen("customer", "customer_key", _yes_no(["vendor_1099", "financial_org", "legal_entity", "active", "entry_allowed"], "customer_key")
+       | _texts(["email_1099", "recipient_name_1099", "federal_tax_id", "federal_tax_id_type", "classification", "account_number",
+                 "industry", "sic_code", "sector", "customer_size", "stock_symbol"] + USER_FIELDS, "customer_key")
+       | {"begin_date": "make_date(1995, cast(1 + customer_key % 12 as int), 1)",
+          "end_date": "case when customer_key % 6 = 0 then make_date(2001, cast(1 + customer_key % 12 as int), 28) end"})
+
 _bind("customer_type", [], f"""
 select customer_type_key, customer_type
 from {_values([(1, 'Region'), (2, 'Legal Entity'), (3, 'Department')], ['customer_type_key', 'customer_type'])}""")
@@ -290,6 +320,21 @@ select c_custkey % 10 as project_key, concat('P', cast(c_custkey % 10 as string)
        case when c_custkey % 3 = 0 then make_date(2024, 1, 25) end as completed_date
 from (select distinct c_custkey % 10 as c_custkey from {customer}) c""")
 
+_widen("project", "project_key",
+       _yes_no(["expense_assignment_flag", "future_charge", "item_assignment_flag", "time_assignment_flag", "enforce_wbs_dates",
+                "er_task_required", "item_task_required", "limit_bill_to_funded", "limit_rev_to_funded", "location_required",
+                "task_level_assignment", "exp_sub_po_required", "ts_sub_po_required", "use_labor_category", "proj_require_time_comments",
+                "self_assign_plans", "allow_self_plan", "ts_task_required", "tito_required", "advanced_costing_flag"], "project_key")
+       | _texts(["project_color", "leave_balance", "account_number", "pct_complete_rule"] + USER_FIELDS, "project_key")
+       | _money(["exp_bill_budget", "labor_bill_budget", "exp_bill_est_tot", "labor_bill_est_tot", "exp_bill_etc", "labor_bill_etc",
+                 "exp_cost_burden_budget", "exp_cost_budget", "labor_cost_burden_budget", "labor_cost_budget", "exp_cost_est_tot",
+                 "labor_cost_est_tot", "exp_cost_etc", "labor_cost_etc", "hours_budget", "hours_est_tot", "hours_etc",
+                 "percent_complete", "probability_percent", "total_cost", "orig_total_cost", "total_fee", "orig_total_fee",
+                 "funded_cost", "orig_funded_cost", "funded_fee", "orig_funded_fee"], "project_key")
+       | {"bill_rate_source": "case project_key % 3 when 0 then 'P' when 1 then 'L' end",
+          "cost_rate_source": "case project_key % 4 when 0 then 'P' when 1 then 'L' end",
+          "rev_start_date": "make_date(2023, cast(1 + project_key as int), 5)", "created": "make_date(2022, cast(1 + project_key as int), 7)"})
+
 # --- access grants ------------------------------------------------------------
 # Viewers: 1 admin (role 1); 2 global finance access; 3 org-scoped; 4 scoped by
 # legal entity; 5 no grants; 900001 org- and legal-entity-scoped.

@@ -81,3 +81,10 @@ def test_report_comes_sorted(name, spark):
     assert len(rows) > 1
     keys = [ORDERS[name](r) for r in rows]
     assert keys == sorted(keys)
+
+
+def test_budgets_need_a_role(lg):
+    money = PS.PROJECT_BILL_BUDGETS + PS.PROJECT_COST_BUDGETS
+    shown, hidden = PS.project_dim(lg, 1).collect(), PS.project_dim(lg, P.viewer).collect()
+    assert all(any(r[c] is not None for r in shown) for c in money)
+    assert hidden and all(r[c] is None for r in hidden for c in money)
