@@ -686,10 +686,10 @@ _bind("journal_time", ["events"], _journal("time_data_key"))
 _bind("journal_cost_plus_detail", ["events", "fin_document_detail"],
       _journal("cost_plus_post_detail_key", "event_id % 3 = 0") + """
 union all
-select account_key, 2000000000 + fin_document_detail_key, cast(fin_document_detail_key % 60 + 5 as decimal(18,2)),
-       case fin_document_detail_key % 4 when 0 then 5 when 1 then 1 when 2 then 3 else 9 end,
-       transaction_date + cast(fin_document_detail_key % 5 as int)
-from {fin_document_detail} where fin_document_detail_key % 6 = 0""")
+select account_key, 2000000000 + fin_document_detail_key, cast(line_no % 60 + 5 as decimal(18,2)),
+       case line_no % 4 when 0 then 5 when 1 then 1 when 2 then 3 else 9 end,
+       transaction_date + cast(line_no % 5 as int)
+from {fin_document_detail} where line_no % 6 = 0""")
 
 _bind("invcd_time", ["events"], """
 select event_id % 40 as invoice_key, event_id as time_data_key,
@@ -714,13 +714,13 @@ select event_id as cost_plus_post_detail_key, event_id as time_data_key,
 from {events} where event_id % 3 = 0
 union all
 select 2000000000 + fin_document_detail_key, cast(null as bigint),
-       case when detail_type = 'L' then cast(1 + (fin_document_detail_key % 7) % 4 as bigint)
-            else cast(1 + ((fin_document_detail_key % 5) + 1) % 4 as bigint) end,
-       cast(1 + fin_document_detail_key % 3 as bigint), fin_document_detail_key % 40, fin_document_detail_key % 50,
+       case when detail_type = 'L' then cast(1 + (line_no % 7) % 4 as bigint)
+            else cast(1 + ((line_no % 5) + 1) % 4 as bigint) end,
+       cast(1 + line_no % 3 as bigint), line_no % 40, line_no % 50,
        case when detail_type = 'L' then fin_document_detail_key end,
        case when detail_type = 'E' then fin_document_detail_key end,
        case when detail_type = 'I' then fin_document_detail_key end, cast(null as bigint)
-from {fin_document_detail} where fin_document_detail_key % 6 = 0""")
+from {fin_document_detail} where line_no % 6 = 0""")
 
 _bind("cost_struct", [], f"""
 select cost_struct_key, cost_structure
@@ -883,13 +883,15 @@ _bind("journal_onetime_charge", ["orders"], _order_journal("onetime_charge_key",
 # --- financial document detail lines (lineitem, one row per line) ------------
 # (l_orderkey, l_linenumber) is not unique in the driver data, so rows that
 # share it are numbered in the order of their other columns; the number is
-# part of the line's key.
+# part of the line's key.  That key ends in the number, 1 for most lines, so the
+# tables below take residues of ``line_no``, which meets every class of each.
 _bind("fin_document_detail", ["lineitem"], """
 select k as fin_document_detail_key, fin_document_key, account_key, organization_key, person_key,
        debit_amount, credit_amount, concat('Detail ', cast(k as string)) as description,
        case rf when 'R' then 'L' when 'A' then 'E' else 'I' end as detail_type,
-       concat('R', cast(k % 1000 as string)) as reference, transaction_date
-from (select (l_orderkey * 10 + l_linenumber) * 1000
+       concat('R', cast(line_no % 1000 as string)) as reference, transaction_date, line_no
+from (select l_orderkey * 11 + l_linenumber as line_no,
+             (l_orderkey * 10 + l_linenumber) * 1000
                + row_number() over (partition by l_orderkey, l_linenumber
                                     order by l_partkey, l_suppkey, l_extendedprice, l_discount, l_returnflag, l_quantity) as k,
              l_orderkey as fin_document_key,
@@ -902,61 +904,61 @@ from (select (l_orderkey * 10 + l_linenumber) * 1000
       from {lineitem}) d""")
 
 _bind("fin_document_det_proj_labor", ["fin_document_detail"], """
-select fin_document_detail_key, cast(1 + fin_document_detail_key % 4 as bigint) as labor_category_key,
-       fin_document_detail_key % 10 as project_key,
-       case when fin_document_detail_key % 6 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
+select fin_document_detail_key, cast(1 + line_no % 4 as bigint) as labor_category_key,
+       line_no % 10 as project_key,
+       case when line_no % 6 = 0 then cast(null as bigint) else cast(1 + line_no % 5 as bigint) end
          as task_key,
-       cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key,
-       cast(40 + fin_document_detail_key % 30 as decimal(18,6)) as cost_rate,
-       cast((fin_document_detail_key % 16) * 0.5 as decimal(18,6)) as hours
-from {fin_document_detail} where detail_type = 'L' and fin_document_detail_key % 5 <> 0""")
+       cast(1 + line_no % 3 as bigint) as project_type_key,
+       cast(40 + line_no % 30 as decimal(18,6)) as cost_rate,
+       cast((line_no % 16) * 0.5 as decimal(18,6)) as hours
+from {fin_document_detail} where detail_type = 'L' and line_no % 5 <> 0""")
 
 _bind("fin_document_detail_labor", ["fin_document_detail"], """
-select fin_document_detail_key, cast(fin_document_detail_key % 7 as bigint) as cost_struct_labor_key,
-       case when fin_document_detail_key % 3 = 0 then fin_document_detail_key % 40 end as invoice_key,
-       case when fin_document_detail_key % 3 = 1 then fin_document_detail_key % 45 end as manual_invoice_key,
-       case when fin_document_detail_key % 4 = 0 then cast(null as bigint) else fin_document_detail_key % 50 end
+select fin_document_detail_key, cast(line_no % 7 as bigint) as cost_struct_labor_key,
+       case when line_no % 3 = 0 then line_no % 40 end as invoice_key,
+       case when line_no % 3 = 1 then line_no % 45 end as manual_invoice_key,
+       case when line_no % 4 = 0 then cast(null as bigint) else line_no % 50 end
          as post_history_key,
        debit_amount as amount, cast(debit_amount * cast(1.5 as decimal(3,1)) as decimal(18,2)) as bill_amount,
-       cast(1 + fin_document_detail_key % 3 as bigint) as bill_currency,
+       cast(1 + line_no % 3 as bigint) as bill_currency,
        cast(95 as decimal(18,6)) as bill_rate
 from {fin_document_detail} where detail_type = 'L'""")
 
 _bind("fin_document_det_proj_expense", ["fin_document_detail"], """
-select fin_document_detail_key, cast(1 + fin_document_detail_key % 5 as bigint) as expense_type_key,
-       fin_document_detail_key % 10 as project_key,
-       case when fin_document_detail_key % 4 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
+select fin_document_detail_key, cast(1 + line_no % 5 as bigint) as expense_type_key,
+       line_no % 10 as project_key,
+       case when line_no % 4 = 0 then cast(null as bigint) else cast(1 + line_no % 5 as bigint) end
          as task_key,
-       cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key
-from {fin_document_detail} where detail_type = 'E' and fin_document_detail_key % 7 <> 3""")
+       cast(1 + line_no % 3 as bigint) as project_type_key
+from {fin_document_detail} where detail_type = 'E' and line_no % 7 <> 3""")
 
 _bind("fin_document_detail_expense", ["fin_document_detail"], """
-select fin_document_detail_key, cast(fin_document_detail_key % 5 as bigint) as cost_struct_odc_key,
-       case when fin_document_detail_key % 3 = 0 then fin_document_detail_key % 40 end as invoice_key,
-       case when fin_document_detail_key % 3 = 2 then fin_document_detail_key % 45 end as manual_invoice_key,
-       case when fin_document_detail_key % 4 = 1 then cast(null as bigint) else fin_document_detail_key % 50 end
+select fin_document_detail_key, cast(line_no % 5 as bigint) as cost_struct_odc_key,
+       case when line_no % 3 = 0 then line_no % 40 end as invoice_key,
+       case when line_no % 3 = 2 then line_no % 45 end as manual_invoice_key,
+       case when line_no % 4 = 1 then cast(null as bigint) else line_no % 50 end
          as post_history_key,
        debit_amount as amount, cast(debit_amount * cast(1.1 as decimal(3,1)) as decimal(18,2)) as bill_amount,
-       cast(1 + fin_document_detail_key % 3 as bigint) as bill_currency
+       cast(1 + line_no % 3 as bigint) as bill_currency
 from {fin_document_detail} where detail_type = 'E'""")
 
 _bind("fin_document_detail_po", ["fin_document_detail"], """
 select fin_document_detail_key, fin_document_key as po_key,
        case when detail_type = 'L' then fin_document_detail_key end as po_labor_line_descriptor_key,
        case when detail_type = 'E' then fin_document_detail_key end as po_expense_line_descriptor_key
-from {fin_document_detail} where fin_document_detail_key % 4 = 0""")
+from {fin_document_detail} where line_no % 4 = 0""")
 
 _bind("po_labor_line_descriptor", ["fin_document_detail"], """
 select fin_document_detail_key as po_labor_line_descriptor_key, fin_document_key as po_key,
-       cast(fin_document_detail_key % 100 as int) as line_id, account_key, organization_key,
-       concat('POL-', cast(fin_document_detail_key % 1000 as string)) as reference
-from {fin_document_detail} where detail_type = 'L' and fin_document_detail_key % 8 = 0""")
+       cast(line_no % 100 as int) as line_id, account_key, organization_key,
+       concat('POL-', cast(line_no % 1000 as string)) as reference
+from {fin_document_detail} where detail_type = 'L' and line_no % 8 = 0""")
 
 _bind("po_expense_line_descriptor", ["fin_document_detail"], """
 select fin_document_detail_key as po_expense_line_descriptor_key, fin_document_key as po_key,
-       cast(fin_document_detail_key % 100 as int) as line_id, account_key, organization_key,
-       concat('POE-', cast(fin_document_detail_key % 1000 as string)) as reference
-from {fin_document_detail} where detail_type = 'E' and fin_document_detail_key % 8 = 0""")
+       cast(line_no % 100 as int) as line_id, account_key, organization_key,
+       concat('POE-', cast(line_no % 1000 as string)) as reference
+from {fin_document_detail} where detail_type = 'E' and line_no % 8 = 0""")
 
 _bind("expense_type", [], f"""
 select expense_type_key, expense_type, expense_type_name
@@ -1002,12 +1004,12 @@ _bind("journal_expense", ["events"], _journal("expense_data_allocation_key", "ev
 def _detail_journal(key_filter: str) -> str:
     return f"""
 select fin_document_detail_key, cast(debit_amount * cast(0.2 as decimal(3,1)) as decimal(18,2)) as amount,
-       case fin_document_detail_key % 6 when 0 then 5 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 9 else 1 end
-         as category, transaction_date + cast(fin_document_detail_key % 10 as int) as journal_trans_date
+       case line_no % 6 when 0 then 5 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 9 else 1 end
+         as category, transaction_date + cast(line_no % 10 as int) as journal_trans_date
 from {{fin_document_detail}} where {key_filter}
 union all
-select fin_document_detail_key, cast(fin_document_detail_key % 70 as decimal(18,2)), 3, transaction_date + 20
-from {{fin_document_detail}} where {key_filter} and fin_document_detail_key % 2 = 0"""
+select fin_document_detail_key, cast(line_no % 70 as decimal(18,2)), 3, transaction_date + 20
+from {{fin_document_detail}} where {key_filter} and line_no % 2 = 0"""
 
 
 _bind("journal_document_labor", ["fin_document_detail"], _detail_journal("detail_type = 'L'"))
@@ -1015,31 +1017,31 @@ _bind("journal_document_expense", ["fin_document_detail"], _detail_journal("deta
 _bind("journal_document_item", ["fin_document_detail"], _detail_journal("detail_type = 'I'"))
 
 _bind("invcd_document_labor", ["fin_document_detail"], """
-select fin_document_detail_key, fin_document_detail_key % 40 as invoice_key,
-       cast((fin_document_detail_key % 5) * 0.25 as decimal(18,6)) as writeoff_quantity
-from {fin_document_detail} where fin_document_detail_key % 7 in (0, 1)""")
+select fin_document_detail_key, line_no % 40 as invoice_key,
+       cast((line_no % 5) * 0.25 as decimal(18,6)) as writeoff_quantity
+from {fin_document_detail} where line_no % 7 in (0, 1)""")
 
 _bind("fin_document_det_proj_item", ["fin_document_detail"], """
-select fin_document_detail_key, fin_document_detail_key % 10 as project_key,
-       case when fin_document_detail_key % 3 = 0 then cast(null as bigint) else cast(1 + fin_document_detail_key % 5 as bigint) end
+select fin_document_detail_key, line_no % 10 as project_key,
+       case when line_no % 3 = 0 then cast(null as bigint) else cast(1 + line_no % 5 as bigint) end
          as task_key,
-       cast(1 + fin_document_detail_key % 3 as bigint) as project_type_key
+       cast(1 + line_no % 3 as bigint) as project_type_key
 from {fin_document_detail} where detail_type = 'I'""")
 
 _bind("fin_doc_det_item", ["fin_document_detail"], """
-select fin_document_detail_key, cast(1 + fin_document_detail_key % 6 as bigint) as item_key,
-       cast(1 + fin_document_detail_key % 3 as bigint) as uom_key,
-       cast(1 + fin_document_detail_key % 12 as decimal(18,6)) as quantity
-from {fin_document_detail} where detail_type = 'I' and fin_document_detail_key % 9 <> 0""")
+select fin_document_detail_key, cast(1 + line_no % 6 as bigint) as item_key,
+       cast(1 + line_no % 3 as bigint) as uom_key,
+       cast(1 + line_no % 12 as decimal(18,6)) as quantity
+from {fin_document_detail} where detail_type = 'I' and line_no % 9 <> 0""")
 
 _bind("fin_document_detail_item", ["fin_document_detail"], """
-select fin_document_detail_key, cast(fin_document_detail_key % 5 as bigint) as cost_struct_odc_key,
-       cast(1 + fin_document_detail_key % 5 as bigint) as expense_type_key,
-       case when fin_document_detail_key % 3 = 0 then fin_document_detail_key % 40 end as invoice_key,
-       case when fin_document_detail_key % 4 = 2 then cast(null as bigint) else fin_document_detail_key % 50 end
+select fin_document_detail_key, cast(line_no % 5 as bigint) as cost_struct_odc_key,
+       cast(1 + line_no % 5 as bigint) as expense_type_key,
+       case when line_no % 3 = 0 then line_no % 40 end as invoice_key,
+       case when line_no % 4 = 2 then cast(null as bigint) else line_no % 50 end
          as post_history_key,
        debit_amount as amount, cast(debit_amount * cast(1.2 as decimal(3,1)) as decimal(18,2)) as bill_amount,
-       cast(1 + fin_document_detail_key % 3 as bigint) as bill_currency
+       cast(1 + line_no % 3 as bigint) as bill_currency
 from {fin_document_detail} where detail_type = 'I'""")
 
 _bind("item", [], f"""
