@@ -30,8 +30,11 @@ SAMPLE_PAGES, TRAINING_PAGES, EPOCHS = 200, 480, 24
 #: Sets main text apart in training pages; it is taken out before a block is read.
 MARK = "\u2060"
 
-#: Fixed values of HTML: elements whose content is no text, and without an end tag.
+#: Fixed values of HTML: elements whose content is no text, those of them that run to the end of the page without an end tag,
+#: those that "/>" closes, and elements without an end tag.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "object", "canvas", "math", "title")
+TO_END = frozenset(("script", "style", "textarea", "title"))
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -42,9 +45,10 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
           "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?>\"[^\"]*\"|'[^']*'|[^\"'>]+)*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^\"'>]+)*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^\"'>]+)*+)>"
     r"|<[/!?][^>]*>|<[a-zA-Z][^<>]*>", re.S | re.I)
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _WORDISH = re.compile(r"[^\W\d_]+")
@@ -104,10 +108,21 @@ def blocks(page: str | None) -> list[tuple[str, list[tuple[int, ...]], int]]:
             if links_open:
                 linked += len(s)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while m := _TOKEN.search(page, at):
         text(at, m.start())
         at = m.end()
+        if m["raw"]:
+            tag = m["raw"].lower()
+            if tag in unclosed or (tag in FOREIGN and page[at - 2] == "/"):
+                continue
+            if shut := _CLOSE[tag].search(page, at):
+                at = shut.end()
+            elif tag in TO_END:
+                at = len(page)
+            else:  # only the start tag is left out; no later one of its kind is closed either
+                unclosed.add(tag)
+            continue
         tag = m["tag"]
         if tag is None:
             continue

@@ -179,6 +179,19 @@ def test_blocks_split_and_decode():
     assert html_extract.blocks("<p title='<p>'>q</p><a href=\"x") == html_extract.blocks("<p title='<p>'>q</p><a href=\"x")
 
 
+def test_blocks_after_elements_without_text():
+    def texts(page):
+        return [t for t, _, _ in html_extract.blocks(page)]
+
+    both = "<article><p>one</p>{}<p>two</p></article>"
+    for mid in ('<svg class="i"/>', "<svg />", "<math/>", "<svg-icon></svg-icon>", "<select-box>", "<title-bar></title-bar>", "<template-x/>",
+                "<object data='a'>", "<svg>", "<noscript>", "<iframe>", "<svg><svg/>x</svg>", "<TITLE>x</title >", "<script>x</script a>"):
+        assert texts(both.format(mid)) == ["one", "two"], mid
+    assert texts(both.format("<svg/>") + "<svg><text>x</text></svg>tail") == ["one", "two", "tail"]
+    assert texts(both.format("<script src=a/>")) == ["one"]
+    assert texts("<object>" * 20_000 + "x") == ["x"]
+
+
 def test_labeller_on_unseen_layouts(spark, model):
     rng, wrong, n = random.Random(987), 0, 0
     for _ in range(200):
