@@ -62,8 +62,8 @@ _path_of: dict[tuple[str, str], tuple[int, ...]] = {}
 
 
 def _path(tag: str, attrs: str) -> tuple[int, ...]:
-    """Places of an element's tokens in the path vector."""
-    key = (tag, attrs if len(attrs) < 300 else "")
+    """Places of an element's tokens in the path vector; those of long attributes are not kept."""
+    key = (tag, attrs)
     got = _path_of.get(key)
     if got is None:
         tokens = {"t:" + tag}
@@ -78,9 +78,10 @@ def _path(tag: str, attrs: str) -> tuple[int, ...]:
                 w = w.lower()
                 tokens.add("c:" + (w[:-1] if len(w) > 3 and w.endswith("s") else w))
         got = tuple(_bucket(t, PATH_DIMS) for t in sorted(tokens))
-        if len(_path_of) > 50_000:
-            _path_of.clear()
-        _path_of[key] = got
+        if len(attrs) < 300:
+            if len(_path_of) > 50_000:
+                _path_of.clear()
+            _path_of[key] = got
     return got
 
 

@@ -192,6 +192,14 @@ def test_blocks_after_elements_without_text():
     assert texts("<object>" * 20_000 + "x") == ["x"]
 
 
+def test_long_attributes_keep_their_own_path():
+    plain, advert = "<div>x</div>", f'<div class="advert" hidden style="{"a:b;" * 100}">x</div>'
+    for order in ((plain, advert), (advert, plain)):
+        html_extract._path_of.clear()
+        got = {page: html_extract.blocks(page)[0][1] for page in order}
+        assert len(got[plain][0]) == 1 and len(got[advert][0]) == 3
+
+
 def test_labeller_on_unseen_layouts(spark, model):
     rng, wrong, n = random.Random(987), 0, 0
     for _ in range(200):
