@@ -149,10 +149,12 @@ def fit_lexicon(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) ->
     g2 = 2 * (part(p, met * P / total) + part(n, met * N / total)
               + part(P - p, (total - met) * P / total) + part(N - n, (total - met) * N / total))
     best = (terms.withColumn("w", weight).withColumn("g2", g2).where((F.col("w") >= MIN_WEIGHT) & (F.col("g2") >= MIN_G2))
-            .orderBy(F.desc("g2"), F.desc(F.length(F.rtrim("term"))), "term").limit(20 * MAX_TERMS).collect())
+            .orderBy(F.desc("g2"), F.col("term").endswith(" "), F.desc(F.length("term")), "term").limit(20 * MAX_TERMS).collect())
     chosen: dict[str, float] = {}
-    for r in best:  # best first: a term that one chosen before begins, or that begins it, says nothing new
-        t = r["term"].rstrip()
+    # best first, beginnings before whole words that do no better: a term that one chosen before begins, or that begins
+    # it, says nothing new; the closing blank of a whole word is part of it, so it begins no longer word
+    for r in best:
+        t = r["term"]
         if len(chosen) < MAX_TERMS and not any(t[:k] in chosen for k in range(2, len(t) + 1)) \
                 and not any(c.startswith(t) for c in chosen):
             chosen[t] = round(r["w"], 6)

@@ -41,6 +41,13 @@ def test_toxicity_learns_held_out(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_whole_words_do_not_match_longer_ones(spark):
+    rows = [(f"you oaf {k}", 1) for k in range(40)] + [(f"an oafish hat {k}", 0) for k in range(40)] + [(f"see the oafen {k}", 1) for k in range(40)]
+    lex = toxicity.fit_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert " oaf " in lex.weights and " oaf" not in lex.weights
+    assert lex.density("you oaf") > 0 and lex.density("the oafen") > 0 and lex.density("an oafish hat") == 0.0
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     lab = spark.createDataFrame([(1, 1, None), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     lex = toxicity.fit_lexicon(toxicity.labelled_sample(odd_docs, lab))
