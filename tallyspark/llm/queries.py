@@ -10,7 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_extract, mixing, packing, quality, sharding, simhash, token_output, toxicity
+from . import (
+    chat,
+    collocations,
+    decontamination,
+    embed_dedup,
+    html_extract,
+    mixing,
+    packing,
+    quality,
+    ranked_search,
+    sharding,
+    simhash,
+    token_output,
+    toxicity,
+)
 from .common import checkpoint_dir, ship_code, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +86,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _with_code(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -85,7 +111,8 @@ def _with_code(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _with_code(f) for f in (op1_toxicity, op2_embedding_near_dedup, op3_html_extraction, op4_sharding, op5_mixing, op6_token_output,
-                            op7_simhash_near_dedup, op8_chat_formatting, op9_packing, op10_quality_rules)}
+                            op7_simhash_near_dedup, op8_chat_formatting, op9_packing, op10_quality_rules, op11_collocations,
+                            op12_decontamination, op13_ranked_search)}
 
 _CHAT_SQL = r"""
 WITH c AS (
@@ -161,4 +188,76 @@ FROM f
 """
 
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": _CHAT_SQL, "op10_quality_rules": _quality_sql()}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_COLLOCATIONS_SQL = rf"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (
+  SELECT lang, 1 AS k, ws[i] AS phrase FROM t
+  UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM t WHERE i + 1 <= len(ws)
+  UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM t WHERE i + 2 <= len(ws)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= {collocations.MIN_COUNT}),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS x, CASE k WHEN 2 THEN w[2] ELSE w[2] || ' ' || w[3] END AS y FROM f WHERE k >= 2
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM f WHERE k = 3),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, fx.a AS l, fy.a AS r,
+         CAST((1000000::HUGEINT * c.a * c.a) // (fx.a::HUGEINT * fy.a) AS BIGINT) AS score
+  FROM cuts c JOIN f fx ON fx.lang = c.lang AND fx.phrase = x JOIN f fy ON fy.lang = c.lang AND fy.phrase = y),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM f WHERE k = 3) GROUP BY lang, phrase),
+left_over AS (
+  SELECT s.* FROM lowest s LEFT JOIN inside i USING (lang, phrase)
+  WHERE nth = 1 AND (longer IS NULL OR 100 * longer < {collocations.COVERED_PERCENT} * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+_DECONTAMINATION_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{decontamination.WORD}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{decontamination.WORD}') AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(ws), {decontamination.WINDOW}) AS m, array_to_string(ws[i:i + {decontamination.WINDOW - 1}], ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - {decontamination.WINDOW - 2}, 2))) AS i FROM b WHERE len(ws) > 0)),
+places AS (
+  SELECT rid, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT rid, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win))),
+met AS (SELECT rid, i, p.m, item_id FROM places p JOIN win USING (m, g)),
+hit AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS j FROM (SELECT DISTINCT rid, i, m FROM met)) GROUP BY rid),
+items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM met WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_SEARCH_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+size AS (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ws) AS t FROM d) GROUP BY rid, t),
+df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+       FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), size),
+q AS (
+  SELECT no, item_id, t, count(*) AS c
+  FROM (SELECT no, item_id, unnest(ws) AS t FROM (SELECT row_number() OVER () AS no, item_id, {_TERMS} AS ws FROM benchmark)) GROUP BY no, item_id, t),
+m AS (SELECT rid, doc_id, 25 + (75 * len(ws) * n_docs) // n_terms AS m FROM d, size WHERE len(ws) > 0),
+scores AS (
+  SELECT no, item_id, rid, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN df USING (t) JOIN tf USING (t) JOIN m USING (rid) GROUP BY no, item_id, rid, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= {ranked_search.TOP}
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_chat_formatting": _CHAT_SQL, "op10_quality_rules": _quality_sql(), "op11_collocations": _COLLOCATIONS_SQL,
+    "op12_decontamination": _DECONTAMINATION_SQL, "op13_ranked_search": _SEARCH_SQL}
