@@ -26,11 +26,11 @@ TOP = 2000
 COVERED_PERCENT = 50
 LONGEST = 3
 #: Phrases (with repeats) of a hash partition, and bytes of text that make one phrase, about.
-PARTITION_MASS, BYTES_PER_PHRASE = 8_000_000, 2
+PARTITION_MASS, BYTES_PER_PHRASE = 4_000_000, 2
 #: Bits that all summaries hand on together, and each of them, at most.
 FILTER_BITS, PARTITION_BITS = 1 << 28, 1 << 22
 #: Bytes of text counted together, and different words a worker knows before it starts anew.
-CHUNK_BYTES, KNOWN_WORDS = 16_000_000, 1 << 21
+CHUNK_BYTES, KNOWN_WORDS = 8_000_000, 1 << 20
 NO_LANG = "und"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in _BREAKS else 32 if c == 9 else c for c in range(256))
@@ -74,45 +74,45 @@ class Chunk:
         self.coder, self.ids = coder, np.concatenate(parts)
         self.langs = sorted(set(langs))
         at = {x: k for k, x in enumerate(self.langs)}
-        self.lang = np.repeat(np.array([at[x] for x in langs]), [len(p) for p in parts])
-        seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.langs], np.uint64)
-        h = coder.hashed()
-        self.hash = {1: _mix(h[self.ids] ^ seeds[self.lang])}
-        self.start = {1: np.flatnonzero(self.ids)}
-        for k in range(2, LONGEST + 1):
-            s = self.start[k - 1][:]
-            s = s[s + k - 1 < len(self.ids)]
-            self.start[k] = s[self.ids[s + k - 1] != 0]
-            self.hash[k] = np.zeros_like(self.hash[1])
-            self.hash[k][self.start[k]] = _mix(self.hash[k - 1][self.start[k]] * _GOLD + h[self.ids[self.start[k] + k - 1]])
-
-    def keys(self, k: int, partitions: int) -> np.ndarray:
-        """Hash partition (upper half) and place in it (lower half) of each phrase of k words."""
-        x = self.hash[k][self.start[k]]
-        part = (x >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
-        return part << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
-
-    def phrases(self, k: int, wanted: np.ndarray) -> Iterator[tuple[str, str, int]]:
-        """(lang, phrase, occurrences) of the different phrases of k words that ``wanted`` marks."""
-        s, v = self.start[k][wanted], np.int64(len(self.coder.words))
-        key = self.lang[s] * v + self.ids[s]
+        self.lang = np.repeat(np.array([at[x] for x in langs], np.int32), [len(p) for p in parts])
+        self.seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.langs], np.uint64)
+
+    def phrases(self, partitions: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, keys) of all phrases of k words, for each k.
+
+        A key's upper half is the hash partition, its lower half the place in it.
+        """
+        h, start = self.coder.hashed(), np.flatnonzero(self.ids)
+        x = _mix(h[self.ids[start]] ^ self.seeds[self.lang[start]])
+        for k in range(1, LONGEST + 1):
+            if k > 1:
+                more = self.ids[start + k - 1] != 0  # the last word of a text has a 0 behind it
+                start = start[more]
+                x = _mix(x[more] * _GOLD + h[self.ids[start + k - 1]])
+            part = (x >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
+            yield k, start, part << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
+
+    def different(self, k: int, start: np.ndarray) -> tuple[list[str], list[bytes], list[int]]:
+        """Languages, words joined by blanks and occurrences of the different phrases of k words at some places."""
+        v = np.int64(len(self.coder.words))
+        key = self.lang[start] * v + self.ids[start]
         if k > 1:
-            key = key * v + self.ids[s + 1]
-        for j in range(2, k):  # numbers stay below 2^63: what is counted so far is numbered anew
-            key = np.unique(key, return_inverse=True)[1] * v + self.ids[s + j]
+            key = key * v + self.ids[start + 1]
+        for j in range(2, k):  # numbers stay below 2^63: what is told apart so far is numbered anew
+            key = np.unique(key, return_inverse=True)[1] * v + self.ids[start + j]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
-        words, s = self.coder.words, s[first]
-        columns = [[words[x] for x in self.ids[s + j].tolist()] for j in range(k)]
-        return zip([self.langs[x] for x in self.lang[s].tolist()], (b" ".join(p) for p in zip(*columns)), n.tolist())
+        words, start = self.coder.words, start[first]
+        columns = [[words[x] for x in self.ids[start + j].tolist()] for j in range(k)]
+        return [self.langs[x] for x in self.lang[start].tolist()], [b" ".join(p) for p in zip(*columns)], n.tolist()
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """The texts of (lang, text) batches in chunks of about CHUNK_BYTES."""
     coder, parts, langs, size = Coder(), [], [], 0
-    for b in batches:
+    for b in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
             tokens = ((text or b"").translate(_FOLD) + b".").replace(b".", b" . ").split()
-            parts.append(np.fromiter(map(coder.__getitem__, tokens), np.int64, len(tokens)))
+            parts.append(np.fromiter(map(coder.__getitem__, tokens), np.int32, len(tokens)))
             langs.append(NO_LANG if lang is None else lang)
             size += len(text or b"")
             if size >= CHUNK_BYTES:
@@ -152,13 +152,13 @@ def summaries(docs: DataFrame, partitions: int) -> DataFrame:
     """(part, places, counts): the counters of each chunk of texts, by hash partition."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            keys, n = counted(np.concatenate([c.keys(k, partitions) for k in range(1, LONGEST + 1)]))
-            part = (keys >> np.uint64(32)).astype(np.int64)
-            mine, first = np.unique(part, return_index=True)
-            low, n = keys.astype("<u4"), n.astype("<u4")
-            ends = np.append(first[1:], len(keys)).tolist()
-            cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(first.tolist(), ends)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(mine), cut(low), cut(n)], ["part", "places", "counts"])
+            for _, _, keys in c.phrases(partitions):
+                keys, n = counted(keys)
+                mine, first = np.unique((keys >> np.uint64(32)).astype(np.int64), return_index=True)
+                low, n = keys.astype("<u4"), n.astype("<u4")
+                ends = np.append(first[1:], len(keys)).tolist()
+                cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(first.tolist(), ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(mine), cut(low), cut(n)], ["part", "places", "counts"])
 
     return docs.select("lang", "text").mapInArrow(count, "part long, places binary, counts binary")
 
@@ -175,6 +175,12 @@ def frequent_bits(summed: DataFrame, bits: int, min_count: int) -> DataFrame:
     return summed.groupBy("part").applyInArrow(merge, "part long, bits binary")
 
 
+def _rows(langs: list[str], k: int, phrases: list, counts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs, pa.string()), pa.array([k] * len(langs), pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()),
+         pa.array(counts, pa.int64())], ["lang", "words", "phrase", "f"])
+
+
 def exact_counts(docs: DataFrame, flags: np.ndarray, bits: int, partitions: int, min_count: int) -> DataFrame:
     """(lang, words, phrase, f) of the frequent phrases, and of all words together (words 0, no phrase)."""
     held = docs.sparkSession.sparkContext.broadcast(flags)  # FILTER_BITS at most
@@ -182,19 +188,15 @@ def exact_counts(docs: DataFrame, flags: np.ndarray, bits: int, partitions: int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = held.value
         for c in chunks(batches):
-            total = np.bincount(c.lang[c.start[1]], minlength=len(c.langs)).tolist()
-            rows = [list(zip(c.langs, [0] * len(total), [None] * len(total), total))]
-            for k in range(1, LONGEST + 1):
-                keys = c.keys(k, partitions)
+            for k, start, keys in c.phrases(partitions):
+                if k == 1:
+                    total = np.bincount(c.lang[start], minlength=len(c.langs)).tolist()
+                    yield _rows(c.langs, 0, [None] * len(total), total)
                 bit = (keys >> np.uint64(32)) * np.uint64(bits) + ((keys & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32))
                 hit = (flags[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                rows.append([(lang, k, p, n) for lang, p, n in c.phrases(k, hit == 1)])
-            for some in rows:
-                for a in range(0, len(some), 100_000):
-                    lang, k, p, n = zip(*some[a:a + 100_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(p, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-                        ["lang", "words", "phrase", "f"])
+                lang, phrase, n = c.different(k, start[hit == 1])
+                for a in range(0, len(n), 100_000):
+                    yield _rows(lang[a:a + 100_000], k, phrase[a:a + 100_000], n[a:a + 100_000])
 
     rows = docs.select("lang", "text").mapInArrow(count, "lang string, words int, phrase string, f long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
