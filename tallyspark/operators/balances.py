@@ -1,106 +1,212 @@
-"""Zero-filled balances: grid (D20), running balance (D21), YTD (D22), begin/end (D23), statement.
+"""Zero-filled balances: grid (D20), running balance (D21), YTD (D22), begin/end balances (D23), statement.
 
 Plan, and why it scales:
 
-* The GL is aggregated once per (account, org, month) with partial
-  aggregation before the shuffle.  Everything after works on monthly rows, so
-  a window partition (account, org) holds at most months x currency pairs
+* One scan of the GL.  It is summed per (account, org, month, currency pair)
+  with partial aggregation before the shuffle; what follows works on these
+  monthly rows, dealt once by (account, org).  Running sums, year-to-date
+  sums, neighbours and currency sets are windows over that layout and need no
+  further exchange; a window partition holds at most months x currency pairs
   rows however many GL lines one hot key has.
-* The zero-fill grid is each distinct (account, org, currency pair) times the
-  calendar months since ``as_of - 4 years``: the month list is a one-row
-  array aggregated from the calendar (its size is bounded by the calendar,
-  not by the data) and exploded per key, then months that have GL rows are
-  removed with a ``left_anti`` join on (account, org, month).
-* D21 is a RANGE running sum per (account, org) (peers included, as the
-  reference's default frame); D22 replaces the reference's inequality self
-  join with a running sum per (account, org, fiscal year) times the number of
-  rows of the month, which reproduces its duplicate-count quirk exactly.
-* D23 pairs each carried balance with the one carried into its month.  The
-  reference's self join multiplies duplicate rows (k x j); here a RANGE
-  window of exactly the previous calendar month collects those j rows and
-  each row is exploded against them: the same multiset, computed from one
-  pass over ``totals`` without joining it to itself.
+* Balances are kept as *change points*: a row per posted month with the
+  balances it leads to and the month of the next change.  Only change points
+  are shuffled and sorted.  The months between two of them are written out
+  last, by exploding the interval where it lies, so the zero-filled grid of
+  D21-D23 is neither joined to the GL nor shuffled.
+* A month without postings holds one row for each currency pair (k) of its
+  key, a posted month one.  D22 reports k x YTD for the former (the
+  reference's inequality self join counts each row) and D23 pairs every row
+  of a month with every row of the month before; both factors are known at
+  the change point, so neither needs a join.
+* D20 alone needs no amounts: the posted months of a key are the bits of
+  ``bit_or`` over its GL rows, and its gaps are the bits that are not set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import MONEY, TOTAL, account_type_name, account_type_order
 from .calendar import fiscal_calendar, trailing_years
-from .ledger import _months, finance_filter, gl_detail
+from .ledger import finance_filter, gl_detail
 
 KEY = ["account_key", "org_key"]
+#: Months in one word of a key's bitmap.
+WORD = 62
 
 
-def _signed(debit: str, credit: str):
-    d, c = F.col(debit).cast(MONEY), F.col(credit).cast(MONEY)
-    return (F.when(F.col("acc_type").isin("E", "A"), d - c)
-            .when(F.col("acc_type").isin("R", "L"), c - d)
-            .otherwise(F.lit(0).cast(MONEY)))
+def _calendar(lg) -> DataFrame:
+    """The fiscal calendar with each month's place (``ord``, from 1) in date order."""
+    cal = fiscal_calendar(lg.fiscal_month, lg.fiscal_quarter, lg.fiscal_year)
+    return cal.withColumn("ord", F.row_number().over(Window.orderBy("begin_date")))
+
 
+def _first_months(cal: DataFrame, as_of: str, years: int) -> Column:
+    """(first, last): places of the first month from ``as_of - years`` on (null: none) and of the last month."""
+    return cal.agg(F.struct(F.min(F.when(trailing_years("begin_date", as_of, years), F.col("ord"))).alias("first"),
+                            F.max("ord").alias("last")).alias("m")).scalar()
 
-def monthly_net(lg) -> DataFrame:
-    """GL signed per account type and summed per (account, org, month), all history."""
-    a = lg.account.select("account_key", F.col("type").alias("acc_type"))
-    cal = _months(lg).select("fiscal_month_key", "fiscal_year_key", "begin_date", "end_date")
-    gl = lg.general_ledger.join(cal, "fiscal_month_key").join(a, "account_key")
-    return (
-        gl.withColumn("amount", _signed("debit_amount", "credit_amount"))
-        .withColumn("local_amount", _signed("local_debit_amount", "local_credit_amount"))
-        .groupBy("account_key", F.col("organization_key").alias("org_key"), "fiscal_month_key")
-        .agg(F.max("fiscal_year_key").alias("fiscal_year_key"), F.max("begin_date").alias("begin_date"),
-             F.max("end_date").alias("end_date"), F.sum("amount").alias("amount"),
-             F.sum("local_amount").alias("local_amount"),
-             F.max("transaction_currency").alias("transaction_currency"),
-             F.max("local_currency").alias("local_currency"), F.max("acc_type").alias("acc_type"))
-    )
+
+def _places(lo: Column, hi: Column) -> Column:
+    """lo, lo + 1 ... hi; none if lo is after hi or either is null."""
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
 def zero_fill_grid(lg, as_of: str, years: int = 4) -> DataFrame:
-    """(account, org, currency pair) x months >= as_of - years, minus months with GL rows."""
-    cal = _months(lg).filter(trailing_years("begin_date", as_of, years))
-    month_list = cal.agg(F.collect_list(F.struct("fiscal_month_key", "fiscal_year_key", "begin_date",
-                                                 "end_date")).alias("m")).select("m").scalar()
-    keys = (
-        lg.general_ledger.select("account_key", F.col("organization_key").alias("org_key"),
-                                 "transaction_currency", "local_currency").distinct()
-        .join(lg.account.select("account_key", F.col("type").alias("acc_type")), "account_key")
-    )
-    grid = keys.select("*", F.explode(month_list).alias("_m")).select(
-        *KEY, "_m.fiscal_month_key", "_m.fiscal_year_key", "_m.begin_date", "_m.end_date",
-        F.lit(0).cast(MONEY).alias("amount"), F.lit(0).cast(MONEY).alias("local_amount"),
-        "transaction_currency", "local_currency", "acc_type")
-    posted = lg.general_ledger.select("account_key", F.col("organization_key").alias("org_key"),
-                                      "fiscal_month_key")
-    return grid.join(posted, KEY + ["fiscal_month_key"], "left_anti")
-
-
-def _monthly_with_zero_fill(lg, as_of: str, types) -> DataFrame:
-    m = monthly_net(lg).filter(F.col("acc_type").isin(*types))
-    z = zero_fill_grid(lg, as_of).filter(F.col("acc_type").isin(*types))
-    return m.unionByName(z)
-
-
-def _next_month(lg) -> DataFrame:
-    cal = fiscal_calendar(lg.fiscal_month, lg.fiscal_quarter, lg.fiscal_year)
-    return F.broadcast(cal.filter(F.col("next_month_key").isNotNull()).select(
-        "fiscal_month_key", "next_month_key", "next_period_number"))
+    """(account, org, currency pair) x months >= as_of - years, minus months with GL rows.
 
+    The posted months of a key are bits, ``WORD`` to a numbered word; one pass
+    over the GL sets them beside the key's currency pairs.
+    """
+    cal = _calendar(lg).filter(trailing_years("begin_date", as_of, years))
+    cal = cal.withColumn("ord", F.row_number().over(Window.orderBy("begin_date")) - 1)
+    month_list = cal.agg(F.array_sort(F.collect_list(F.struct(
+        "ord", "fiscal_month_key", "fiscal_year_key", "begin_date", "end_date"))).alias("m")).select("m").scalar()
+    gl = lg.general_ledger.select("account_key", F.col("organization_key").alias("org_key"), "transaction_currency",
+                                  "local_currency", "fiscal_month_key")
+    gl = gl.join(F.broadcast(cal.select("fiscal_month_key", "ord")), "fiscal_month_key", "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ord", F.lit(WORD)))
+    posted = gl.groupBy(*KEY, "transaction_currency", "local_currency", F.floor(F.col("ord") / WORD).alias("word")).agg(
+        F.bit_or(bit).alias("bits"))
+    keys = posted.groupBy(*KEY).agg(
+        F.collect_set(F.struct("transaction_currency", "local_currency")).alias("pairs"),
+        F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "bits"))).alias("posted"))
+    gap = ~F.exists("posted", lambda p: (p["word"] == F.floor(F.col("_m.ord") / WORD))
+                    & (F.call_function("getbit", p["bits"], F.pmod(F.col("_m.ord"), F.lit(WORD))) == 1))
+    return (keys.join(lg.account.select("account_key", F.col("type").alias("acc_type")), "account_key")
+            .select("*", F.explode(month_list).alias("_m")).filter(gap)
+            .select("*", F.inline("pairs"))
+            .select(*KEY, "_m.fiscal_month_key", "_m.fiscal_year_key", "_m.begin_date", "_m.end_date",
+                    F.lit(0).cast(MONEY).alias("amount"), F.lit(0).cast(MONEY).alias("local_amount"),
+                    "transaction_currency", "local_currency", "acc_type"))
 
-def running_balance(lg, as_of: str) -> DataFrame:
-    """Balance-sheet (A/L) running balance carried into the next month."""
-    x = _monthly_with_zero_fill(lg, as_of, ["A", "L"]).join(_next_month(lg), "fiscal_month_key")
-    w = Window.partitionBy(*KEY).orderBy("begin_date")  # RANGE up to current row: peers included
-    run = F.sum("amount").over(w).cast(TOTAL)
-    lrun = F.sum("local_amount").over(w).cast(TOTAL)
+
+def monthly_movements(lg) -> DataFrame:
+    """Debit minus credit per (account, org, month, currency pair): the one scan of the GL, dealt by (account, org)."""
+    net = lambda d, c: F.sum(F.col(d).cast(MONEY) - F.col(c).cast(MONEY))
+    return (lg.general_ledger.groupBy("account_key", F.col("organization_key").alias("org_key"), "fiscal_month_key",
+                                      "transaction_currency", "local_currency")
+            .agg(net("debit_amount", "credit_amount").alias("net"),
+                 net("local_debit_amount", "local_credit_amount").alias("local_net"))
+            .repartition(*KEY))
+
+
+def change_points(lg, types=("A", "L", "E", "R")) -> DataFrame:
+    """Balances per (account, org) as intervals: a row per posted month (``ord``) up to the next one (``next_ord``).
+
+    ``run`` and ``ytd`` (and ``local_``) are the balances the month leads to,
+    ``was_run`` and ``was_ytd`` those before it; ``pairs`` are the key's
+    currency pairs.  A key none of whose months is in the calendar keeps one
+    row with a null ``ord``: it has pairs but no balance.
+    """
+    sign = F.when(F.col("acc_type").isin("E", "A"), F.lit(1)).when(F.col("acc_type").isin("R", "L"), F.lit(-1)).otherwise(F.lit(0))
+    cal = F.broadcast(_calendar(lg).select("fiscal_month_key", "fiscal_year_key", "ord"))
+    a = lg.account.select("account_key", F.col("type").alias("acc_type")).filter(F.col("acc_type").isin(*types))
+    months = (monthly_movements(lg).groupBy(*KEY, "fiscal_month_key")
+              .agg(F.sum("net").alias("net"), F.sum("local_net").alias("local_net"),
+                   F.max("transaction_currency").alias("transaction_currency"), F.max("local_currency").alias("local_currency"),
+                   F.collect_set(F.struct("transaction_currency", "local_currency")).alias("pairs"))
+              .join(cal, "fiscal_month_key", "left").join(a, "account_key"))
+    key = Window.partitionBy(*KEY)
+    by_month = key.orderBy(F.col("ord").asc_nulls_last())
+    yearly = Window.partitionBy(*KEY, "fiscal_year_key").orderBy(F.col("ord").asc_nulls_last())
+    dated = lambda c: F.when(F.col("ord").isNotNull(), F.col(c) * sign).otherwise(F.lit(0).cast(MONEY))
+    months = months.withColumns({"amount": dated("net"), "local_amount": dated("local_net")})
+    points = months.select(
+        *KEY, "acc_type", "ord", "fiscal_year_key", "transaction_currency", "local_currency", "amount", "local_amount",
+        F.array_distinct(F.flatten(F.collect_list("pairs").over(key))).alias("pairs"),
+        F.row_number().over(by_month).alias("nth"), F.count("ord").over(key).alias("dated"),
+        F.lead("ord").over(by_month).alias("next_ord"), F.lag("ord").over(by_month).alias("was_ord"),
+        F.lag("fiscal_year_key").over(by_month).alias("was_year"),
+        F.sum("amount").over(by_month).cast(TOTAL).alias("run"), F.sum("local_amount").over(by_month).cast(TOTAL).alias("local_run"),
+        F.sum("amount").over(yearly).cast(TOTAL).alias("ytd"), F.sum("local_amount").over(yearly).cast(TOTAL).alias("local_ytd"))
+    return points.select(
+        "*", (F.col("run") - F.col("amount")).cast(TOTAL).alias("was_run"),
+        (F.col("local_run") - F.col("local_amount")).cast(TOTAL).alias("local_was_run"),
+        F.lag("ytd").over(by_month).alias("was_ytd"), F.lag("local_ytd").over(by_month).alias("local_was_ytd"),
+    ).filter(F.col("ord").isNotNull() | ((F.col("dated") == 0) & (F.col("nth") == 1)))
+
+
+def monthly_balances(lg, as_of: str, types, years: int = 4, report_years: int | None = None,
+                     exact_duplicates: bool = True) -> DataFrame:
+    """Change points written out by month: posted months, and from ``as_of - years`` on also those between them.
+
+    A row per (account, org, month) that has a next month.  ``balance`` is what
+    it carries into that month before a year's reset, ``begin`` what was carried
+    into it; ``rows`` and ``begin_rows`` say how many rows of the reference's
+    grid this month and the one before have, ``entries`` holds the currency
+    pairs of its own.  ``report_years`` leaves only months whose next month
+    starts from ``as_of - report_years`` on.
+    """
+    cal = _calendar(lg)
+    bounds = _first_months(cal, as_of, years)
+    months = cal.filter(F.col("next_month_key").isNotNull())
+    gaps_from = bounds["first"]
+    if report_years is not None:
+        starts = cal.select(F.col("fiscal_month_key").alias("next_month_key"), F.col("begin_date").alias("next_begin"))
+        months = (months.join(F.broadcast(starts), "next_month_key")
+                  .filter(trailing_years("next_begin", as_of, report_years)).drop("next_begin"))
+        shown = months.agg(F.min("ord").alias("m")).scalar()
+        gaps_from = F.greatest(gaps_from, shown)
+    months = F.broadcast(months.select(
+        F.col("ord").alias("m"), "fiscal_month_key", "period_number", "fiscal_year_key", "prev_fiscal_year_key", "prev_month_key",
+        "next_month_key", "next_period_number"))
+    p = change_points(lg, types).withColumnRenamed("fiscal_year_key", "year")
+    o = F.col("ord")
+    after = F.coalesce(F.col("next_ord"), bounds["last"] + 1)
+    gaps = _places(F.greatest(gaps_from, F.when(F.col("nth") > 1, o + 1).otherwise(gaps_from)), after - 1)
+    own = F.when(o.isNotNull(), F.array(o)).otherwise(F.array().cast("array<int>"))
+    x = p.select("*", F.explode(F.array_union(own, gaps)).alias("m")).join(months, "m")
+    k = F.size("pairs")
+    moved, early = F.coalesce(F.col("m") == o, F.lit(False)), F.coalesce(F.col("m") < o, F.lit(True))
+    sheet = F.col("acc_type").isin("A", "L")
+    zero, times = F.lit(0).cast(TOTAL), (k if exact_duplicates else F.lit(1))
+
+    def now(run, ytd):
+        gap = F.when(F.col("fiscal_year_key") == F.col("year"), (F.col(ytd) * times).cast(TOTAL)).otherwise(zero)
+        return F.when(early, zero).when(sheet, F.col(run)).when(moved, F.col(ytd)).otherwise(gap)
+
+    before = F.col("m") - 1
+    in_grid = F.coalesce(before >= bounds["first"], F.lit(False))
+    was_moved = F.when(moved, before == F.col("was_ord")).when(early, F.lit(False)).otherwise(before == o)
+    was_moved = F.coalesce(was_moved, F.lit(False))
+
+    def was(run, ytd, was_run, was_ytd):
+        mine = lambda value, year: F.when(was_moved, F.col(value)).when(
+            F.col("prev_fiscal_year_key") == F.col(year), (F.col(value) * times).cast(TOTAL)).otherwise(zero)
+        income = F.when(F.col("period_number") == 1, zero).when(moved, mine(was_ytd, "was_year")).otherwise(mine(ytd, "year"))
+        return F.coalesce(F.when(early, zero).when(sheet, F.when(moved, F.col(was_run)).otherwise(F.col(run))).otherwise(income), zero)
+
+    entry = lambda t, c: F.array(F.struct(t.alias("transaction_currency"), c.alias("local_currency")))
+    entries = (F.when(moved, entry(F.col("transaction_currency"), F.col("local_currency"))).when(sheet, F.col("pairs"))
+               .otherwise(entry(F.array_max(F.transform("pairs", lambda q: q["transaction_currency"])),
+                                F.array_max(F.transform("pairs", lambda q: q["local_currency"])))))
+    begin_rows = (F.when(F.col("prev_month_key").isNull() | ~(was_moved | in_grid), F.lit(0))
+                  .when(was_moved | ~sheet, F.lit(1)).otherwise(k))
     return x.select(
+        *KEY, "acc_type", "fiscal_month_key", "next_month_key", "next_period_number",
+        now("run", "ytd").alias("balance"), now("local_run", "local_ytd").alias("local_balance"),
+        was("run", "ytd", "was_run", "was_ytd").alias("begin"),
+        was("local_run", "local_ytd", "local_was_run", "local_was_ytd").alias("local_begin"),
+        begin_rows.alias("begin_rows"), entries.alias("entries"))
+
+
+def _carried(balances: DataFrame) -> DataFrame:
+    """Rows of D21/D22: each month's balance carried into the next, an income balance reset where a year begins."""
+    reset = F.col("acc_type").isin("E", "R") & (F.col("next_period_number") == 1)
+    amount = lambda c: F.when(reset, F.lit(0).cast(TOTAL)).otherwise(F.col(c))
+    return balances.select("*", F.inline("entries")).select(
         *KEY, F.col("acc_type").alias("account_type"), F.col("next_month_key").alias("fiscal_month_key"),
         F.col("fiscal_month_key").alias("prev_fiscal_month_key"),
-        run.alias("amount"), run.alias("amount_c"), lrun.alias("local_amount"), lrun.alias("local_amount_c"),
-        "transaction_currency", "local_currency",
-    )
+        amount("balance").alias("amount"), F.col("balance").alias("amount_c"),
+        amount("local_balance").alias("local_amount"), F.col("local_balance").alias("local_amount_c"),
+        "transaction_currency", "local_currency")
+
+
+def running_balance(lg, as_of: str) -> DataFrame:
+    """Balance-sheet (A/L) running balance carried into the next month."""
+    return _carried(monthly_balances(lg, as_of, ("A", "L")))
 
 
 def ytd_balance(lg, as_of: str, exact_duplicates: bool = True) -> DataFrame:
@@ -109,30 +215,11 @@ def ytd_balance(lg, as_of: str, exact_duplicates: bool = True) -> DataFrame:
     ``exact_duplicates`` keeps the reference's factor: a zero-filled month
     with k currency pairs reports k x YTD.  ``False`` gives the plain YTD.
     """
-    x = _monthly_with_zero_fill(lg, as_of, ["E", "R"])
-    per_month = x.groupBy(*KEY, "fiscal_month_key").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("amount").alias("amount"), F.sum("local_amount").alias("local_amount"),
-        F.max("fiscal_year_key").alias("fiscal_year_key"), F.max("begin_date").alias("begin_date"),
-        F.max("acc_type").alias("acc_type"), F.max("transaction_currency").alias("transaction_currency"),
-        F.max("local_currency").alias("local_currency"))
-    w = Window.partitionBy(*KEY, "fiscal_year_key").orderBy("begin_date")
-    factor = F.col("k") if exact_duplicates else F.lit(1)
-    ytd = (F.sum("amount").over(w) * factor).cast(TOTAL)
-    lytd = (F.sum("local_amount").over(w) * factor).cast(TOTAL)
-    df = per_month.select("*", ytd.alias("_ytd"), lytd.alias("_lytd")).join(_next_month(lg), "fiscal_month_key")
-    reset = F.col("next_period_number") == 1
-    zero = F.lit(0).cast(TOTAL)
-    return df.select(
-        *KEY, F.col("acc_type").alias("account_type"), F.col("next_month_key").alias("fiscal_month_key"),
-        F.col("fiscal_month_key").alias("prev_fiscal_month_key"),
-        F.when(reset, zero).otherwise(F.col("_ytd")).alias("amount"), F.col("_ytd").alias("amount_c"),
-        F.when(reset, zero).otherwise(F.col("_lytd")).alias("local_amount"), F.col("_lytd").alias("local_amount_c"),
-        "transaction_currency", "local_currency",
-    )
+    return _carried(monthly_balances(lg, as_of, ("E", "R"), exact_duplicates=exact_duplicates))
 
 
 def totals(lg, as_of: str, exact_duplicates: bool = True) -> DataFrame:
-    return running_balance(lg, as_of).unionByName(ytd_balance(lg, as_of, exact_duplicates))
+    return _carried(monthly_balances(lg, as_of, ("A", "L", "E", "R"), exact_duplicates=exact_duplicates))
 
 
 STATEMENT_COLUMNS = [
@@ -150,27 +237,17 @@ STATEMENT_COLUMNS = [
 
 def period_balances(lg, as_of: str, years: int = 3, exact_duplicates: bool = True) -> DataFrame:
     """beginning/ending balance rows per (account, org, month), statement schema."""
-    t = totals(lg, as_of, exact_duplicates)
+    # A month's rows are its currency entries, each once for every row of the month before.
+    x = monthly_balances(lg, as_of, ("A", "L", "E", "R"), report_years=years, exact_duplicates=exact_duplicates)
+    reset = F.col("acc_type").isin("E", "R") & (F.col("next_period_number") == 1)
+    zero = F.lit(0).cast(TOTAL)
+    pairs = (x.select("*", F.when(reset, zero).otherwise(F.col("balance")).alias("amount"),
+                      F.when(reset, zero).otherwise(F.col("local_balance")).alias("local_amount"))
+             .filter(~((F.col("begin") == 0) & (F.col("amount") == 0)) & (F.col("begin_rows") > 0))
+             .select("*", F.explode(F.array_repeat(F.lit(1), F.col("begin_rows").cast("int"))).alias("_copy"))
+             .select("*", F.inline("entries")).withColumnRenamed("fiscal_month_key", "_pm"))
     cal = fiscal_calendar(lg.fiscal_month, lg.fiscal_quarter, lg.fiscal_year)
-    # Month ordinal by calendar order: the balance carried into month m comes from the rows
-    # whose "from" month is the calendar-previous one, i.e. ordinal - 1.  A RANGE frame of
-    # exactly [-1, -1] on that ordinal collects those rows (duplicates included), so the
-    # reference's self join becomes one window over (account, org) -- totals is computed once
-    # and never joined to itself.  A list holds the previous month's rows of one key: at most
-    # its currency pairs.
-    ordinal = F.broadcast(cal.select(F.col("fiscal_month_key").alias("prev_fiscal_month_key"),
-                                     F.row_number().over(Window.orderBy("begin_date")).alias("_ord")))
-    w = Window.partitionBy(*KEY).orderBy("_ord").rangeBetween(-1, -1)
-    prev_rows = F.collect_list(F.struct(F.col("amount").alias("a"), F.col("local_amount").alias("l"))).over(w)
-    pairs = (t.join(ordinal, "prev_fiscal_month_key")
-             .select("*", prev_rows.alias("_prev"))
-             .select("*", F.explode("_prev").alias("_p"))
-             .select("*", F.col("_p.a").alias("begin_amount"), F.col("_p.l").alias("begin_local"))
-             .filter(~((F.col("begin_amount") == 0) & (F.col("amount") == 0))))
-    fm = F.broadcast(cal.filter(trailing_years("begin_date", as_of, years))
-                     .select("fiscal_month_key", F.col("prev_month_key").alias("_pm")))
-    fm_prev = F.broadcast(cal.select(F.col("fiscal_month_key").alias("_pm"),
-                                     F.col("fiscal_period").alias("fiscal_period")))
+    fm_prev = F.broadcast(cal.select(F.col("fiscal_month_key").alias("_pm"), "fiscal_period"))
     a = lg.account.select("account_key", "account_code", F.col("description").alias("acct_description"),
                           F.col("type").alias("_t"))
     org = lg.customer.select(F.col("customer_key").alias("org_key"), F.col("customer_code").alias("fin_org_code"),
@@ -182,7 +259,7 @@ def period_balances(lg, as_of: str, years: int = 3, exact_duplicates: bool = Tru
                                  F.col("iso_currency_code").alias("transaction_currency_code")))
     lcc = F.broadcast(ccy.select(F.col("currency_code_key").alias("local_currency"),
                                  F.col("iso_currency_code").alias("local_currency_code")))
-    df = (pairs.join(a, "account_key").join(org, "org_key").join(fm, "fiscal_month_key").join(fm_prev, "_pm")
+    df = (pairs.join(a, "account_key").join(org, "org_key").join(fm_prev, "_pm")
           .join(le, "_le", "left").join(ccc, "transaction_currency").join(lcc, "local_currency"))
     null = F.lit(None)
     vals = {
@@ -203,10 +280,10 @@ def period_balances(lg, as_of: str, years: int = 3, exact_duplicates: bool = Tru
         "person_middle_initial": null.cast("string"), "proj_code": null.cast("string"),
         "proj_org_code": null.cast("string"), "proj_org_name": null.cast("string"),
         "proj_owning_org_code": null.cast("string"), "proj_owning_org_name": null.cast("string"),
-        "reference": null.cast("string"), "beginning_balance": F.col("begin_amount").cast(TOTAL),
+        "reference": null.cast("string"), "beginning_balance": F.col("begin").cast(TOTAL),
         "ending_balance": F.col("amount").cast(TOTAL), "transaction_currency_code": F.col("transaction_currency_code"),
         "local_currency_code": F.col("local_currency_code"),
-        "local_beginning_balance": F.col("begin_local").cast(TOTAL), "local_credit_amount": null.cast(MONEY),
+        "local_beginning_balance": F.col("local_begin").cast(TOTAL), "local_credit_amount": null.cast(MONEY),
         "local_debit_amount": null.cast(MONEY), "local_ending_balance": F.col("local_amount").cast(TOTAL),
     }
     return df.select(*[vals[c].alias(c) for c in STATEMENT_COLUMNS])
