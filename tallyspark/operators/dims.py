@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import account_type_name, account_type_order
-from .hierarchy import fill_levels, fill_levels_two_sources, flatten_with_attributes
+from .hierarchy import flatten_with_attributes
+from .joins import Lookup, join_lookups, pick, reads
 
 # An organization's own attributes.
 USER_FIELDS = [f"user{i:02d}" for i in range(1, 21)]
@@ -35,53 +38,55 @@ def cashflow_category(code) -> Column:
     return expr.otherwise(" ")
 
 
-def account_dim(lg, levels: int = ACCT_LEVELS, cost_pool: bool = True, cash_flow: bool = True) -> DataFrame:
+def _tree_lookup(tree, levels: int, attrs: DataFrame, key: str, attr_cols: list[str], prefix: str, on: str | None = None) -> Lookup:
+    """Ancestor attributes by level, ``{prefix}{k}_{attr}``, for the node named by column ``on`` (default: ``key``)."""
+    on = on or key
+    return Lookup(lambda: flatten_with_attributes(tree(), levels, attrs, key, attr_cols, prefix).withColumnRenamed("node_key", on),
+                  (on,), tuple(f"{prefix}{k}_{c}" for k in range(1, levels + 1) for c in attr_cols))
+
+
+def _filled(attr: str, k: int, *prefixes: str):
+    """Ragged fill (D6, D7): level k, k-1 .. 1 of the first tree, then of the next one."""
+    names = [f"{p}{j}_{attr}" for p in prefixes for j in range(k, 0, -1)]
+    return reads(*names)(F.coalesce(*names))
+
+
+def account_dim(lg, levels: int = ACCT_LEVELS, columns=None) -> DataFrame:
     """Account with financial and cost-pool tree levels, type levels and cash flow.
 
-    Catalyst keeps a left join even when none of its columns is used, so a
-    caller that needs only the financial levels passes ``cost_pool=False`` /
-    ``cash_flow=False`` and those trees are not built at all.
+    ``columns`` names the output columns wanted (default: all); a tree or
+    lookup that none of them reads is not planned.
     """
     acct = lg.account
     attrs = acct.select("account_key", "account_code", "description", "type")
-    fin = flatten_with_attributes(lg.acct_fin_tree, levels, attrs, "account_key",
-                                  ["account_code", "description", "type"], "fin")
-    fin = fill_levels(fin, "fin", ["account_code", "description"], levels, out_prefix="finf")
-    df = acct.join(fin.withColumnRenamed("node_key", "account_key"), "account_key", "left")
-    cols = [
-        "account_key", F.col("account_code").alias("acct_code"), F.col("description").alias("acct_description"),
-        account_type_name("type").alias("acct_type"), account_type_order("type").alias("acct_type_order"),
+    lookups = [
+        _tree_lookup(lambda: lg.acct_fin_tree, levels, attrs, "account_key", ["account_code", "description", "type"], "fin"),
+        _tree_lookup(lambda: lg.acct_cost_pool_tree, levels, attrs, "account_key", ["account_code", "description"], "cp"),
+        Lookup(lambda: lg.cashflow_account.select(F.col("cashflow_account_key").alias("account_key"), "rollup_account_key",
+                                                  F.col("category").alias("_cat")), ("account_key",), ("rollup_account_key", "_cat")),
+        Lookup(lambda: acct.select(F.col("account_key").alias("rollup_account_key"), F.col("account_code").alias("_r_code"),
+                                   F.col("description").alias("_r_desc")), ("rollup_account_key",), ("_r_code", "_r_desc")),
     ]
-    for k in range(1, levels + 1):
-        cols += [F.col(f"finf{k}_account_code").alias(f"acct_fin_lv{k}_code"),
-                 F.col(f"finf{k}_description").alias(f"acct_fin_lv{k}_name")]
-    if cost_pool:
-        cp = flatten_with_attributes(lg.acct_cost_pool_tree, levels, attrs, "account_key",
-                                     ["account_code", "description"], "cp")
-        cp = fill_levels(cp, "cp", ["account_code", "description"], levels, out_prefix="cpf")
-        df = df.join(cp.withColumnRenamed("node_key", "account_key"), "account_key", "left")
+    flow = F.col("_cat").isin(*CASHFLOW_CATEGORIES)
+
+    def rolled(mine, theirs):
+        return reads("_cat", theirs, mine)(F.when(flow, F.coalesce(theirs, mine)).otherwise(F.col(theirs)))
+
+    outputs = {
+        "account_key": reads("account_key")(F.col("account_key")), "acct_code": reads("account_code")(F.col("account_code")),
+        "acct_description": reads("description")(F.col("description")), "acct_type": reads("type")(account_type_name("type")),
+        "acct_type_order": reads("type")(account_type_order("type"))}
+    for tree, prefix in (("fin", "fin"), ("cost_pool", "cp")):
         for k in range(1, levels + 1):
-            cols += [F.col(f"cpf{k}_account_code").alias(f"acct_cost_pool_lv{k}_code"),
-                     F.col(f"cpf{k}_description").alias(f"acct_cost_pool_lv{k}_name")]
-    cols += [
-        account_type_name("fin1_type").alias("acct_fin_lv1_type"),
-        account_type_name(F.coalesce(F.col("fin2_type"), F.col("fin1_type"))).alias("acct_fin_lv2_type"),
-    ]
-    if cash_flow:
-        ca = lg.cashflow_account.select(F.col("cashflow_account_key").alias("account_key"),
-                                        "rollup_account_key", F.col("category").alias("_cat"))
-        roll = acct.select(F.col("account_key").alias("rollup_account_key"),
-                           F.col("account_code").alias("_r_code"), F.col("description").alias("_r_desc"))
-        df = df.join(ca, "account_key", "left").join(roll, "rollup_account_key", "left")
-        flow = F.col("_cat").isin(*CASHFLOW_CATEGORIES)
-        cols += [
-            cashflow_category("_cat").alias("cash_flow_category"),
-            F.when(flow, F.coalesce(F.col("_r_code"), F.col("account_code"))).otherwise(F.col("_r_code"))
-            .alias("cfr_account_code"),
-            F.when(flow, F.coalesce(F.col("_r_desc"), F.col("description"))).otherwise(F.col("_r_desc"))
-            .alias("cfr_account_description"),
-        ]
-    return df.select(*cols)
+            outputs |= {f"acct_{tree}_lv{k}_code": _filled("account_code", k, prefix),
+                        f"acct_{tree}_lv{k}_name": _filled("description", k, prefix)}
+    outputs |= {
+        "acct_fin_lv1_type": reads("fin1_type")(account_type_name("fin1_type")),
+        "acct_fin_lv2_type": reads("fin1_type", "fin2_type")(account_type_name(F.coalesce("fin2_type", "fin1_type"))),
+        "cash_flow_category": reads("_cat")(cashflow_category("_cat")),
+        "cfr_account_code": rolled("account_code", "_r_code"), "cfr_account_description": rolled("description", "_r_desc")}
+    chosen, needed = pick(outputs, columns)
+    return join_lookups(acct, lookups, needed).select(*chosen)
 
 
 ORG_TREES = {
@@ -91,44 +96,40 @@ ORG_TREES = {
 }
 
 
-def org_dim(lg, levels: int = ORG_LEVELS) -> DataFrame:
+def org_dim(lg, levels: int = ORG_LEVELS, columns=None) -> DataFrame:
     """Organization with cost-pool, financial, org and consolidation levels.
 
     Consolidation levels fall back to the legal entity's consolidation levels
-    (own levels first, then the legal entity's).  The consolidation tree is
-    flattened once and joined twice (own key, legal-entity key).
+    (own levels first, then the legal entity's).  ``columns`` names the output
+    columns wanted (default: all); a tree or lookup that none of them reads is
+    not planned.
     """
     cust = lg.customer
     attrs = cust.select("customer_key", "customer_code", "customer_name")
-    df = cust.filter(F.col("customer_key").isNotNull()).alias("c")
-    ct = lg.customer_type.select("customer_type_key", "customer_type")
-    cgl = attrs.select(F.col("customer_key").alias("default_gl_post_org_key"),
-                       F.col("customer_code").alias("default_gl_post_org_code"),
-                       F.col("customer_name").alias("default_gl_post_org_name"))
-    cle = attrs.select(F.col("customer_key").alias("legal_entity_key"),
-                       F.col("customer_code").alias("legal_entity_code"),
-                       F.col("customer_name").alias("legal_entity_name"))
-    df = df.join(ct, "customer_type_key", "left").join(cgl, "default_gl_post_org_key", "left") \
-        .join(cle, "legal_entity_key", "left")
-    for out, tree in ORG_TREES.items():
-        flat = flatten_with_attributes(lg.table(tree), levels, attrs, "customer_key",
-                                       ["customer_code", "customer_name"], f"{out}_raw")
-        flat = fill_levels(flat, f"{out}_raw", ["customer_code", "customer_name"], levels, out_prefix=f"{out}_lv")
-        keep = [F.col("node_key").alias("customer_key")] + [
-            F.col(f"{out}_lv{k}_{a}") for k in range(1, levels + 1) for a in ("customer_code", "customer_name")]
-        df = df.join(flat.select(*keep), "customer_key", "left")
-    consol = flatten_with_attributes(lg.org_consolidation_tree, levels, attrs, "customer_key",
-                                     ["customer_code", "customer_name"], "own")
-    le_consol = consol.select(F.col("node_key").alias("legal_entity_key"),
-                              *[F.col(f"own{k}_{a}").alias(f"le{k}_{a}")
-                                for k in range(1, levels + 1) for a in ("customer_code", "customer_name")])
-    df = df.join(consol.withColumnRenamed("node_key", "customer_key"), "customer_key", "left") \
-        .join(le_consol, "legal_entity_key", "left")
-    df = fill_levels_two_sources(df, "own", "le", ["customer_code", "customer_name"], levels, "org_consolidation_lv")
-    cols = ["customer_key", "customer_code", "customer_name", "customer_type",
-            "default_gl_post_org_code", "default_gl_post_org_name", "legal_entity_code", "legal_entity_name", *ORG_ATTRIBUTES]
-    for out in list(ORG_TREES) + ["org_consolidation"]:
+    named = ["customer_code", "customer_name"]
+
+    def org(key, prefix):
+        return Lookup(lambda: attrs.select(F.col("customer_key").alias(key), F.col("customer_code").alias(f"{prefix}_code"),
+                                           F.col("customer_name").alias(f"{prefix}_name")), (key,), (f"{prefix}_code", f"{prefix}_name"))
+
+    flat = functools.cache(lambda: flatten_with_attributes(lg.org_consolidation_tree, levels, attrs, "customer_key", named, "lv"))
+
+    def consolidation(prefix, on):  # flattened once, joined by the organization's own key and by its legal entity's
+        columns = [f"{k}_{c}" for k in range(1, levels + 1) for c in named]
+        return Lookup(lambda: flat().select(F.col("node_key").alias(on), *[F.col(f"lv{c}").alias(f"{prefix}{c}") for c in columns]),
+                      (on,), tuple(f"{prefix}{c}" for c in columns))
+
+    lookups = [
+        Lookup(lambda: lg.customer_type.select("customer_type_key", "customer_type"), ("customer_type_key",), ("customer_type",)),
+        org("default_gl_post_org_key", "default_gl_post_org"), org("legal_entity_key", "legal_entity"),
+        *[_tree_lookup(functools.partial(lg.table, tree), levels, attrs, "customer_key", named, f"{out}_") for out, tree in ORG_TREES.items()],
+        consolidation("own", "customer_key"), consolidation("le", "legal_entity_key"),
+    ]
+    outputs = {c: reads(c)(F.col(c)) for c in (
+        "customer_key", "customer_code", "customer_name", "customer_type", "default_gl_post_org_code", "default_gl_post_org_name",
+        "legal_entity_code", "legal_entity_name", *ORG_ATTRIBUTES)}
+    for out, prefixes in [(o, (f"{o}_",)) for o in ORG_TREES] + [("org_consolidation", ("own", "le"))]:
         for k in range(1, levels + 1):
-            cols += [F.col(f"{out}_lv{k}_customer_code").alias(f"{out}_lv{k}_code"),
-                     F.col(f"{out}_lv{k}_customer_name").alias(f"{out}_lv{k}_name")]
-    return df.select(*cols)
+            outputs |= {f"{out}_lv{k}_code": _filled("customer_code", k, *prefixes), f"{out}_lv{k}_name": _filled("customer_name", k, *prefixes)}
+    chosen, needed = pick(outputs, columns)
+    return join_lookups(cust.filter(F.col("customer_key").isNotNull()), lookups, needed).select(*chosen)

@@ -1,35 +1,52 @@
-"""Nested-set hierarchies flattened to level columns.
+"""Nested-set hierarchies flattened to level columns.
 
 A nested-set tree stores ``(node_key, tree_level, left_visit, right_visit)``;
 the ancestors of a node are the nodes whose interval contains its
 ``left_visit`` (the node itself included).  That is a range join, which Spark
-would run as a nested loop (quadratic in tree size).  Here it becomes an
-equi join on a bucket number plus the range residual:
-
-* ``W = (max right - min left + 1) / node count`` (at least 1) is computed by
-  Spark as a one-row aggregate and read through scalar subqueries, so no
-  value passes through the driver;
-* each candidate ancestor (level < n) is exploded into the buckets
-  ``(left - lo) div W .. (right - lo) div W`` it covers; every node is probed
-  with the single bucket of its ``left_visit``.
-
-Intervals of one level are disjoint, so one level contributes at most
-``range / W + nodes of the level`` exploded rows: the whole explosion is
-linear in the tree size, whatever the interval widths, and a bucket holds
-about ``W`` candidates per level when visit numbers are dense.  No broadcast
-is forced; Spark picks broadcast or shuffle from the measured sizes.
+would run as a nested loop (quadratic in tree size).  Here it is a sweep over
+the left visits.  Intervals of one level never overlap, so at any visit number
+only the node of that level which began last can still be open, and it is an
+ancestor if it ends no earlier:
+
+* nodes are dealt into ``SLICES`` ranges of left visits with about as many
+  nodes each (quantiles, so dense and sparse stretches of numbers make no
+  difference), and a window over each slice carries the last node of every
+  level along;
+* what a slice takes over from those before it, one node per level, is a
+  running maximum over one summary row per slice (at most ``SLICES + 1`` of
+  them, so they are broadcast).
+
+Every node is read, shuffled and sorted once and written once: the work is
+linear in the tree (times the levels), whatever the interval widths, and
+nothing is exploded or compared in pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _bucket(col: str, lo, w):
-    # truncated division is monotonic in ``col``, which is all the bucketing
-    # needs: x in [l, r] implies bucket(x) in [bucket(l), bucket(r)]
-    return ((F.col(col) - lo) / w).cast("bigint")
+#: Ranges of left visits that are swept side by side.
+SLICES = 128
+#: Accuracy of the quantiles that bound them (Spark's parameter; about this many different values are exact).
+QUANTILES = 10_000
+
+
+def _sweep(tree: DataFrame, n_levels: int, payload: list[str], node: str, level: str, left: str, right: str) -> DataFrame:
+    """Each node (``_n``) with its ancestor at every level: structs ``_a0`` .. of (_l, _r, _n, payload), or null."""
+    t = tree.select(F.col(node).alias("_n"), F.col(level).alias("_lv"), F.col(left).cast("bigint").alias("_l"),
+                    F.col(right).cast("bigint").alias("_r"), *payload)
+    cuts = t.agg(F.percentile_approx("_l", [k / SLICES for k in range(1, SLICES)], QUANTILES).alias("c")).scalar()
+    t = t.withColumn("_c", cuts).withColumn("_s", F.coalesce(F.size(F.filter("_c", lambda c: c <= F.col("_l"))), F.lit(0))).drop("_c")
+    opened = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    own = [F.max(F.when(opened & (F.col("_lv") == k), F.struct("_l", "_r", "_n", *payload))) for k in range(n_levels)]
+    last = t.groupBy("_s").agg(*[m.alias(f"_o{k}") for k, m in enumerate(own)])
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    taken = last.select(F.col("_s"), *[F.max(f"_o{k}").over(before).alias(f"_t{k}") for k in range(n_levels)])
+    so_far = Window.partitionBy("_s").orderBy("_l")  # RANGE up to the current visit: the node itself counts
+    swept = t.select("*", *[m.over(so_far).alias(f"_w{k}") for k, m in enumerate(own)]).join(F.broadcast(taken), "_s")
+    at = lambda k: F.coalesce(F.col(f"_w{k}"), F.col(f"_t{k}"))
+    return swept.select("_n", *[F.when(at(k)["_r"] >= F.col("_l"), at(k)).alias(f"_a{k}") for k in range(n_levels)])
 
 
 def tree_ancestors(tree: DataFrame, n_levels: int, node="node_key", level="tree_level",
@@ -40,85 +57,32 @@ def tree_ancestors(tree: DataFrame, n_levels: int, node="node_key", level="tree_
     columns, so every node of the tree is present (the reference's self join
     always matches the node itself).
     """
-    t = tree.select(F.col(node).alias("_n"), F.col(level).alias("_lv"),
-                    F.col(left).cast("bigint").alias("_l"), F.col(right).cast("bigint").alias("_r"))
-    geo = t.agg(F.min("_l").alias("lo"),
-                F.greatest(F.lit(1).cast("bigint"),
-                           ((F.max("_r") - F.min("_l") + 1) / F.count(F.lit(1))).cast("bigint")).alias("w"))
-    lo = geo.select("lo").scalar()
-    w = geo.select("w").scalar()
-    parents = (
-        t.filter(F.col("_lv") < n_levels)
-        .select(F.col("_n").alias("anc_key"), F.col("_lv").alias("anc_level"),
-                F.col("_l").alias("_pl"), F.col("_r").alias("_pr"),
-                F.explode(F.sequence(_bucket("_l", lo, w), _bucket("_r", lo, w))).alias("_b"))
-    )
-    nodes = t.select(F.col("_n").alias(node), F.col("_l").alias("_x"),
-                     _bucket("_l", lo, w).alias("_b"))
-    cond = (nodes["_b"] == parents["_b"]) & nodes["_x"].between(parents["_pl"], parents["_pr"])
-    return nodes.join(parents, cond, "left").select(node, "anc_level", "anc_key")
+    wide = _sweep(tree, n_levels, [], node, level, left, right)
+    found = F.filter(F.array(*[F.when(F.col(f"_a{k}").isNotNull(), F.struct(
+        F.lit(k).alias("anc_level"), F.col(f"_a{k}._n").alias("anc_key"))) for k in range(n_levels)]), lambda x: x.isNotNull())
+    return wide.select(F.col("_n").alias(node), F.inline_outer(found))
 
 
 def flatten_nested_set(tree: DataFrame, n_levels: int, prefix: str = "lvl_key",
-                       node="node_key", **cols) -> DataFrame:
-    """Wide form (D5): one row per node, ``{prefix}_0 .. {prefix}_{n-1}`` ancestor keys."""
-    anc = tree_ancestors(tree, n_levels, node=node, **cols)
-    return anc.groupBy(node).agg(*[
-        F.max(F.when(F.col("anc_level") == k, F.col("anc_key"))).alias(f"{prefix}_{k}")
-        for k in range(n_levels)
-    ])
+                       node="node_key", level="tree_level", left="left_visit", right="right_visit") -> DataFrame:
+    """Wide form (D5): one row per node, ``{prefix}_0 .. {prefix}_{n-1}`` ancestor keys.
+
+    Intervals of one level must not overlap and a node stands once in the tree,
+    as in any nested set numbered by a walk; gaps between numbers may be of any
+    size.  Nodes without visits have no ancestors.
+    """
+    wide = _sweep(tree, n_levels, [], node, level, left, right)
+    return wide.select(F.col("_n").alias(node), *[F.col(f"_a{k}._n").alias(f"{prefix}_{k}") for k in range(n_levels)])
 
 
 def flatten_with_attributes(tree: DataFrame, n_levels: int, attrs: DataFrame, attr_key: str,
                             attr_cols: list[str], prefix: str, node="node_key") -> DataFrame:
     """Ancestor attributes per level: ``{prefix}{k}_{attr}`` for k = 1..n.
 
-    Attributes are attached to the ancestor rows *before* the pivot (one join
-    per tree instead of one per level).  Per level the ancestor with the
-    largest key wins, as MAX(node_key) followed by a key lookup does.
-    """
-    anc = tree_ancestors(tree, n_levels, node=node)
-    a = attrs.select(F.col(attr_key).alias("anc_key"), *attr_cols)
-    anc = anc.join(a, "anc_key", "left")
-    aggs = []
-    for k in range(n_levels):
-        aggs.append(F.max(F.when(F.col("anc_level") == k,
-                                 F.struct(F.col("anc_key"), *[F.col(c) for c in attr_cols]))).alias(f"_s{k}"))
-    wide = anc.groupBy(node).agg(*aggs)
-    out = [F.col(node)]
-    for k in range(n_levels):
-        for c in attr_cols:
-            out.append(F.col(f"_s{k}.{c}").alias(f"{prefix}{k + 1}_{c}"))
-    return wide.select(*out)
-
-
-def fill_levels(df: DataFrame, prefix: str, attr_cols: list[str], n_levels: int,
-                out_prefix: str | None = None) -> DataFrame:
-    """Ragged fill (D6): Lv k = first non-NULL of lv k, k-1, ..., 1, per column."""
-    out_prefix = out_prefix or prefix
-    cols = []
-    for k in range(1, n_levels + 1):
-        for c in attr_cols:
-            cols.append(F.coalesce(*[F.col(f"{prefix}{j}_{c}") for j in range(k, 0, -1)])
-                        .alias(f"{out_prefix}{k}_{c}__filled"))
-    res = df.select("*", *cols)
-    for k in range(1, n_levels + 1):
-        for c in attr_cols:
-            res = res.drop(f"{prefix}{k}_{c}") if out_prefix == prefix else res
-            res = res.withColumnRenamed(f"{out_prefix}{k}_{c}__filled", f"{out_prefix}{k}_{c}")
-    return res
-
-
-def fill_levels_two_sources(df: DataFrame, own_prefix: str, fallback_prefix: str, attr_cols: list[str],
-                            n_levels: int, out_prefix: str) -> DataFrame:
-    """Two-source ragged fill (D7): own levels k..1 first, then the fallback's k..1.
-
-    An own Lv1 therefore wins over a deeper fallback level.
+    Attributes are attached to the nodes *before* the sweep (one join per tree
+    instead of one per level) and carried along with them.
     """
-    cols = []
-    for k in range(1, n_levels + 1):
-        for c in attr_cols:
-            own = [F.col(f"{own_prefix}{j}_{c}") for j in range(k, 0, -1)]
-            fb = [F.col(f"{fallback_prefix}{j}_{c}") for j in range(k, 0, -1)]
-            cols.append(F.coalesce(*own, *fb).alias(f"{out_prefix}{k}_{c}"))
-    return df.select("*", *cols)
+    named = tree.join(attrs.select(F.col(attr_key).alias(node), *attr_cols), node, "left")
+    wide = _sweep(named, n_levels, attr_cols, node, "tree_level", "left_visit", "right_visit")
+    return wide.select(F.col("_n").alias(node), *[
+        F.col(f"_a{k}.{c}").alias(f"{prefix}{k + 1}_{c}") for k in range(n_levels) for c in attr_cols])

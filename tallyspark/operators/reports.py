@@ -23,7 +23,8 @@ def _org_keys(lg) -> DataFrame:
 
 
 def _fin_levels(lg) -> DataFrame:
-    return account_dim(lg, cost_pool=False, cash_flow=False)
+    """Account key, type and financial levels 1 to 6: all that the reports show of an account."""
+    return account_dim(lg, columns=["account_key", "acct_type", *[f"acct_fin_lv{k}_{s}" for k in range(1, 7) for s in ("code", "name")]])
 
 
 def aop_report(lg, viewer: int, as_of: str) -> DataFrame:
