@@ -5,10 +5,10 @@ report (D42) with the approval-chain filter (D33) and rate masking (D16).
   latest poster by ``max_by`` over (timestamp, poster key) -- the reference's
   ROW_NUMBER has no tie-breaker, the poster key is added as one.
 * D41 replaces three correlated scalar subqueries (one per column) with one
-  equi join on the person plus the overlap residual, then one ``groupBy``
-  per distinct (person, period) -- computed once and joined back by key.
-* Usage rows find their accrual period with an equi join on (plan, day)
-  against the exploded period days (bounded by the calendar of periods);
+  overlap join per person, then one ``groupBy`` per distinct (person, period)
+  -- computed once and joined back by key.  A person with many rates and many
+  periods meets only those that lie close to each other.
+* Usage rows find their accrual period by an interval lookup within the plan;
   the person-plan match is an equi join on (project, person) with the date
   range and the task wildcard (J14) as residual.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import concat_nn, fiscal_period
 from .access import has_any_role, mask
-from .calendar import calendar_days, interval_lookup
+from .intervals import interval_lookup, overlap_join
 
 # Accrual source codes and their transaction types.
 TRANSACTION_TYPES = {"I": "Initial", "A": "Adjustment", "P": "Posted", "U": "Unposted", "C": "Carry-Over",
@@ -52,9 +52,13 @@ def rate_for_period(person_rate: DataFrame, periods: DataFrame, person="person_k
     r = person_rate.select(F.col("person_key").alias(person), F.col("begin_date").alias("_rb"),
                            F.col("end_date").alias("_re"), "cost_rate")
     pb, pe = F.col(begin), F.col(end)
+    # a rate with one bound counts where that lies; one that ends before it begins counts at both ends
+    span = lambda df, b, e, name: df.withColumns({f"{name}0": F.least(b, e), f"{name}1": F.greatest(b, e)})
     overlap = (F.col("_rb").between(pb, pe) | F.col("_re").between(pb, pe)
                | ((F.col("_rb") < pb) & (F.col("_re") > pe)))
-    return (p.join(r, person).filter(overlap).groupBy(person, begin, end)
+    p, r = span(p, begin, end, "_p"), span(r, "_rb", "_re", "_r")
+    met = overlap_join(p, r, [person], ("_p0", "_p1"), ("_r0", "_r1"))
+    return (met.filter(overlap).groupBy(person, begin, end)
             .agg(F.max("cost_rate").alias("person_cost_rate"), F.max("_rb").alias("person_cost_rate_begin_date"),
                  F.max("_re").alias("person_cost_rate_end_date")))
 
@@ -181,12 +185,10 @@ def accrual_usage(lg) -> DataFrame:
             & lines.work_date.between(pap.pap_begin, pap.pap_end)
             & (pap.task_key.isNull() | (lines._line_task == pap.task_key)))
     df = lines.join(pap, cond).drop(lines.project_key).drop(lines.person_key)
-    periods = _periods(lg).withColumnRenamed("accrual_plan_key", "_dplan")
-    days = calendar_days(periods, ["accrual_period_key", "_dplan", "period_begin", "period_end"],
-                         "period_begin", "period_end", "_pday")
+    periods = _periods(lg).withColumns({"_begins": F.col("period_begin"), "_ends": F.col("period_end")})
     df = (df.join(_plans(lg), "accrual_plan_key")
-          .join(days, (F.col("accrual_plan_key") == F.col("_dplan")) & (F.col("work_date") == F.col("_pday")))
-          .drop("_dplan", "_pday")
+          .transform(lambda d: interval_lookup(d, "work_date", periods, ["accrual_period_key", "period_begin", "period_end"],
+                                               begin="_begins", end="_ends", on=["accrual_plan_key"]))
           .join(lg.person.select("person_key"), "person_key")            # inner: person must exist
           .join(lg.project.select("project_key"), "project_key")        # inner: project must exist
           .join(lg.post_history.select("post_history_key", "posted_by_key", "post_timestamp"),

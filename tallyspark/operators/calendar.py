@@ -66,22 +66,3 @@ def trailing_years(col, as_of: str, n: int) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     ts = F.lit(as_of).cast("timestamp_ntz")
     return c.cast("timestamp_ntz") >= ts - F.expr(f"INTERVAL {n} YEARS")
-
-
-def calendar_days(periods: DataFrame, key_cols, begin: str = "begin_date", end: str = "end_date",
-                  day_col: str = "_day") -> DataFrame:
-    """One row per day of each period: the equi-join form of ``d BETWEEN begin AND end``.
-
-    The row count is the number of calendar days covered (a few thousand
-    per decade), fixed by the calendar rather than by the data, so the
-    result is broadcast and the range lookup (J11) becomes a hash join.
-    """
-    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    return F.broadcast(periods.select(*keys, F.explode(F.sequence(F.col(begin), F.col(end))).alias(day_col)))
-
-
-def interval_lookup(df: DataFrame, date_col: str, periods: DataFrame, key_cols, how: str = "inner",
-                    begin: str = "begin_date", end: str = "end_date") -> DataFrame:
-    """Attach the period containing ``date_col`` (J11) by an equi join on the day."""
-    days = calendar_days(periods, key_cols, begin, end, "_lookup_day")
-    return df.join(days, F.col(date_col).cast("date") == F.col("_lookup_day"), how).drop("_lookup_day")
