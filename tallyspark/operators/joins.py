@@ -1,8 +1,11 @@
-"""Left joins on keys that most rows do not have."""
+"""Left joins on keys that most rows do not have, and lookups planned by the columns a report wants."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPREAD = 256
@@ -20,3 +23,90 @@ def left_join_some(df: DataFrame, right: DataFrame, key: str, spread_by: str) ->
     dealt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
     return (df.withColumn(salt, dealt)
             .join(right.withColumn(salt, F.pmod(F.hash(key), F.lit(1))), [key, salt], "left").drop(salt))
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A table joined to a base table: its frame, the join columns and the columns it gives.
+
+    ``many``: it may match several rows, or drop some (an inner join), so it
+    belongs to the rows of the result whether or not its columns are wanted.
+    """
+
+    frame: Callable[[], DataFrame]
+    on: tuple[str, ...]
+    gives: tuple[str, ...]
+    many: bool = False
+    how: str = "left"
+
+
+def join_lookups(df: DataFrame, lookups: list[Lookup], wanted: Iterable[str]) -> DataFrame:
+    """``df`` with the lookups that ``wanted`` needs, in their order.
+
+    Catalyst keeps a left join whose columns nobody reads, since it cannot know
+    that the other side has one row for a key.  The lookup says so, and is not
+    planned unless a wanted column, or the key of a later planned lookup,
+    comes from it.  A planned lookup brings only the columns that are needed.
+    """
+    need, planned = set(wanted), []
+    for x in reversed(lookups):
+        if x.many or x.how == "inner" or need & set(x.gives):
+            planned.append((x, [c for c in x.gives if c in need]))
+            need |= set(x.on)
+    for x, columns in reversed(planned):
+        df = df.join(x.frame().select(*x.on, *columns), list(x.on), x.how)
+    return df
+
+
+def reads(*columns: str):
+    """Marks the columns that an output column is made from: ``reads("a", "b")(expression)``."""
+    return lambda expression: (expression, columns)
+
+
+def pick(outputs: dict[str, tuple[Column, tuple[str, ...]]], columns: Iterable[str] | None) -> tuple[list[Column], set[str]]:
+    """The wanted output columns (all if ``columns`` is None) and the columns they are made from."""
+    names = list(outputs) if columns is None else list(columns)
+    if unknown := [c for c in names if c not in outputs]:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+    return [outputs[c][0].alias(c) for c in names], {x for c in names for x in outputs[c][1]}
+
+
+#: Rows of one key that a task takes in ``skewed_join``.
+HEAVY = 100_000
+
+
+def _dealt(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the part of their key (``_i`` of the left rows, ``_j`` of the right) that each row belongs to."""
+    count = lambda df, key, name: df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
+    parts = lambda n: F.ceil(F.col(n) / heavy).cast("int")
+    # keys with more than ``heavy`` rows on a side: at most rows / heavy of them
+    both = (count(left, left_key, "_n").join(count(right, right_key, "_m"), "_key")
+            .filter((F.col("_n") > heavy) | (F.col("_m") > heavy)).select("_key", parts("_n").alias("_is"), parts("_m").alias("_js")))
+    spread = lambda df, n: F.pmod(F.xxhash64(*df.columns), n).cast("int")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lefts = (left.join(both.withColumnRenamed("_key", left_key), left_key, "left")
+             .select(*[left[c] for c in left.columns], spread(left, one("_is")).alias("_i"), every(one("_js")).alias("_j")))
+    rights = (right.join(both.withColumnRenamed("_key", right_key), right_key, "left")
+              .select(*[right[c] for c in right.columns], every(one("_is")).alias("_i2"), spread(right, one("_js")).alias("_j2"),
+                      F.col("_is").isNotNull().alias("_met")))
+    return lefts, rights
+
+
+def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """``left`` joined to ``right`` where a few keys may stand on very many rows of both sides (``how``: inner or right).
+
+    The rows of such a key are dealt into parts of about ``heavy`` on each
+    side, by a hash of the whole row, and every part of one side meets every
+    part of the other, so a task holds one part of each.  Only rows of heavy
+    keys are repeated, once for each part of the other side.  A right row of a
+    heavy key has partners in some part; its copies in parts without one are no
+    result of a right join and are left out.  Equal rows of a key fall into one
+    part; column names of the sides must differ.
+    """
+    lefts, rights = _dealt(left, right, left_key, right_key, heavy)
+    match = (lefts[left_key] == rights[right_key]) & (lefts["_i"] == rights["_i2"]) & (lefts["_j"] == rights["_j2"])
+    joined = lefts.join(rights, match, how)
+    if how == "right":
+        joined = joined.filter(F.col("_i").isNotNull() | ~F.col("_met"))
+    return joined.select(*left.columns, *right.columns)

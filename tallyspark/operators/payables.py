@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import MONEY, TOTAL, aging_bucket, fiscal_period
 from .access import ADMIN_ROLE
-from .calendar import interval_lookup
-from .joins import left_join_some
+from .intervals import interval_lookup
+from .joins import left_join_some, skewed_join
 
 AP_ROLES = (27, 28, 29)
 AP_DELEGATE_ROLE = 56
@@ -415,7 +415,8 @@ def invoice_line_report(lg, viewer: int, as_of: str, date_from: str, date_to: st
     header = vendor_invoice_header(lg, viewer, as_of).filter(
         (F.col("doc_date") >= F.lit(date_from).cast("date"))
         & (F.col("doc_date") < F.date_add(F.lit(date_to).cast("date"), 1)))
-    df = lines.join(header, lines._line_doc_number == header.doc_number, "right")
+    # a document number is text typed by hand: one may stand on many invoices and on many lines
+    df = skewed_join(lines, header, "_line_doc_number", "doc_number", "right")
     return df.select(
         "doc_number", "doc_date", "vendor_code", "vendor_name", "related_po_line_id", "details_task_name",
         "details_person_code", "details_project_org_name", "details_project_code", "details_category",

@@ -30,7 +30,7 @@ from ..functions.labels import MONEY, concat_nn, round_to_scale
 from .access import has_any_role, mask
 from .calendar import trailing_months
 from .dims import USER_FIELDS
-from .joins import left_join_some
+from .joins import Lookup, join_lookups, left_join_some, pick, reads
 
 # Journal categories.
 CAT_BILLED, CAT_DEFERRED, CAT_REVENUE, CAT_UNBILLED, CAT_COST_TIME, CAT_WRITE_OFF = 1, 2, 3, 5, 6, 9
@@ -681,9 +681,15 @@ def filter_project_access(lg, df: DataFrame, project_col: str, viewer: int,
                           controller_roles=POSTING_CONTROLLER_ROLES, open_pairs=POSTING_OPEN_PAIRS,
                           owner_must_exist: bool = True) -> DataFrame:
     """Admin, controller (or alternate of a primary controller), or for some
-    (open flag, role) pair: project open AND (global or project-org grant) AND (global or owner grant)."""
+    (open flag, role) pair: project open AND (global or project-org grant) AND (global or owner grant).
+
+    The allowed keys are joined, not listed in a subquery: a subquery in a
+    filter would be pushed into every branch of a union below and planned once
+    for each.
+    """
     flag, allowed = allowed_projects(lg, viewer, controller_roles, open_pairs, owner_must_exist)
-    return df.filter(flag | F.col(project_col).isin(allowed))
+    keys = allowed.select(F.col("project_key").alias("_allowed")).distinct()
+    return df.join(keys, F.col(project_col) == F.col("_allowed"), "left").filter(flag | F.col("_allowed").isNotNull()).drop("_allowed")
 
 
 # ------------------------------------------------------------------ D50 - D53l
@@ -699,9 +705,16 @@ def _shown_if_posted(amount: str, date: str) -> Column:
     return F.when(a.isNotNull() & (a != 0), F.col(date))
 
 
-def posting_detail(lg, viewer: int, as_of: str, months_back: int = 60, sources=None) -> DataFrame:
-    """Posting lines of all sources with lookups, masking and the project filter."""
-    x = posting_sources(lg, sources).filter(trailing_months("trans_date", as_of, months_back))
+def posting_detail(lg, viewer: int, as_of: str, months_back: int = 60, sources=None, store=None) -> DataFrame:
+    """Posting lines of all sources with lookups, masking and the project filter.
+
+    ``store`` (a ``PostingStore``) reads the sources where they are staged.
+    Every grant depends on the project alone, so the filter stands before the
+    lookups: rows a viewer may not see meet no join.
+    """
+    x = store.read(sources, as_of, months_back) if store is not None else posting_sources(lg, sources)
+    x = x.filter(trailing_months("trans_date", as_of, months_back))
+    x = filter_project_access(lg, x, "project_key", viewer)
     per = lg.person.select("person_key", F.col("last_name").alias("person_last_name"),
                            F.col("first_name").alias("person_first_name"),
                            F.col("middle_initial").alias("person_middle_initial"),
@@ -742,7 +755,6 @@ def posting_detail(lg, viewer: int, as_of: str, months_back: int = 60, sources=N
           .join(cur("cost_currency", "ccc"), "cost_currency", "left")
           .join(cur("ic_cost_currency", "icc"), "ic_cost_currency", "left")
           .join(prim, ["project_key", "person_key"], "left").join(alti, ["project_key", "person_key"], "left"))
-    df = filter_project_access(lg, df, "project_key", viewer)
     see_cost = has_any_role(lg.member, viewer, COST_VIEW_ROLES)
     see_bill = has_any_role(lg.member, viewer, BILL_VIEW_ROLES)
     billable = F.col("billable_indicator") == "Y"
@@ -807,82 +819,104 @@ def first_fee_method(lg) -> DataFrame:
     return pf.join(first, ["project_key", "fee_method_key"])
 
 
-def project_dim(lg, viewer: int) -> DataFrame:
-    """D54 (+D55-D57, D35): one row per project x primary controllers x first-method fee rows."""
-    proj = lg.project
-    cust = lg.customer
-    c = cust.select(F.col("customer_key"), F.col("customer_code").alias("project_org_code"),
-                    F.col("customer_name").alias("project_org_name"), "customer_type_key")
-    coo = cust.select(F.col("customer_key").alias("owning_customer_key"),
-                      F.col("customer_code").alias("owning_org_code"), F.col("customer_name").alias("owning_org_name"),
-                      F.col("legal_entity_key").alias("_col"), F.col("currency_code_key").alias("_ooc"))
-    cle = cust.select(F.col("customer_key").alias("_col"), F.col("customer_code").alias("owning_le_code"),
-                      F.col("customer_name").alias("owning_le_name"))
+def _project_lookups(lg) -> list[Lookup]:
+    """Everything that can be looked up for a project (D54-D57), in join order."""
+    org = lambda key, **names: lambda: lg.customer.select(
+        F.col("customer_key").alias(key), *[F.col(c).alias(n) for n, c in names.items()])
     pc = lg.project_controller.filter(F.col("primary_ind") == "Y")
-    person = lg.person
-
-    def ctrl(role, prefix):
-        return (pc.filter(F.col("role_key") == role).select("project_key", F.col("person_key").alias(f"_{prefix}"))
-                .join(person.select(F.col("person_key").alias(f"_{prefix}"),
-                                    *[F.col(c).alias(f"{prefix}_{c}") for c in CONTROLLER_COLUMNS]), f"_{prefix}", "left")
-                .drop(f"_{prefix}"))
-    cn = lg.contract.select(F.col("contract_key"), "contract_code", "contract_title", "prime_contract_key")
-    mcn = lg.contract.select(F.col("contract_key").alias("prime_contract_key"),
-                             F.col("contract_code").alias("_m_code"), F.col("contract_title").alias("_m_title"))
-    csl = _cost_structure(lg, "ic_cost_struct_labor_key", "cost_struct_labor", "cost_struct_labor_key") \
-        .select("ic_cost_struct_labor_key", "ce_code")
-    pf = first_fee_method(lg).join(lg.fee_method, "fee_method_key", "left") \
-        .select("project_key", "fee_method", "fee_factor", "fee_factor_type", "fixed_fee_amount")
-    df = (proj.join(c, "customer_key").join(coo, "owning_customer_key", "left")
-          .join(lg.customer_type, "customer_type_key", "left")
-          .join(lg.billing_type.select("billing_type_key", F.col("code").alias("proj_billing_type_code")),
-                "billing_type_key", "left")
-          .join(lg.cost_struct, "cost_struct_key", "left").join(lg.location, "location_key", "left")
-          .join(lg.pay_code, "pay_code_key", "left").join(lg.project_open_access_view, "project_key", "left")
-          .join(ctrl(3, "project_manager"), "project_key", "left").join(ctrl(12, "project_lead"), "project_key", "left")
-          .join(ctrl(14, "project_viewer"), "project_key", "left")
-          .join(lg.posting_group, "posting_group_key", "left")
-          .join(lg.project_status, "project_status_key").join(
-              lg.project_type.select("project_type_key", "project_type"), "project_type_key")
-          .join(cle, "_col", "left").join(cn, "contract_key", "left").join(mcn, "prime_contract_key", "left")
-          .join(intercompany_list(lg).withColumn("_ic", F.lit(True)), "project_key", "left")
-          .join(csl, "ic_cost_struct_labor_key", "left")
-          .join(pf, "project_key", "left")
-          .join(F.broadcast(lg.currency_code.select(F.col("currency_code_key").alias("_ooc"),
-                                                    F.col("iso_currency_code").alias("owning_org_currency_code"))),
-                "_ooc", "left"))
-    df = filter_project_access(lg, df, "project_key", viewer, PROJECT_DIM_CONTROLLER_ROLES, PROJECT_DIM_OPEN_PAIRS,
-                               owner_must_exist=False)
+
+    def controllers(role, who):
+        return Lookup(lambda: pc.filter(F.col("role_key") == role).select("project_key", F.col("person_key").alias(f"_{who}")),
+                      ("project_key",), (f"_{who}",), many=True)
+
+    def person(who):
+        return Lookup(lambda: lg.person.select(F.col("person_key").alias(f"_{who}"),
+                                               *[F.col(c).alias(f"{who}_{c}") for c in CONTROLLER_COLUMNS]),
+                      (f"_{who}",), tuple(f"{who}_{c}" for c in CONTROLLER_COLUMNS))
+
+    def fees():
+        return (first_fee_method(lg).join(lg.fee_method, "fee_method_key", "left")
+                .select("project_key", "fee_method", "fee_factor", "fee_factor_type", "fixed_fee_amount"))
+
+    org_names = {"project_org_code": "customer_code", "project_org_name": "customer_name", "customer_type_key": "customer_type_key"}
+    own_names = {"owning_org_code": "customer_code", "owning_org_name": "customer_name", "_col": "legal_entity_key", "_ooc": "currency_code_key"}
+    le_names = {"owning_le_code": "customer_code", "owning_le_name": "customer_name"}
+    roles = (("project_manager", 3), ("project_lead", 12), ("project_viewer", 14))
+    return [
+        Lookup(org("customer_key", **org_names), ("customer_key",), tuple(org_names), how="inner"),
+        Lookup(org("owning_customer_key", **own_names), ("owning_customer_key",), tuple(own_names)),
+        Lookup(lambda: lg.customer_type, ("customer_type_key",), ("customer_type",)),
+        Lookup(lambda: lg.billing_type.select("billing_type_key", F.col("code").alias("proj_billing_type_code")),
+               ("billing_type_key",), ("proj_billing_type_code",)),
+        Lookup(lambda: lg.cost_struct, ("cost_struct_key",), ("cost_structure",)),
+        Lookup(lambda: lg.location, ("location_key",), ("location_name",)),
+        Lookup(lambda: lg.pay_code, ("pay_code_key",), ("pay_code",)),
+        Lookup(lambda: lg.project_open_access_view, ("project_key",), (*[f for f, _ in PROJECT_DIM_OPEN_PAIRS], *DOCUMENT_OPEN_FLAGS)),
+        *[controllers(role, who) for who, role in roles],
+        *[person(who) for who, _ in roles],
+        Lookup(lambda: lg.posting_group, ("posting_group_key",), ("posting_group_name",)),
+        Lookup(lambda: lg.project_status, ("project_status_key",), ("status",), how="inner"),
+        Lookup(lambda: lg.project_type.select("project_type_key", "project_type"), ("project_type_key",), ("project_type",), how="inner"),
+        Lookup(org("_col", **le_names), ("_col",), tuple(le_names)),
+        Lookup(lambda: lg.contract.select("contract_key", "contract_code", "contract_title", "prime_contract_key"),
+               ("contract_key",), ("contract_code", "contract_title", "prime_contract_key")),
+        Lookup(lambda: lg.contract.select(F.col("contract_key").alias("prime_contract_key"), F.col("contract_code").alias("_m_code"),
+                                          F.col("contract_title").alias("_m_title")), ("prime_contract_key",), ("_m_code", "_m_title")),
+        Lookup(lambda: intercompany_list(lg).withColumn("_ic", F.lit(True)), ("project_key",), ("pi_list", "_ic")),
+        Lookup(lambda: _cost_structure(lg, "ic_cost_struct_labor_key", "cost_struct_labor", "cost_struct_labor_key")
+               .select("ic_cost_struct_labor_key", "ce_code"), ("ic_cost_struct_labor_key",), ("ce_code",)),
+        Lookup(fees, ("project_key",), ("fee_method", "fee_factor", "fee_factor_type", "fixed_fee_amount"), many=True),
+        Lookup(lambda: F.broadcast(lg.currency_code.select(F.col("currency_code_key").alias("_ooc"),
+                                                           F.col("iso_currency_code").alias("owning_org_currency_code"))),
+               ("_ooc",), ("owning_org_currency_code",)),
+    ]
+
+
+def _project_outputs(lg, viewer: int) -> dict:
+    """Output columns of the project dimension: expression and the columns it is made from."""
     see_bill, see_cost = has_any_role(lg.member, viewer, BILL_BUDGET_ROLES), has_any_role(lg.member, viewer, COST_BUDGET_ROLES)
-    return df.select(
-        "project_key", "customer_key", F.col("owning_customer_key").alias("owning_cust_key"),
-        *[F.col(f) for f, _ in PROJECT_DIM_OPEN_PAIRS], *DOCUMENT_OPEN_FLAGS, "project_code", F.col("title").alias("project_title"),
-        *PROJECT_ATTRIBUTES, F.col("created").alias("project_created_date"),
-        *[mask(F.col(c), see_bill).alias(c) for c in PROJECT_BILL_BUDGETS],
-        *[mask(F.col(c), see_cost).alias(c) for c in PROJECT_COST_BUDGETS],
-        *[F.coalesce(c, f"orig_{c}").alias(f"{c}_current") for c in PROJECT_REVISED],
-        *[F.col(f"orig_{c}").alias(f"{c}_original") for c in PROJECT_REVISED],
-        F.col("orig_funded_value").alias("funded_value_original"),
-        _decode(F.col("bill_rate_source"), BILL_RATE_SOURCES, None).alias("bill_rate_source"),
-        _decode(F.col("cost_rate_source"), COST_RATE_SOURCES, None).alias("cost_rate_source"),
-        "status", "proj_billing_type_code", "project_type", "cost_structure", "location_name", "pay_code",
-        "posting_group_name", "customer_type", "project_org_code", "project_org_name", "owning_org_code",
-        "owning_org_name", "owning_le_code", "owning_le_name",
-        *[f"{who}_{c}" for who in ("project_manager", "project_lead", "project_viewer") for c in CONTROLLER_COLUMNS],
-        "contract_code", "contract_key", "contract_title",
-        F.coalesce("_m_code", "contract_code").alias("master_contract_code"),
-        F.coalesce("_m_title", "contract_title").alias("master_contract_title"),
-        F.coalesce("total_value", "orig_total_value").alias("total_value_current"),
-        F.col("orig_total_value").alias("total_value_original"),
-        F.coalesce("funded_value", "orig_funded_value").alias("funded_value_current"),
-        F.when(F.col("_ic").isNull(), "N").otherwise("Y").alias("intercompany_effort"),
-        F.col("pi_list").alias("intercompany_support"),
-        F.when(F.col("ce_code").isNotNull(), concat_nn("cost_structure", F.lit("-"), "ce_code"))
-        .alias("default_labor_cost_element"),
-        F.col("fee_method").alias("project_fee_method"), F.col("fee_factor").alias("project_fee_factor"),
-        F.col("fee_factor_type").alias("project_fee_factor_type"), "fixed_fee_amount",
-        "owning_org_currency_code",
-    )
+    plain = lambda name: reads(name)(F.col(name))
+    first = lambda a, b: reads(a, b)(F.coalesce(a, b))
+    renamed = lambda name: reads(name)(F.col(name))
+    return {
+        **{c: plain(c) for c in ("project_key", "customer_key")}, "owning_cust_key": renamed("owning_customer_key"),
+        **{c: plain(c) for c in (*[f for f, _ in PROJECT_DIM_OPEN_PAIRS], *DOCUMENT_OPEN_FLAGS, "project_code")},
+        "project_title": renamed("title"), **{c: plain(c) for c in PROJECT_ATTRIBUTES}, "project_created_date": renamed("created"),
+        **{c: reads(c)(mask(F.col(c), see_bill)) for c in PROJECT_BILL_BUDGETS},
+        **{c: reads(c)(mask(F.col(c), see_cost)) for c in PROJECT_COST_BUDGETS},
+        **{f"{c}_current": first(c, f"orig_{c}") for c in PROJECT_REVISED},
+        **{f"{c}_original": renamed(f"orig_{c}") for c in PROJECT_REVISED},
+        "funded_value_original": renamed("orig_funded_value"),
+        "bill_rate_source": reads("bill_rate_source")(_decode(F.col("bill_rate_source"), BILL_RATE_SOURCES, None)),
+        "cost_rate_source": reads("cost_rate_source")(_decode(F.col("cost_rate_source"), COST_RATE_SOURCES, None)),
+        **{c: plain(c) for c in ("status", "proj_billing_type_code", "project_type", "cost_structure", "location_name", "pay_code",
+                                 "posting_group_name", "customer_type", "project_org_code", "project_org_name", "owning_org_code",
+                                 "owning_org_name", "owning_le_code", "owning_le_name")},
+        **{f"{who}_{c}": plain(f"{who}_{c}") for who in ("project_manager", "project_lead", "project_viewer") for c in CONTROLLER_COLUMNS},
+        **{c: plain(c) for c in ("contract_code", "contract_key", "contract_title")},
+        "master_contract_code": first("_m_code", "contract_code"), "master_contract_title": first("_m_title", "contract_title"),
+        "total_value_current": first("total_value", "orig_total_value"), "total_value_original": renamed("orig_total_value"),
+        "funded_value_current": first("funded_value", "orig_funded_value"),
+        "intercompany_effort": reads("_ic")(F.when(F.col("_ic").isNull(), "N").otherwise("Y")),
+        "intercompany_support": renamed("pi_list"),
+        "default_labor_cost_element": reads("ce_code", "cost_structure")(
+            F.when(F.col("ce_code").isNotNull(), concat_nn("cost_structure", F.lit("-"), "ce_code"))),
+        "project_fee_method": renamed("fee_method"), "project_fee_factor": renamed("fee_factor"),
+        "project_fee_factor_type": renamed("fee_factor_type"),
+        **{c: plain(c) for c in ("fixed_fee_amount", "owning_org_currency_code")},
+    }
+
+
+def project_dim(lg, viewer: int, columns=None) -> DataFrame:
+    """D54 (+D55-D57, D35): one row per project x primary controllers x first-method fee rows.
+
+    ``columns`` names the output columns wanted; the rows are the same, and
+    lookups that neither a wanted column nor the rows need are not planned.
+    """
+    chosen, needed = pick(_project_outputs(lg, viewer), columns)
+    df = filter_project_access(lg, lg.project, "project_key", viewer, PROJECT_DIM_CONTROLLER_ROLES, PROJECT_DIM_OPEN_PAIRS,
+                               owner_must_exist=False)
+    return join_lookups(df, _project_lookups(lg), needed).select(*chosen)
 
 
 # ------------------------------------------------------------------ D58
@@ -892,23 +926,23 @@ SUMMARY_SUM = ["billable_amount", "postings_unbilled", "postings_billed", "posti
 
 
 def posting_summary(lg, viewer: int, as_of: str, date_from: str, status_like: str = "%Open%",
-                    billing_types=("TM", "FP", "CP"), dedupe_dim: bool = False, checkpoint: bool = False) -> DataFrame:
+                    billing_types=("TM", "FP", "CP"), dedupe_dim: bool = False, checkpoint: bool = False, store=None) -> DataFrame:
     """Posting detail joined to the project dimension, grouped by org+project and task labels.
 
     The dimension has several rows for a project (controllers, fee rows), and a
     SUM counts a posting once for each of them, as the reference does;
     ``dedupe_dim=True`` counts it once.  The detail is summed by project and
     labels first and the sums multiplied by the project's dimension rows, so no
-    posting is ever repeated.  ``checkpoint=True`` stores the posting detail in
-    the session's checkpoint folder first (cuts the ~200-join lineage on
-    long-running clusters).
+    posting is ever repeated.  ``store`` (a ``PostingStore``) reads the sources
+    where they are staged.  ``checkpoint=True`` stores the posting detail in
+    the session's checkpoint folder first.
     """
-    x = posting_detail(lg, viewer, as_of)
+    x = posting_detail(lg, viewer, as_of, store=store)
     if checkpoint:
         from ..session import cut_lineage
         x = cut_lineage(x)
     rows_of = F.lit(1).cast("long") if dedupe_dim else F.count("*")
-    dim = (project_dim(lg, viewer)
+    dim = (project_dim(lg, viewer, ["project_key", "status", "proj_billing_type_code"])
            .filter(F.col("status").like(status_like) & F.col("proj_billing_type_code").isin(*billing_types))
            .groupBy("project_key").agg(rows_of.alias("_rows")))
     labels = [concat_nn("project_org_code", F.lit(" "), "project_code").alias("_g1"),

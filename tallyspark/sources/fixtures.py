@@ -14,8 +14,13 @@ driver tables, so a binding costs one scan of its source.
 from __future__ import annotations
 
 import functools
+import hashlib
+import posixpath
+import threading
 from dataclasses import dataclass
 
+from ..session import ensure_checkpoint_dir
+from .store import TableStore
 from .tables import load
 
 # Money derived from DOUBLE columns is cast to DECIMAL first and multiplied in
@@ -1105,45 +1110,82 @@ def duckdb_prefix(names) -> str:
     return ",\n".join(parts)
 
 
-# Bindings that aggregate (GROUP BY / DISTINCT) a driver table.  In a real
-# deployment these are stored ERP tables; here a report that reads one from
-# many places would recompute the aggregation once per consumer (column
-# pruning makes every copy different, so Spark cannot reuse the exchange).
-# They are marked for caching, which starts no job: the first action that
-# reads one fills it, and a lost executor's part is computed again.
-CACHED = frozenset({
-    "account", "project", "person", "person_time", "person_accrual_plan", "person_rate", "expense_report",
-    "approval_group_submitter", "cost_pool_group_calc", "cost_pool_group_calc_budget", "fin_document_detail",
+# Bindings that join, aggregate or unite driver tables.  In a real deployment
+# these are stored ERP tables; a report that reads one from many places would
+# derive it again for every reader (column pruning makes every copy different,
+# so Spark cannot reuse the exchange).  They are staged: written once to the
+# shared folder and read as Parquet until a driver table under them changes.
+# Bindings that only project one driver table stay views.
+STAGED = frozenset({
+    "customer", "account", "project", "person", "org_tree", "org_fin_tree", "org_cost_pool_tree", "acct_fin_tree", "acct_cost_pool_tree",
+    "access_customer_view", "org_access_hierarchy", "person_time", "person_accrual_plan", "person_rate", "expense_report",
+    "approval_group_submitter", "cost_pool_group_calc", "cost_pool_group_calc_budget", "cost_pool_calc", "cost_pool_source_calc",
+    "cost_pool_basis_calc", "project_controller", "project_open_access_view", "project_fee", "project_intercompany", "fin_document_detail",
 })
 
 
+def driver_tables(name: str) -> set[str]:
+    """The driver tables that a binding is derived from."""
+    if name not in BINDINGS:
+        return {"customer" if name == "tpch_customer" else name}
+    return set().union(*[driver_tables(d) for d in BINDINGS[name].deps])
+
+
+def recipe(name: str) -> str:
+    """The SQL of a binding and of those under it."""
+    b = BINDINGS.get(name)
+    return "" if b is None else "\n".join([b.sql, *(recipe(d) for d in b.deps)])
+
+
 class Ledger:
     """Ledger tables over one scale-factor folder.
 
-    Bindings are lazy views; the aggregating ones in ``CACHED`` are marked for
-    caching (pass ``cache=False`` to leave that out).
+    Bindings are lazy views; those in ``STAGED`` are written on first use to
+    ``store`` (default: a folder in the session's checkpoint folder) and read
+    from there.  ``stage=False`` leaves them as views.
     """
 
-    def __init__(self, spark, sf_dir: str, cache: bool = True):
+    def __init__(self, spark, sf_dir: str, stage: bool = True, store: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.cache = cache
+        self.stage = stage
+        self._store = store
+        self._held: dict[str, object] = {}
+        self._lock = threading.RLock()
+
+    @functools.cached_property
+    def store(self) -> TableStore:
+        return TableStore(self.spark, self._store or posixpath.join(ensure_checkpoint_dir(self.spark), "ledger-store"))
+
+    def staged_name(self, name: str) -> str:
+        """A staged table's name: one folder holds the tables of several ledgers."""
+        return f"{name}-{hashlib.sha256(self.sf_dir.encode()).hexdigest()[:12]}"
+
+    def input_paths(self, names) -> list[str]:
+        """Paths of the driver tables under some bindings."""
+        return [f"{self.sf_dir}/{t}.parquet" for t in sorted(set().union(*[driver_tables(n) for n in names]))]
 
-    @functools.lru_cache(maxsize=None)
     def driver(self, name: str):
         real = "customer" if name == "tpch_customer" else name
-        return load(self.spark, self.sf_dir, real)
+        key = f"driver {real}"
+        if key not in self._held:
+            self._held[key] = load(self.spark, self.sf_dir, real)
+        return self._held[key]
 
-    @functools.lru_cache(maxsize=None)
-    def table(self, name: str):
+    def derived(self, name: str):
+        """A binding as a view over the tables under it."""
         b = BINDINGS[name]
-        frames = {}
-        for d in b.deps:
-            frames[d] = self.table(d) if d in BINDINGS else self.driver(d)
-        df = self.spark.sql(b.sql, **frames)
-        if self.cache and name in CACHED:
-            df = df.cache()
-        return df
+        return self.spark.sql(b.sql, **{d: self.table(d) if d in BINDINGS else self.driver(d) for d in b.deps})
+
+    def table(self, name: str):
+        with self._lock:
+            if name not in self._held:
+                if self.stage and name in STAGED:
+                    self._held[name] = self.store.get(self.staged_name(name), self.input_paths([name]), recipe(name),
+                                                      lambda: self.derived(name))
+                else:
+                    self._held[name] = self.derived(name)
+            return self._held[name]
 
     def __getattr__(self, name):
         if name in BINDINGS:

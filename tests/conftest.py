@@ -12,18 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
-
-    from tallyspark.session import ensure_checkpoint_dir
-
-    s = (SparkSession.builder.master("local[*]")
-         .config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.session.timeZone", "UTC")
-         .getOrCreate())
-    s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
+    from tallyspark.session import local_session
+
+    s = local_session(shuffle_partitions=8)
     yield s
     s.stop()
 
