@@ -2,7 +2,8 @@
 
 Plan, and why it scales:
 
-* One scan of the GL.  It is summed per (account, org, month, currency pair)
+* One scan of the GL, or none where its monthly sums are stored
+  (``LedgerStore``).  It is summed per (account, org, month, currency pair)
   with partial aggregation before the shuffle; what follows works on these
   monthly rows, dealt once by (account, org).  Running sums, year-to-date
   sums, neighbours and currency sets are windows over that layout and need no
@@ -63,8 +64,10 @@ def zero_fill_grid(lg, as_of: str, years: int = 4) -> DataFrame:
     cal = cal.withColumn("ord", F.row_number().over(Window.orderBy("begin_date")) - 1)
     month_list = cal.agg(F.array_sort(F.collect_list(F.struct(
         "ord", "fiscal_month_key", "fiscal_year_key", "begin_date", "end_date"))).alias("m")).select("m").scalar()
-    gl = lg.general_ledger.select("account_key", F.col("organization_key").alias("org_key"), "transaction_currency",
-                                  "local_currency", "fiscal_month_key")
+    gl = getattr(lg, "movements", None)
+    if gl is None:
+        gl = lg.general_ledger.withColumnRenamed("organization_key", "org_key")
+    gl = gl.select(*KEY, "transaction_currency", "local_currency", "fiscal_month_key")
     gl = gl.join(F.broadcast(cal.select("fiscal_month_key", "ord")), "fiscal_month_key", "left")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ord", F.lit(WORD)))
     posted = gl.groupBy(*KEY, "transaction_currency", "local_currency", F.floor(F.col("ord") / WORD).alias("word")).agg(
@@ -82,14 +85,19 @@ def zero_fill_grid(lg, as_of: str, years: int = 4) -> DataFrame:
                     "transaction_currency", "local_currency", "acc_type"))
 
 
-def monthly_movements(lg) -> DataFrame:
-    """Debit minus credit per (account, org, month, currency pair): the one scan of the GL, dealt by (account, org)."""
+def sum_movements(general_ledger: DataFrame) -> DataFrame:
+    """Debit minus credit per (account, org, month, currency pair): the one scan of the GL."""
     net = lambda d, c: F.sum(F.col(d).cast(MONEY) - F.col(c).cast(MONEY))
-    return (lg.general_ledger.groupBy("account_key", F.col("organization_key").alias("org_key"), "fiscal_month_key",
-                                      "transaction_currency", "local_currency")
+    return (general_ledger.groupBy("account_key", F.col("organization_key").alias("org_key"), "fiscal_month_key",
+                                   "transaction_currency", "local_currency")
             .agg(net("debit_amount", "credit_amount").alias("net"),
-                 net("local_debit_amount", "local_credit_amount").alias("local_net"))
-            .repartition(*KEY))
+                 net("local_debit_amount", "local_credit_amount").alias("local_net")))
+
+
+def monthly_movements(lg) -> DataFrame:
+    """The movements of a ledger, dealt by (account, org): read where they are stored so, else summed from the GL."""
+    stored = getattr(lg, "movements", None)
+    return stored if stored is not None else sum_movements(lg.general_ledger).repartition(*KEY)
 
 
 def change_points(lg, types=("A", "L", "E", "R")) -> DataFrame:

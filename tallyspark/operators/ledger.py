@@ -56,6 +56,19 @@ def _currency(lg, alias: str) -> DataFrame:
     ))
 
 
+def in_months(gl: DataFrame, months: DataFrame, how: str = "inner") -> DataFrame:
+    """GL rows of some months (``how``: inner or left_semi).
+
+    Of a ledger stored by fiscal year only the years from the first to the last
+    of these months are read: their bounds are scalar subqueries over the
+    calendar, which Spark evaluates before it lists the partitions.
+    """
+    if "fiscal_year_key" in gl.columns:
+        first, last = (months.agg(f("fiscal_year_key")).scalar() for f in (F.min, F.max))
+        gl = gl.filter(F.col("fiscal_year_key").between(first, last)).drop("fiscal_year_key")
+    return gl.join(months.drop("fiscal_year_key"), "fiscal_month_key", how)
+
+
 def finance_filter(lg, df: DataFrame, org_col: str, viewer: int) -> DataFrame:
     return filter_finance_access(df, org_col, viewer, lg.member, lg.org_access_person,
                                  lg.access_customer_view, lg.customer)
@@ -79,7 +92,7 @@ def gl_detail(lg, as_of: str, years: int = 3) -> DataFrame:
                             F.col("last_name").alias("person_last_name"),
                             F.col("middle_initial").alias("person_middle_initial"))
     df = (
-        gl.join(months.select("fiscal_month_key", "fiscal_period"), "fiscal_month_key")
+        in_months(gl, months.select("fiscal_month_key", "fiscal_year_key", "fiscal_period"))
         .join(a, "account_key")
         .join(org, "organization_key")
         .join(_orgs(lg, "le_org"), F.col("_le_key") == F.col("le_org_key"), "left")
@@ -127,7 +140,8 @@ def ledger_totals(lg, viewer: int, as_of: str, org_codes, account_descriptions,
     """
     gl = lg.general_ledger.select("general_ledger_key", "account_key", "organization_key",
                                   "fiscal_month_key", "debit_amount", "credit_amount",
-                                  "transaction_currency", "local_currency")
+                                  "transaction_currency", "local_currency",
+                                  *[c for c in lg.general_ledger.columns if c == "fiscal_year_key"])
     orgs = lg.customer.filter(F.col("customer_code").isin(*org_codes)).select("customer_key")
     accts = lg.account.filter(F.col("description").isin(*account_descriptions)).select("account_key")
     months = _months(lg).filter(trailing_years("begin_date", as_of, years))
@@ -136,7 +150,7 @@ def ledger_totals(lg, viewer: int, as_of: str, org_codes, account_descriptions,
     ccy = lg.currency_code.select("currency_code_key")
     df = (
         gl.filter(F.col("organization_key").isin(orgs) & F.col("account_key").isin(accts))
-        .join(months.select("fiscal_month_key"), "fiscal_month_key", "left_semi")
+        .transform(lambda d: in_months(d, months.select("fiscal_month_key", "fiscal_year_key"), "left_semi"))
         # org must exist (inner join in the detail); legal entity is a left join
         .join(lg.customer.select(F.col("customer_key").alias("organization_key")), "organization_key", "left_semi")
         .join(F.broadcast(ccy), F.col("transaction_currency") == F.col("currency_code_key"), "left_semi")
@@ -158,12 +172,11 @@ FACT_SUMS = ["actual", "budget", "net_amount", "local_actual", "local_net_amount
 def gl_actuals(lg, as_of: str, months_back: int = 36, missing: str = "zero") -> DataFrame:
     """Actual branch (D13): revenue and expense GL rows signed by normal balance."""
     a = lg.account.filter(F.col("type").isin("R", "E")).select("account_key", F.col("type").alias("_t"))
-    months = _months(lg).filter(trailing_months("begin_date", as_of, months_back)).select("fiscal_month_key")
+    months = _months(lg).filter(trailing_months("begin_date", as_of, months_back)).select("fiscal_month_key", "fiscal_year_key")
     org = lg.customer.select(F.col("customer_key").alias("organization_key"))
     other = F.lit(0).cast(MONEY) if missing == "zero" else F.lit(None).cast(MONEY)
     return (
-        lg.general_ledger.join(a, "account_key").join(org, "organization_key")
-        .join(months, "fiscal_month_key")
+        in_months(lg.general_ledger, months).join(a, "account_key").join(org, "organization_key")
         .join(_currency(lg, "lc"), F.col("local_currency") == F.col("lc_key"))
         .select(
             "account_key", "organization_key", "fiscal_month_key",
