@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import tokenizer
+from .tokens import cut_pieces, tokenizer
 
 CAPACITY = 2048
 GROUPS = 128
@@ -39,24 +40,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     Null and empty texts give one piece, the end mark.  Only texts of more
     than ``capacity`` ids are cut; all but their last piece are full.
     """
-    end = int(end_id).to_bytes(4, "little")
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        for b in batches:
-            for k in range(0, len(b), 1024):
-                part, out = b.iloc[k:k + 1024], []
-                for doc, raw in zip(part["doc_id"], tok.encode([t or "" for t in part["text"]])):
-                    raw += end
-                    n = len(raw) // 4
-                    for i, at in enumerate(range(0, n, capacity)):
-                        to = min(n, at + capacity)
-                        out.append((doc, i, at, to - at, zlib.crc32(raw[4 * at:4 * to])))
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(x[0]) else int(x[0]) for x in out], "Int64"),
-                                    **{c: np.array([x[j] for x in out], np.int64)
-                                       for j, c in ((1, "piece"), (2, "start"), (3, "length"), (4, "ids_crc32"))}})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+        for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            flat, text, number, bounds = cut_pieces(*tok.encode_flat(b.column("text")), end_id, capacity)
+            raw, cuts = memoryview(flat.astype("<u4").tobytes()), (4 * bounds).tolist()
+            crc = [zlib.crc32(raw[a:z]) for a, z in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(number * capacity),
+                 pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -22,18 +22,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import tokenizer
+from .tokens import cut_pieces, tokenizer
 
 IDS = 512
 #: Bytes of text for each shard, on average.
 SHARD_BYTES = 16_000_000
 ROUNDS = 6
 KEY = 20_240_229
-PAD = 0xFFFF
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -64,34 +63,44 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
     return x.astype(np.int64)
 
 
+def id_type(tokenizer_path: str, end_id: int = 0) -> str:
+    """Two bytes an id if every id of the vocabulary is below the padding value of two bytes, else four."""
+    largest = max(tokenizer(tokenizer_path).full.get_vocab_size(with_added_tokens=True) - 1, end_id)
+    return "<u2" if largest < np.iinfo("<u2").max else "<u4"
+
+
 def sequences(docs: DataFrame, tokenizer_path: str, first: dict[int, int], domain: int, width: int, ids: int = IDS,
-              key: int = KEY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, n_ids, payload, at, shard): each text's ids and ``end_id`` in pieces, 16 bits an id.
+              key: int = KEY, end_id: int = 0, kind: str = "<u2") -> DataFrame:
+    """(doc_id, piece, n_ids, payload, at, shard): each text's ids and ``end_id`` in pieces, ids of type ``kind``.
 
     A sequence's number is ``first`` of its input partition plus its place in
-    it; a lost partition is read and cut again in the same order.  ``at`` is
-    the permuted number, ``shard`` its range of ``width`` numbers.
+    it; a lost partition is read and cut again in the same order, and one that
+    ``first`` does not name is an error.  ``at`` is the permuted number,
+    ``shard`` its range of ``width`` numbers.
     """
-    end = int(end_id).to_bytes(2, "little")
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary()),
+                        ("at", pa.int64()), ("shard", pa.int64())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, nth = tokenizer(tokenizer_path), first.get(TaskContext.get().partitionId(), 0)
-        for b in batches:
-            for k in range(0, len(b), 512):
-                some, out = b.iloc[k:k + 512], []
-                for doc, raw in zip(some["doc_id"], tok.encode([t or "" for t in some["text"]])):
-                    raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes() + end
-                    for i, at in enumerate(range(0, len(raw), 2 * ids)):
-                        piece = raw[at:at + 2 * ids]
-                        out.append((None if pd.isna(doc) else int(doc), i, len(piece) // 2, piece))
-                at = feistel(np.arange(nth, nth + len(out)), domain, key)
-                nth += len(out)
-                yield (pd.DataFrame(out, columns=["doc_id", "piece", "n_ids", "payload"]).astype({"doc_id": "Int64"})
-                       .assign(at=at, shard=at // width))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+        tok, part, nth = tokenizer(tokenizer_path), TaskContext.get().partitionId(), None
+        for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            if nth is None:
+                if part not in first:
+                    raise RuntimeError(f"partition {part} was not there when the sequences were numbered")
+                nth = first[part]
+            flat, text, number, bounds = cut_pieces(*tok.encode_flat(b.column("text")), end_id, ids)
+            flat = flat.astype(kind)
+            offsets = (bounds * flat.itemsize).astype(np.int32)
+            payload = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+            at = feistel(np.arange(nth, nth + len(text)), domain, key)
+            nth += len(text)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)),
+                 payload, pa.array(at), pa.array(at // width)], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         cut, "doc_id long, piece int, n_ids int, payload binary, at long, shard long")
 
 
@@ -102,19 +111,24 @@ def _filesystem(uri: str):
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = IDS, shard_bytes: int = SHARD_BYTES,
-                 key: int = KEY) -> DataFrame:
+                 key: int = KEY, end_id: int = 0) -> DataFrame:
     """Write all sequences to ``folder`` and return where each one is.
 
     ``folder`` is a path or URI that all executors share; ``docs`` is read
     twice and must come in the same partitions and order, as a stored table
     does.  One row per sequence: doc_id, piece, slot, shard, byte_offset,
-    n_ids, ids_crc32 (of its 16-bit ids).  Short sequences are padded with
-    0xFFFF.  A file is written under a name of its own and renamed when whole,
-    so a task that runs again, or twice, leaves the same file.  ``index.json``
-    holds what a reader needs.  Null and empty texts are one sequence, the end
-    mark; no rows give an index with no shards.  Other columns are not read.
+    n_ids, ids_crc32 (of its ids as they are written).  An id takes two bytes,
+    or four if the vocabulary does not fit.  Short sequences are padded with
+    the largest number of that size, which is no id.  A file is written under a
+    name of its own and renamed when whole, so a task that runs again, or
+    twice, leaves the same file.  ``index.json`` holds what a reader needs.
+    Null and empty texts are one sequence, the end mark; a very long text is
+    many; repeated rows are written as often as they come.  Equal slots do not
+    exist: the numbers are a permutation.  No rows give an index with no
+    sequences.  Other columns are not read.
     """
-    spark, stride = docs.sparkSession, 2 * ids
+    kind = id_type(tokenizer_path, end_id)
+    spark, stride = docs.sparkSession, np.dtype(kind).itemsize * ids
     schema = "doc_id long, piece int, shard long, byte_offset long, n_ids int, ids_crc32 long"
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -129,7 +143,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = I
     shards = max(1, -(-sum(r["bytes"] or 0 for r in parts) // shard_bytes))
     width = max(1, -(-domain // shards))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out_schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("shard", pa.int64()), ("byte_offset", pa.int64()),
+                            ("n_ids", pa.int32()), ("ids_crc32", pa.int64())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         now, out, name, temp, done = None, None, None, None, 0
 
@@ -139,23 +156,27 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = I
                 fs.move(temp, name)
 
         for b in batches:
-            for shard, rows in b.groupby("shard", sort=False):
-                if shard != now:
+            shard = b.column("shard").to_numpy()
+            turns = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
+            for lo, hi in zip(turns, turns[1:]):
+                rows, n = b.slice(lo, hi - lo), hi - lo
+                if shard[lo] != now:
                     close()
-                    now, done, name = shard, 0, posixpath.join(root, f"shard-{shard:06d}.bin")
+                    now, done, name = int(shard[lo]), 0, posixpath.join(root, f"shard-{shard[lo]:06d}.bin")
                     temp = f"{name}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temp)
-                blank = np.uint16(PAD).tobytes()
-                out.write(b"".join([p + blank * (ids - len(p) // 2) for p in rows["payload"]]))
-                yield pd.DataFrame({
-                    "doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "shard": rows["shard"],
-                    "byte_offset": (done + np.arange(len(rows))) * stride, "n_ids": rows["n_ids"],
-                    "ids_crc32": [zlib.crc32(p) for p in rows["payload"]]})
-                done += len(rows)
+                payloads = rows.column("payload").to_pylist()
+                block = np.full((n, ids), np.iinfo(kind).max, kind)
+                block[np.arange(ids) < rows.column("n_ids").to_numpy()[:, None]] = np.frombuffer(b"".join(payloads), kind)
+                out.write(block.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("piece"), rows.column("shard"), pa.array((done + np.arange(n)) * stride),
+                     rows.column("n_ids"), pa.array(list(map(zlib.crc32, payloads)), pa.int64())], schema=out_schema)
+                done += n
         close()
 
-    placed = sequences(docs, tokenizer_path, first, domain, width, ids, key)
-    done = placed.repartition(min(shards, 65_536), "shard").sortWithinPartitions("shard", "at").mapInPandas(write, schema)
+    placed = sequences(docs, tokenizer_path, first, domain, width, ids, key, end_id, kind)
+    done = placed.repartition(min(shards, 65_536), "shard").sortWithinPartitions("shard", "at").mapInArrow(write, schema)
     where = posixpath.join(folder, "places")
     done.write.mode("overwrite").parquet(where)
     done = spark.read.schema(schema).parquet(where)
@@ -165,7 +186,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, ids: int = I
         starts.append(n)
         n += held.get(x, 0)
     with fs.open_output_stream(posixpath.join(root, "index.json")) as f:
-        f.write(json.dumps({"sequences": n, "ids": ids, "stride": stride, "starts": starts, "key": key}).encode())
+        f.write(json.dumps({"sequences": n, "ids": ids, "stride": stride, "starts": starts, "key": key, "id_type": kind}).encode())
     begin = F.broadcast(spark.createDataFrame(list(enumerate(starts)), "shard long, begin long"))
     return done.join(begin, "shard").select(
         "doc_id", "piece", (F.col("begin") + F.floor(F.col("byte_offset") / stride)).cast("long").alias("slot"),
@@ -184,6 +205,6 @@ def read_slots(spark: SparkSession, folder: str, start: int, count: int) -> Iter
         with fs.open_input_file(posixpath.join(root, f"shard-{shard:06d}.bin")) as f:
             f.seek((slot - ix["starts"][shard]) * ix["stride"])
             for _ in range(min(stop, ends[shard]) - slot):
-                x = np.frombuffer(f.read(ix["stride"]), "<u2")
-                yield x[x != PAD]
+                x = np.frombuffer(f.read(ix["stride"]), ix["id_type"])
+                yield x[x != np.iinfo(ix["id_type"]).max]
                 slot += 1

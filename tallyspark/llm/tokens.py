@@ -1,14 +1,14 @@
 """Token ids of whole texts by a public tokenizer file, with a word cache.
 
-The tokenizer cuts a text at white space before anything else, so the ids of
-a text are the ids of its chunks between ASCII white space, one after the
-other.  Arrow splits a block of texts and lists its different chunks; only
-those are looked at one by one, and each Python worker keeps the ids of what
-it has met.  New pre-tokens are encoded many at a time in one string joined by
+The tokenizer lower-cases a text and cuts it into pre-tokens before anything
+else.  Arrow does the same for many texts at once, by the file's own pattern,
+and lists the different pre-tokens; each Python worker keeps the ids of those
+it has met.  New ones are encoded many at a time in one string joined by
 blanks; an id that ends a word (its vocabulary entry ends in ``</w>``) closes
-a pre-token, which tells where its ids end.  Chunks for which this need not
-hold (other alphabets, control characters, special-token strings) go through
-the tokenizer one by one.
+a pre-token, which tells where its ids end.  Texts for which this need not
+hold (other alphabets, control characters, special-token strings) are cut at
+ASCII white space, and chunks that are odd themselves go through the tokenizer
+one by one.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ PRE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but characters on which Python's and the tokenizer's lower-casing, composition and classes agree.
 _ODD = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 _SIGNS = frozenset(".,;:!?|")
+#: The same of whole texts, white space allowed, and what stands between runs of letters in PRE, for Arrow's expressions.
+_ODD_TEXT = r"[^\t-\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]"
+_BETWEEN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\x0b\p{L}\p{N}]+)"
 _cache: dict = {}
 
 
 class WordTokenizer:
-    """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian uint32 bytes, ``encode_flat`` those of all texts in one array."""
 
     def __init__(self, path: str, max_cached: int = 300_000, batch_chars: int = 4000):
         from tokenizers import Tokenizer
@@ -51,6 +54,7 @@ class WordTokenizer:
             self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.pre = regex.compile(PRE)
         self.known: dict[str, bytes] = {"": b""}  # ids of lower-cased pre-tokens
+        self.met: dict[str, bytes] = {}  # ids of chunks
         self.max_cached, self.batch_chars = max_cached, batch_chars
 
     def _slow(self, chunk: str) -> bytes:
@@ -76,7 +80,17 @@ class WordTokenizer:
             k = j
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of different chunks."""
+        """The ids of different chunks; those of earlier calls are remembered."""
+        if len(self.met) > self.max_cached:
+            self.met = {}
+        ids = list(map(self.met.get, chunks))
+        new = [c for c, x in zip(chunks, ids) if x is None]
+        if new:
+            self.met.update(zip(new, self._new_chunks(new)))
+            ids = list(map(self.met.__getitem__, chunks))
+        return ids
+
+    def _new_chunks(self, chunks: list[str]) -> list[bytes]:
         if self.lite is None:
             return [self._slow(c) for c in chunks]
         if len(self.known) > self.max_cached:
@@ -99,25 +113,74 @@ class WordTokenizer:
         return [self._slow(c) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])
                 for c, p in zip(chunks, parts)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of different pre-tokens in lower case."""
+        if len(self.known) > self.max_cached:
+            self.known = {"": b""}
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        return list(map(self.known.__getitem__, words))
+
+    @staticmethod
+    def _flat(texts: pa.Array, ids_of) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each) where the ids of different parts between white space come from ``ids_of``."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        ids = ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        offsets = lists.offsets.to_numpy()
+        return flat[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[offsets - offsets[0]])
+
+    def encode_flat(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, bounds: where each text begins, and the end); null: no ids."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_TEXT) if self.lite is not None else pa.array([True] * len(texts), pa.bool_())
+        for special in self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts.filter(pc.invert(odd))), _BETWEEN, r" \1 ")
+        flat, n = self._flat(plain, self._words)
+        odd = odd.to_numpy(zero_copy_only=False)
+        if odd.any():
+            more, m = self._flat(texts.filter(pa.array(odd)), self._chunks)
+            sizes, begin = np.zeros(len(odd), np.int64), np.zeros(len(odd), np.int64)
+            sizes[~odd], sizes[odd] = n, m
+            begin[~odd], begin[odd] = np.cumsum(n) - n, len(flat) + np.cumsum(m) - m
+            flat, n = np.concatenate((flat, more)), sizes
+            flat = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return flat, np.concatenate(([0], np.cumsum(n)))
+
     def encode(self, texts: list[str], step: int = 1024) -> list[bytes]:
         out = []
         for k in range(0, len(texts), step):
-            lists = pc.ascii_split_whitespace(pa.array(texts[k:k + step], pa.string()))
-            coded = lists.flatten().dictionary_encode()
-            ids = self._chunks(coded.dictionary.to_pylist())
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            first = np.cumsum(size) - size
-            at = coded.indices.to_numpy(zero_copy_only=False)
-            n = size[at]
-            upto = np.concatenate(([0], np.cumsum(n)))
-            raw = flat[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-            offsets = lists.offsets.to_numpy()
-            cuts = (upto[offsets - offsets[0]] * 4).tolist()
+            flat, bounds = self.encode_flat(texts[k:k + step])
+            raw, cuts = flat.tobytes(), (bounds * 4).tolist()
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
 
+def cut_pieces(flat: np.ndarray, bounds: np.ndarray, end_id: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' ids with ``end_id`` after each, cut into pieces of ``size``: (ids, text of each piece, its number there, bounds of the pieces).
+
+    Pieces of a text follow one another, so all pieces together are the ids again.
+    """
+    n = np.diff(bounds) + 1
+    stop = np.cumsum(n)
+    ids = np.empty(int(stop[-1]) if len(n) else 0, flat.dtype)
+    keep = np.ones(len(ids), bool)
+    keep[stop - 1] = False
+    ids[keep], ids[~keep] = flat, end_id
+    many = -(-n // size)
+    text = np.repeat(np.arange(len(n)), many)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    begin = (stop - n)[text] + number * size
+    return ids, text, number, np.append(begin, len(ids))
+
+
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per Python worker and file."""
     if path not in _cache:
