@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tallyspark.operators import postings as PS
+from tallyspark.operators.posting_store import PostingStore
 from tallyspark.sources.sinks import write_partitioned_ledger, write_report
 
 
@@ -27,6 +28,7 @@ def test_write_report_roundtrip(spark, lg):
 
 
 def test_summary_checkpoint_matches(spark, lg):
+    """All sources as one union, against the staged sources with the detail checkpointed."""
     a = PS.posting_summary(lg, 900001, "2029-01-15 09:00:00", "2024-01-10 00:00:00")
-    b = PS.posting_summary(lg, 900001, "2029-01-15 09:00:00", "2024-01-10 00:00:00", checkpoint=True)
+    b = PS.posting_summary(lg, 900001, "2029-01-15 09:00:00", "2024-01-10 00:00:00", checkpoint=True, store=PostingStore(lg))
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
