@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, ship_code, stored
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -200,6 +200,20 @@ def near_pairs(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return spread.groupBy("leaf", "i", "j").applyInPandas(linked, schema)
 
 
+def fingerprint_groups(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, group, component_id) for each different fingerprint of ``rows`` (doc_id, fp).
+
+    Fingerprints are linked as they are, whether or not a row has a doc_id;
+    ``group`` is the smallest fingerprint reachable, ``component_id`` the
+    smallest doc_id among all rows of the group (null: none has one).
+    """
+    points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = components(near_pairs(points.select(F.col("fp").alias("id"), "fp"), max_bits))
+    grouped = stored(points.join(linked, points["fp"] == linked["node"], "left")
+                     .select("fp", F.coalesce("component", "fp").alias("group"), "least"))
+    return grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "group", "component_id")
+
+
 def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
@@ -207,30 +221,36 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits
     ``component_id`` is the smallest doc_id reachable over links.  Null and
     empty texts have no word and the fingerprint zero, which links like any
     other.  Copies meet in one row per fingerprint before anything is
-    compared.  A row without a doc_id takes part with its fingerprint, but has
-    no name: its component is that of the named rows with the same
-    fingerprint, or null if there are none.  Other columns are not read.
+    compared.  A row without a doc_id links like any other, also as the only
+    link between others; its component is null if no row of it has a doc_id.
+    Rows that repeat a doc_id with other texts are not linked by it.  Very long
+    texts are read whole; an empty table gives no rows.  Other columns are not
+    read.
     """
+    ship_code(docs.sparkSession)
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
-    points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    group = components(near_pairs(points.where("id is not null"), max_bits))
-    named = stored(points.join(group, points["id"] == group["node"], "left")
-                   .select("fp", F.coalesce("component", "id").alias("component_id")))
-    return rows.join(named, "fp").select(
+    return rows.join(fingerprint_groups(rows, max_bits), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates: its smallest doc_id.
+    """``docs`` with one row for each group of near-duplicates, all columns as they are.
 
-    Where rows repeat a doc_id, one of them stays; rows without a doc_id stay,
-    as nothing can be named a copy of them.
+    The row with the smallest doc_id stays (rows without one come last), among
+    those of one doc_id that of the smallest hash of all its columns, and one
+    of several equal rows; reruns keep the same.  Rows that repeat a doc_id with
+    unlike texts are of different groups and all stay; rows without a doc_id
+    are compared like any other.  An empty table gives no rows.
     """
-    at = fresh(docs, "component_id")
-    groups = simhash_groups(docs, shingle_words, max_bits)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(at))
-    once = stored(first.groupBy(at).count().withColumnRenamed("count", at + "n"))
-    plain, twice = once.where(F.col(at + "n") == 1).select(at), once.where(F.col(at + "n") > 1).select(at)
-    kept = docs.join(plain, docs["doc_id"] == plain[at], "left_semi")
-    again = docs.join(twice, docs["doc_id"] == twice[at], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    ship_code(docs.sparkSession)
+    key = fresh(docs, "_kept")
+    # what tells a row from others: its id, and two hashes of all it holds
+    tag = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"), F.md5("text").alias("c"), F.xxhash64(*docs.columns).alias("d"))
+    keyed = docs.withColumn(key, tag)
+    rows = stored(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle_words).alias("fp"), F.col(key).alias("tag")))
+    first = (rows.groupBy("fp").agg(F.min("tag").alias("tag")).join(fingerprint_groups(rows.select("doc_id", "fp"), max_bits), "fp")
+             .groupBy("group").agg(F.min("tag").alias(key + "k")).select(key + "k"))
+    kept = stored(first.join(rows.groupBy("tag").count(), F.col(key + "k") == F.col("tag")).select(key + "k", F.col("count").alias(key + "n")))
+    found = keyed.join(kept, F.col(key) == F.col(key + "k"))
+    again = found.where(F.col(key + "n") > 1).dropDuplicates([key])
+    return found.where(F.col(key + "n") == 1).unionByName(again).select(*docs.columns)

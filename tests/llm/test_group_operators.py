@@ -157,3 +157,57 @@ def test_traversal_is_in_order():
     sums = [a[i] + b[j] for i, j in got]
     assert sums == sorted(sums) and len(set(got)) == len(got)
     assert set(got) == {(i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= a[0] + b[0] + 0.6}
+
+
+# ---- SimHash: rows without a name, repeated names --------------------------------------------------------------------
+
+def chain(seed=0):
+    """Three texts, the first and last of which are linked only through the one between."""
+    import random
+
+    rng = random.Random(seed)
+    text = lambda ws: " ".join(ws)
+    far = lambda x, y: ((simhash.fingerprint(text(x)) ^ simhash.fingerprint(text(y))) & (2**64 - 1)).bit_count()
+
+    def changed(ws):
+        some = list(ws)
+        for _ in range(rng.randint(1, 20)):
+            some[rng.randrange(len(some))] = f"x{rng.randrange(10**6)}"
+        return some
+
+    a = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    b = next(x for x in (changed(a) for _ in range(10**4)) if far(a, x) == 2)
+    c = next(x for x in (changed(b) for _ in range(10**4)) if far(b, x) == 2 and far(a, x) > 2)
+    return text(a), text(b), text(c)
+
+
+def test_unnamed_row_links_named_ones(spark):
+    a, b, c = chain()
+    for rows, want in (([(1, a), (2, b), (3, c)], {1: 1, 2: 1, 3: 1}), ([(1, a), (None, b), (3, c)], {1: 1, None: 1, 3: 1}),
+                       ([(None, a), (None, b)], {None: None}), ([(5, a), (None, "quite another text")], {5: 5, None: None})):
+        got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_keep_one_loses_no_text(spark):
+    x, y, z = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "north south east west up " * 9)
+    rows = [(1, x, "a"), (1, y, "a"), (2, x, "b"), (None, z, "c"), (None, z, "d"), (7, "", "e"), (8, None, "f"), (9, y, "g"), (9, y, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumn("fp", F.lit(0)).repartition(3)
+    for _ in range(2):
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        got = sorted(((r["doc_id"], r["text"], r["tag"]) for r in kept.collect()), key=repr)
+        assert len(got) == 4 and {r[1] or "" for r in got} == {x, y, z, ""}
+        assert [r[:2] for r in got if r[1] == x] == [(1, x)] and [r[:2] for r in got if r[1] == y] == [(1, y)]
+        assert [r[0] for r in got if not r[1]] == [7]
+    equal = spark.createDataFrame([(None, z, "c")] * 3 + [(4, z, "c")] * 2, "doc_id long, text string, tag string")
+    assert [tuple(r) for r in simhash.keep_one(equal).collect()] == [(4, z, "c")]
+    assert [tuple(r) for r in simhash.keep_one(equal.where("doc_id is null")).collect()] == [(None, z, "c")]
+
+
+def test_public_functions_ship_their_code(spark):
+    from tallyspark.llm import common
+
+    common._shipped.clear()
+    assert simhash.simhash_groups(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count() == 1
+    assert spark.sparkContext.applicationId in common._shipped
