@@ -68,8 +68,10 @@ def solve(cells: DataFrame, own: dict, goal: dict, mean: dict, cap: float = CAP,
         j = cells.join(at, cells["source"].eqNullSafe(at["source"])).select(cells["source"], "size", "n", "lam", "mean")
         u = F.col("size") / F.col("mean")
         r = cap / (1 + F.exp(-F.col("lam") * u))
-        sums = j.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * r).alias("got"),
-                                       F.sum(F.col("n") * F.col("size") * u * r * (1 - r / cap)).alias("slope")).collect()
+        # summed as decimals: a sum of doubles would hang on the order in which rows arrive
+        total = lambda x: F.sum(x.cast("decimal(38,12)")).cast("double")
+        sums = j.groupBy("source").agg(total(F.col("n") * F.col("size") * r).alias("got"),
+                                       total(F.col("n") * F.col("size") * u * r * (1 - r / cap)).alias("slope")).collect()
         for x in sums:
             s, off = x["source"], goal[x["source"]] - x["got"]
             if abs(off) <= 1e-9 * max(1.0, goal[s]):
@@ -161,6 +163,9 @@ def mixed_rows(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: t
 
     Rows find their copies by (doc_id, source, size) and their place among
     rows that agree in all three; such rows are interchangeable for the mix.
+    Null and empty texts have size 0 and are taken as the mix says of them; a
+    null source is a source, a null doc_id an id like any other.  Very long
+    texts are counted whole.  No rows give no rows; extra columns stay.
     """
     key = fresh(docs, "_mix")
     size, ident, src, length, n, total, nth = (f"{key}_{x}" for x in ("words", "id", "source", "size", "n", "copies", "nth"))
