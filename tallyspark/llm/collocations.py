@@ -92,8 +92,8 @@ class Chunk:
             part = (x >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
             yield k, start, part << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
 
-    def different(self, k: int, start: np.ndarray) -> tuple[list[str], list[bytes], list[int]]:
-        """Languages, words joined by blanks and occurrences of the different phrases of k words at some places."""
+    def different(self, k: int, start: np.ndarray, block: int = 50_000) -> Iterator[tuple[list[str], list[bytes], list[int]]]:
+        """Languages, words joined by blanks and occurrences of the different phrases of k words at some places, in blocks."""
         v = np.int64(len(self.coder.words))
         key = self.lang[start] * v + self.ids[start]
         if k > 1:
@@ -102,8 +102,10 @@ class Chunk:
             key = np.unique(key, return_inverse=True)[1] * v + self.ids[start + j]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
         words, start = self.coder.words, start[first]
-        columns = [[words[x] for x in self.ids[start + j].tolist()] for j in range(k)]
-        return [self.langs[x] for x in self.lang[start].tolist()], [b" ".join(p) for p in zip(*columns)], n.tolist()
+        for a in range(0, len(start), block):
+            s = start[a:a + block]
+            columns = [[words[x] for x in self.ids[s + j].tolist()] for j in range(k)]
+            yield [self.langs[x] for x in self.lang[s].tolist()], [b" ".join(p) for p in zip(*columns)], n[a:a + block].tolist()
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -194,9 +196,8 @@ def exact_counts(docs: DataFrame, flags: np.ndarray, bits: int, partitions: int,
                     yield _rows(c.langs, 0, [None] * len(total), total)
                 bit = (keys >> np.uint64(32)) * np.uint64(bits) + ((keys & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32))
                 hit = (flags[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                lang, phrase, n = c.different(k, start[hit == 1])
-                for a in range(0, len(n), 100_000):
-                    yield _rows(lang[a:a + 100_000], k, phrase[a:a + 100_000], n[a:a + 100_000])
+                for lang, phrase, n in c.different(k, start[hit == 1]):
+                    yield _rows(lang, k, phrase, n)
 
     rows = docs.select("lang", "text").mapInArrow(count, "lang string, words int, phrase string, f long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
