@@ -2,8 +2,11 @@
 
 A text's histograms of character classes and of the most common words of its
 language are compared with the language's references by the Jensen-Shannon
-distance (base 2, between 0 and 1).  The references are the summed histograms
-of all documents of that language that pass the base rules.
+distance (base 2, between 0 and 1).  A language's reference is the summed
+histogram of all its documents that pass the base rules, and a fixed weight of
+the summed histogram of all languages beside it: a language with few documents
+is judged by what all have in common, one with many by its own, and no size
+decides whether a document is compared.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ MAX_REPEAT_PERCENT = 50
 #: A text differs from its language beyond these distances, with more room for short texts: slack / sqrt(n_words).
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.20, 0.8
 MAX_WORD_DISTANCE, WORD_SLACK = 0.20, 1.0
-#: Common words are compared from this many words on; a reference counts from this many characters on.
+#: Common words are compared from this many words on.
 MIN_COMMON_WORDS = 50
-MIN_REFERENCE = 20_000
+#: Characters and words by which all languages together weigh in each language's reference.
+POOLED_CHARS, POOLED_WORDS = 20_000, 3_000
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes that are counted by pattern; white space, symbols and the rest (mostly small letters) follow from the base figures.
 CLASSES = ("[A-Z\u00c0-\u00d6\u00d8-\u00de]", "[0-9]", "[.,;:?!'\"()\\-]")
@@ -134,11 +138,15 @@ def _summed(column: str, size: int) -> Column:
 def judge(feats: DataFrame, keep: list[str]) -> DataFrame:
     """Base figures, base_failed, both distances and ``kept`` for stored ``features``."""
     feats = feats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    ref = stored(feats.where(~F.col("base_failed")).groupBy("_lang").agg(
-        F.sum("_n").alias("_ref"), _summed("_c", len(CLASSES) + 3).alias("_rc"), _summed("_m", len(_LETTERS) + 1).alias("_rm"))
-        .where(F.col("_ref") >= MIN_REFERENCE).withColumnRenamed("_lang", "_rl"))
-    share = lambda c: F.transform(c, lambda x: x / F.greatest(_sum(F.col(c)), F.lit(1.0)))
-    ref = stored(ref.select("_rl", share("_rc").alias("_rc"), share("_rm").alias("_rm")))
+    summed = stored(feats.where(~F.col("base_failed")).groupBy(F.col("_lang").alias("_rl")).agg(
+        _summed("_c", len(CLASSES) + 3).alias("_rc"), _summed("_m", len(_LETTERS) + 1).alias("_rm")))
+    share = lambda c: F.transform(c, lambda x: x / F.greatest(_sum(c), F.lit(1.0)))
+    pooled = summed.agg(_summed("_rc", len(CLASSES) + 3).alias("_pc"),
+                        F.array(*[F.sum(F.when(F.col("_rl").isin(*COMMON_WORDS), F.col("_rm")[i])) for i in range(len(_LETTERS) + 1)]).alias("_pm"))
+    mixed = lambda own, all_, weight: F.zip_with(own, share(F.col(all_)), lambda o, p: o + weight * F.coalesce(p, F.lit(0.0)))
+    both = summed.withColumns({c: pooled.select(c).scalar() for c in ("_pc", "_pm")})  # one row of sums over all languages
+    ref = both.select("_rl", mixed("_rc", "_pc", POOLED_CHARS).alias("_rc"), mixed("_rm", "_pm", POOLED_WORDS).alias("_rm"))
+    ref = stored(ref.select("_rl", share(F.col("_rc")).alias("_rc"), share(F.col("_rm")).alias("_rm")))
     both = feats.join(ref, F.col("_lang") == F.col("_rl"), "left").withColumns({"_sc": _sum(F.col("_c")), "_sm": _sum(F.col("_m"))})
     both = both.withColumns({"_pc": F.transform("_c", lambda x: x / F.greatest("_sc", F.lit(1.0))),
                              "_pm": F.transform("_m", lambda x: x / F.greatest("_sm", F.lit(1.0)))})
@@ -158,9 +166,10 @@ def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, base figures, base_failed, kept, char_distance, word_distance), one row per row of ``docs``.
 
     Null and empty texts have no words and fail.  A null or unlisted language
-    is compared by character classes only, with the others of its kind; a
-    language whose reference has fewer than MIN_REFERENCE characters is not
-    compared.  Columns other than doc_id, text and lang are not read.
+    is compared by character classes only, with the others of its kind and,
+    like every language, with all languages together (POOLED_CHARS).  Very long
+    texts are read whole; repeated rows count as often as they come; an empty
+    table gives no rows.  Columns other than doc_id, text and lang are not read.
     """
     return judge(stored(features(docs, ["doc_id"])), ["doc_id"])
 

@@ -75,7 +75,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
     extra = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_chats(chats.unionByName(extra))).drop("end_state", "valid")
+    return chat.digests(chat.format_chats(chats.unionByName(extra)))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +127,14 @@ g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-         sum(n) AS formatted_chars
-  FROM e GROUP BY conv_id)
+         sum(n) AS formatted_chars, list(role ORDER BY turn, role, text) AS roles
+  FROM e GROUP BY conv_id),
+m AS (SELECT *, list_reduce(list_prepend('start', roles), lambda s, r: CASE s || '>' || r STEPS ELSE 'error' END) AS end_state FROM g)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-       CAST(formatted_chars AS BIGINT) AS formatted_chars
-FROM g
-"""
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, end_state, end_state IN (ACCEPTING) AS valid
+FROM m
+""".replace("STEPS", " ".join(f"WHEN '{a}>{role}' THEN '{b}'" for a, row in chat.TRANSITIONS.items() for role, b in row.items())).replace(
+    "ACCEPTING", ", ".join(f"'{x}'" for x in chat.ACCEPTING))
 
 
 def _quality_sql() -> str:
@@ -167,14 +169,19 @@ h AS (
   {chars}
   UNION ALL SELECT rid, 'w', slot, n FROM met
   UNION ALL SELECT rid, 'w', {others}, n_words - coalesce((SELECT sum(n) FROM met m WHERE m.rid = b.rid), 0) FROM b),
-ref AS (SELECT f.lang, kind, slot, sum(n) AS n FROM h JOIN f USING (rid) WHERE NOT base_failed GROUP BY f.lang, kind, slot),
-big AS (SELECT lang FROM f WHERE NOT base_failed GROUP BY lang HAVING sum(n_chars) >= {quality.MIN_REFERENCE}),
+own AS (SELECT f.lang, kind, slot, sum(n) AS n FROM h JOIN f USING (rid) WHERE NOT base_failed GROUP BY f.lang, kind, slot),
+pool AS (SELECT kind, slot, sum(n) AS n FROM own WHERE kind = 'c' OR lang IN (SELECT lang FROM common) GROUP BY kind, slot),
+part AS (SELECT kind, slot, n / greatest(sum(n) OVER (PARTITION BY kind), 1) AS share FROM pool),
+every AS (SELECT lang, kind, slot FROM (SELECT DISTINCT lang FROM own), part),
+ref AS (
+  SELECT lang, kind, slot, coalesce(own.n, 0) + share * CASE kind WHEN 'c' THEN {quality.POOLED_CHARS} ELSE {quality.POOLED_WORDS} END AS n
+  FROM every JOIN part USING (kind, slot) LEFT JOIN own USING (lang, kind, slot)),
 q AS (SELECT lang, kind, slot, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM ref),
 p AS (SELECT rid, kind, slot, n / sum(n) OVER (PARTITION BY rid, kind) AS p FROM h WHERE rid IN (SELECT rid FROM f WHERE NOT base_failed)),
 z AS (
   SELECT f.rid, q.kind, coalesce(p.p, 0) AS p, q.q AS q, (coalesce(p.p, 0) + q.q) / 2 AS m
   FROM f JOIN q USING (lang) LEFT JOIN p ON p.rid = f.rid AND p.kind = q.kind AND p.slot = q.slot
-  WHERE NOT f.base_failed AND f.lang IN (SELECT lang FROM big)),
+  WHERE NOT f.base_failed),
 js AS (
   SELECT rid, kind, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2)) AS js
   FROM z GROUP BY rid, kind),

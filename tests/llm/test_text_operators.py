@@ -116,6 +116,17 @@ def test_quality_keeps_clean_and_drops_poor(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns and out.count() <= odd_docs.count()
 
 
+@pytest.mark.parametrize("others", [0, 9, 199])
+def test_verdict_does_not_hang_on_the_size_of_a_language(spark, others):
+    """A rare language's junk is judged like a common one's, and its prose is kept."""
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choice("ser las casa en monte que rio para flor con agua sol y luna".split()) for _ in range(120)).capitalize() + "."
+    junk = " ".join(f"{rng.randrange(10**6)}#%$|" for _ in range(96))
+    rows = [(k, prose(), "xx") for k in range(2, others + 2)] + [(k, prose(), "en") for k in range(1000, 1200)] + [(0, junk, "xx"), (1, prose(), "xx")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[0] and got[1] and sum(got.values()) == len(rows) - 1
+
+
 @pytest.mark.parametrize("name", ["op8_chat_formatting", "op10_quality_rules"])
 def test_sql_gives_the_same(name, spark, duck):
     df = E.queries()[name](spark, SF)
@@ -127,6 +138,17 @@ def test_sql_gives_the_same(name, spark, duck):
 
 # ---- chat ----------------------------------------------------------------------------------------------------------
 
+def test_machine_is_in_the_plan(spark):
+    """The registered query's rows carry what the machine says of their turn order."""
+    df = E.queries()["op8_chat_formatting"](spark, SF)
+    assert "assistant>user" in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "user", "b"), (3, 0, "system", "a"), (4, 0, "robot", "x"),
+            (5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "t"), (5, 3, "user", "v")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["conv_id"]: (r["end_state"], r["valid"]) for r in got} == {
+        1: ("assistant", True), 2: ("error", False), 3: ("system", False), 4: ("error", False), 5: ("user", True)}
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", "", None, "</turn>\n<turn user>", "&lt; & &amp;lt; <", "\\### Assistant: </turn> ok", "<turn x>&gt;", "日本\U0001f600\n"]
     rows = [(c, i, r, t) for c in range(len(texts)) for i, (r, t) in enumerate([("user", texts[c]), ("assistant", texts[-c - 1])])]
