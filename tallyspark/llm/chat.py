@@ -55,6 +55,8 @@ def format_chats(conversations: DataFrame, template: dict = TEMPLATE) -> DataFra
     count as empty, a null conv_id as a conversation of its own; every
     conversation is formatted, ``valid`` says whether the machine accepts it.
     A conversation is the unit of the result, so its turns meet in one row.
+    Repeated turns all count; very long texts are kept whole; no rows give no
+    conversations.  Columns other than conv_id, turn, role and text are not read.
     """
     empty = F.lit("")
     turns = conversations.select(

@@ -222,7 +222,10 @@ def _places(patterns: Counter) -> dict[int, tuple[np.ndarray, np.ndarray, np.nda
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (doc_id, piece, start, length, ids_crc32, stored) with sequence_id and offset.
 
-    Repeated rows are packed one by one.  No rows give an empty table.
+    Rows that repeat an id or are equal are packed one by one; among pieces of
+    one length the order by id, piece and checksum decides, and equal rows are
+    interchangeable.  A null doc_id is an id like any other.  No rows give an
+    empty table.
     """
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_BUCKETS))
     tagged = cut.withColumn("_b", bucket)
@@ -250,5 +253,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The places of all pieces of ``docs`` (doc_id, text); other columns are not read."""
+    """The places of all pieces of ``docs`` (doc_id, text).
+
+    Null and empty texts are one piece, the end mark; a very long text is many,
+    all but the last of them full; repeated rows are packed as often as they
+    come; no rows give an empty table.  Other columns are not read.
+    """
     return pack(stored(pieces(docs, tokenizer_path, capacity)), capacity)

@@ -209,5 +209,10 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns as they are."""
+    """The rows of ``docs`` that score below the threshold, all columns as they are.
+
+    Null and empty texts score as texts without a term and stay; very long
+    texts are read whole; each row is scored by itself, so repeated rows and
+    equal scores fare alike.  No rows give no rows.
+    """
     return docs.where(score_column(F.col("text"), lexicon) < THRESHOLD)
