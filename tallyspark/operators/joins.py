@@ -75,12 +75,13 @@ def pick(outputs: dict[str, tuple[Column, tuple[str, ...]]], columns: Iterable[s
 HEAVY = 100_000
 
 
-def _dealt(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: int, left_keys: DataFrame,
+           right_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with the part of their key (``_i`` of the left rows, ``_j`` of the right) that each row belongs to."""
     count = lambda df, key, name: df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
     parts = lambda n: F.ceil(F.col(n) / heavy).cast("int")
     # keys with more than ``heavy`` rows on a side: at most rows / heavy of them
-    both = (count(left, left_key, "_n").join(count(right, right_key, "_m"), "_key")
+    both = (count(left_keys, left_key, "_n").join(count(right_keys, right_key, "_m"), "_key")
             .filter((F.col("_n") > heavy) | (F.col("_m") > heavy)).select("_key", parts("_n").alias("_is"), parts("_m").alias("_js")))
     spread = lambda df, n: F.pmod(F.xxhash64(*df.columns), n).cast("int")
     one = lambda c: F.coalesce(F.col(c), F.lit(1))
@@ -93,7 +94,8 @@ def _dealt(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hea
     return lefts, rights
 
 
-def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", heavy: int = HEAVY,
+                left_keys: DataFrame | None = None, right_keys: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right`` where a few keys may stand on very many rows of both sides (``how``: inner or right).
 
     The rows of such a key are dealt into parts of about ``heavy`` on each
@@ -102,9 +104,13 @@ def skewed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     keys are repeated, once for each part of the other side.  A right row of a
     heavy key has partners in some part; its copies in parts without one are no
     result of a right join and are left out.  Equal rows of a key fall into one
-    part; column names of the sides must differ.
+    part; column names of the sides must differ.  ``left_keys`` and
+    ``right_keys`` count the keys where a side itself is dear to compute: the
+    first must have the keys of ``left`` and no others, the second may have
+    more than those of ``right``; how often is an estimate.
     """
-    lefts, rights = _dealt(left, right, left_key, right_key, heavy)
+    lefts, rights = _dealt(left, right, left_key, right_key, heavy, left if left_keys is None else left_keys,
+                           right if right_keys is None else right_keys)
     match = (lefts[left_key] == rights[right_key]) & (lefts["_i"] == rights["_i2"]) & (lefts["_j"] == rights["_j2"])
     joined = lefts.join(rights, match, how)
     if how == "right":

@@ -236,10 +236,12 @@ def _invoices(lg, key: str, alias: str) -> DataFrame:
     return lg.invoice.select(F.col("invoice_key").alias(key), F.col("invoice_number").alias(alias))
 
 
-def _line_branch(lg, kind: str) -> DataFrame:
+def _line_branch(lg, kind: str, documents: DataFrame | None = None) -> DataFrame:
     """One branch of the line union: labor lines (driven by the project-labor rows) or expense lines."""
     from ..functions.labels import matching_type
     fdd = lg.fin_document_detail
+    if documents is not None:
+        fdd = fdd.join(documents, "fin_document_key", "left_semi")
     po = lg.fin_document_detail_po
     prj = lg.project.select("project_key", F.col("billing_type_key").alias("_p_bt"))
     t = lg.task.select("task_key", F.col("billing_type_key").alias("_t_bt"))
@@ -310,7 +312,7 @@ def _line_branch(lg, kind: str) -> DataFrame:
     )
 
 
-def vendor_invoice_lines(lg) -> DataFrame:
+def vendor_invoice_lines(lg, documents: DataFrame | None = None) -> DataFrame:
     """D37 (+D37p, D37m, D37c): labor and expense lines of financial documents with their lookups.
 
     The reference's outer projection names lookups whose joins are missing
@@ -318,10 +320,11 @@ def vendor_invoice_lines(lg) -> DataFrame:
     vendor org of the document's vendor invoice, fiscal month of the
     document's post date, account, org, project (+ its org), task, project
     type, labor category, expense type, person, and the cost element through
-    the line's labor or ODC cost structure.
+    the line's labor or ODC cost structure.  ``documents`` (fin_document_key)
+    leaves only lines of those documents, before any lookup.
     """
     from ..functions.labels import zero_pad_right
-    vi = _line_branch(lg, "labor").unionByName(_line_branch(lg, "expense"))
+    vi = _line_branch(lg, "labor", documents).unionByName(_line_branch(lg, "expense", documents))
     cust = lg.customer
     fd = lg.fin_document.select(F.col("fin_document_key").alias("dtl_fin_document_key"),
                                 F.col("document_number").alias("doc_number"), F.col("status").alias("doc_status"),
@@ -404,19 +407,32 @@ def invoice_line_report(lg, viewer: int, as_of: str, date_from: str, date_to: st
 
     ``date_to`` is inclusive to the end of that day: the reference's
     ``23:59:59.997`` upper bound becomes the half-open ``[from, to + 1 day)``.
+
+    Only lines whose document has the number of one dated in that range can
+    meet a header, so the others go before any lookup; a header's number and
+    date are its document's.
     """
-    lines = vendor_invoice_lines(lg).select(
+    def dated(df, column):
+        return df.filter((F.col(column) >= F.lit(date_from).cast("date"))
+                         & (F.col(column) < F.date_add(F.lit(date_to).cast("date"), 1)))
+
+    numbers = dated(lg.fin_document, "document_date").select(F.col("document_number").alias("doc_number"))
+    named = lg.fin_document.join(numbers.distinct(), F.col("document_number") == F.col("doc_number"), "left_semi")
+    # the documents that have a line of either branch: what the joins of the lines add never drops one
+    detail = lg.fin_document_detail.select("fin_document_detail_key", "fin_document_key", "detail_type")
+    with_line = (detail.filter(F.col("detail_type") == "E").select("fin_document_key").unionByName(
+        lg.fin_document_det_proj_labor.select("fin_document_detail_key").join(detail, "fin_document_detail_key").select("fin_document_key")))
+    line_numbers = with_line.join(named.select("fin_document_key", F.col("document_number").alias("_line_doc_number")), "fin_document_key")
+    lines = vendor_invoice_lines(lg, named.select("fin_document_key")).select(
         F.col("doc_number").alias("_line_doc_number"), "related_po_line_id", "details_task_name",
         "details_person_code", "details_project_org_name", "details_project_code", "details_category",
         "details_project_type", "details_date", "details_rate", "details_hours_or_quantity", "details_amount",
         "details_person_last_name", "details_person_first_name", "dtl_fin_document_detail_key",
         "dtl_vendor_invoice_key", "dtl_time_data_key", "dtl_expense_data_allocation_key",
         "dtl_vi_funding_cap_adjustment_key")
-    header = vendor_invoice_header(lg, viewer, as_of).filter(
-        (F.col("doc_date") >= F.lit(date_from).cast("date"))
-        & (F.col("doc_date") < F.date_add(F.lit(date_to).cast("date"), 1)))
+    header = dated(vendor_invoice_header(lg, viewer, as_of), "doc_date")
     # a document number is text typed by hand: one may stand on many invoices and on many lines
-    df = skewed_join(lines, header, "_line_doc_number", "doc_number", "right")
+    df = skewed_join(lines, header, "_line_doc_number", "doc_number", "right", left_keys=line_numbers, right_keys=numbers)
     return df.select(
         "doc_number", "doc_date", "vendor_code", "vendor_name", "related_po_line_id", "details_task_name",
         "details_person_code", "details_project_org_name", "details_project_code", "details_category",

@@ -24,7 +24,14 @@ def sides(spark, seed=1, n=4000, m=3000):
 @pytest.mark.parametrize("heavy", [20, 100_000])
 def test_skewed_join_equals_a_plain_one(spark, how, heavy):
     left, right, a, b = sides(spark)
-    got = skewed_join(a, b, "a", "b", how, heavy)
+    more = b.unionByName(b.limit(500)).unionByName(spark.createDataFrame([("k3", 0), ("unknown", 0)], "b string, y int"))
+    for keys in (None, more.select("b")):
+        check(skewed_join(a, b, "a", "b", how, heavy, right_keys=keys), left, right, how)
+    few = a.select("a").distinct().unionByName(a.where("a = 'hot'").select("a").limit(90))
+    check(skewed_join(a, b, "a", "b", how, heavy, few, more), left, right, how)
+
+
+def check(got, left, right, how):
     assert got.columns == ["a", "x", "b", "y"]
     by = {}
     for k, x in left:
@@ -41,7 +48,7 @@ def test_skewed_join_equals_a_plain_one(spark, how, heavy):
 def test_parts_of_a_hot_key_are_bounded(spark):
     """No part of a key holds many more rows of a side than asked for, and only rows of heavy keys are repeated."""
     left, right, a, b = sides(spark)
-    lefts, rights = _dealt(a, b, "a", "b", 50)
+    lefts, rights = _dealt(a, b, "a", "b", 50, a, b)
     most = lambda df, *k: df.groupBy(*k).count().agg(F.max("count")).first()[0]
     assert most(a, "a") > 400 and most(lefts.where("_j = 0"), "a", "_i") < 100
     assert most(rights.where("_i2 = 0 and b is not null and b != 'lonely'"), "b", "_j2") < 100
