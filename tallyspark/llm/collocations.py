@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ship_code, stored
 
 MIN_COUNT = 10
 TOP = 2000
@@ -224,6 +224,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, pa
     by phrase.  No documents, or none with a frequent phrase, give no rows.
     Other columns are not read.
     """
+    ship_code(docs.sparkSession)
     seen = frequent_phrases(docs, min_count, partition_mass)
     part = seen.where("words between 1 and 2").select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("f").alias("_f"))
     found = seen.where("words >= 2").select("lang", "words", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ship_code, stored
 
 WINDOW = 10
 #: Words of a block (one for windows of one word).
@@ -196,6 +196,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pai
     overlap.
     """
     spark = docs.sparkSession
+    ship_code(spark)
     held = stored(windows(benchmark, size))
     passes = max(1, -(-held.count() // pairs))
     dealt = held.withColumn("pass", F.pmod(F.xxhash64("window", "item"), F.lit(passes)))

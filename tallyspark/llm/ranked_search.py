@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from .common import stored
+from .common import ship_code, stored
 
 TOP = 10
 #: Documents, vocabulary columns and items of a tile.
@@ -180,6 +180,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, item_bytes: int = IT
     takes a pass over the documents.
     """
     spark = docs.sparkSession
+    ship_code(spark)
     held = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     blocks = max(1, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))
     held = held.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
