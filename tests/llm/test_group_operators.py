@@ -101,8 +101,8 @@ def test_one_of_each_group_stays(spark, docs, odd_docs, no_docs):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in groups.select("component_id").distinct().collect())
     odd = simhash.keep_one(odd_docs)
     assert odd.columns == odd_docs.columns
-    ids = [r[0] for r in odd.select("doc_id").collect()]
-    assert ids.count(1) == 1 and ids.count(None) == 2 and 9 not in ids
+    # one of each group: the copies of row 1 without an id, and the wordless one beside row 3, go as any other copy does
+    assert sorted(r[0] for r in odd.select("doc_id").collect()) == [1, 3, 6, 7, 8, 2**62]
     assert simhash.keep_one(no_docs).count() == 0
 
 
