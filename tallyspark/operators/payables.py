@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import MONEY, TOTAL, aging_bucket, fiscal_period
 from .access import ADMIN_ROLE
 from .intervals import interval_lookup
-from .joins import left_join_some, skewed_join
+from .joins import held, left_join_rare, left_join_some, left_join_within, skewed_join
 
 AP_ROLES = (27, 28, 29)
 AP_DELEGATE_ROLE = 56
@@ -107,7 +107,13 @@ def _doc_numbers(lg, role: str, key: str) -> DataFrame:
 
 
 def vendor_invoice_header(lg, viewer: int, as_of: str) -> DataFrame:
-    """D36h with D36a/b/d/v: one row per vendor invoice the viewer may see."""
+    """D36h with D36a/b/d/v: one row per vendor invoice the viewer may see.
+
+    A grant depends on the document and its invoice alone, so the filter
+    stands before the lookups.  What goes by the document's key is joined
+    first, then the lookup tables, which are sent around unless too large.
+    """
+    near, people = held(lg.customer), held(lg.person)
     fd = lg.fin_document.filter(F.col("fin_document_key").isNotNull())
     vi = lg.vendor_invoice.select(
         "fin_document_key", F.col("account_key").alias("ap_account_key"),
@@ -141,32 +147,28 @@ def vendor_invoice_header(lg, viewer: int, as_of: str) -> DataFrame:
     cc = F.broadcast(ccy.select(F.col("currency_code_key").alias("_vendor_ccy"), F.col("iso_currency_code").alias("_cc")))
     lcc = F.broadcast(ccy.select(F.col("currency_code_key").alias("local_currency"), F.col("iso_currency_code").alias("_lcc")))
 
+    key = "fin_document_key"
+    df = filter_ap_access(fd.join(vi, key), "legal_entity_key", "vendor_key", viewer, lg.member, lg.org_access_person,
+                          lg.access_customer_view)
+    df = df.join(fdr, key, "left").join(invoice_balance(lg.vendor_invoice_activity), key, "left")
+    for keys, name, role in ((fdr, "_orig_key", "ofd"), (fd, "voiding_fin_document_key", "voiding"), (fd, "voided_fin_document_key", "voided")):
+        df = left_join_rare(df, keys, _doc_numbers(lg, role, name), name, key)
     df = (
-        fd.join(fdr, "fin_document_key", "left")
-        .transform(lambda d: left_join_some(d, _doc_numbers(lg, "ofd", "_orig_key"), "_orig_key", "fin_document_key"))
+        left_join_rare(df, vi, po, "po_key", key)
         .transform(lambda d: interval_lookup(d, "post_date", months, ["fiscal_month_key", "period_number", "_fy_name"]))
-        .transform(lambda d: left_join_some(d, _doc_numbers(lg, "voiding", "voiding_fin_document_key"),
-                                            "voiding_fin_document_key", "fin_document_key"))
-        .transform(lambda d: left_join_some(d, _doc_numbers(lg, "voided", "voided_fin_document_key"),
-                                            "voided_fin_document_key", "fin_document_key"))
-        .join(vi, "fin_document_key")
-        .transform(lambda d: left_join_some(d, po, "po_key", "fin_document_key"))
-        .join(_orgs(lg, "legal_entity"), "legal_entity_key")
+        .join(near(_orgs(lg, "legal_entity")), "legal_entity_key")
         .join(pt, "payment_term_key")
-        .join(_orgs(lg, "vendor"), "vendor_key")
-        .join(remit, "vendor_key", "left")
-        .join(_people(lg, "created_by"), F.col("created_by") == F.col("created_by_key"))
-        .join(_people(lg, "posted_by"), F.col("posted_by") == F.col("posted_by_key"), "left")
-        .join(_people(lg, "submitted_by"), F.col("submitted_by") == F.col("submitted_by_key"), "left")
-        .join(_people(lg, "last_modified_by"), F.col("last_updated_by") == F.col("last_modified_by_key"), "left")
-        .join(_orgs(lg, "financial_org"), "financial_org_key")
+        .join(near(_orgs(lg, "vendor")), "vendor_key")
+        .join(held(lg.customer_address)(remit), "vendor_key", "left")
+        .join(people(_people(lg, "created_by")), F.col("created_by") == F.col("created_by_key"))
+        .join(people(_people(lg, "posted_by")), F.col("posted_by") == F.col("posted_by_key"), "left")
+        .join(people(_people(lg, "submitted_by")), F.col("submitted_by") == F.col("submitted_by_key"), "left")
+        .join(people(_people(lg, "last_modified_by")), F.col("last_updated_by") == F.col("last_modified_by_key"), "left")
+        .join(near(_orgs(lg, "financial_org")), "financial_org_key")
         .join(acct, "ap_account_key")
-        .join(invoice_balance(lg.vendor_invoice_activity), "fin_document_key", "left")
         .join(cc, "_vendor_ccy", "left")
         .join(lcc, "local_currency", "left")
     )
-    df = filter_ap_access(df, "legal_entity_key", "vendor_key", viewer, lg.member, lg.org_access_person,
-                          lg.access_customer_view)
     posted = F.col("posted_timestamp").isNotNull()
     return df.select(
         "fiscal_month_key", F.col("fin_document_key").alias("vendor_invoice_key"),
@@ -260,9 +262,9 @@ def _line_branch(lg, kind: str, documents: DataFrame | None = None) -> DataFrame
         link = cppd.select(F.col("fin_document_det_labor_key").alias("fin_document_detail_key"),
                            F.col("cost_element_key").alias("_ce"), F.col("invoice_key").alias("_icp"))
         lc = lg.labor_category.select("labor_category_key", F.col("account_number").alias("_lc_acct"))
-        df = (base.join(pol, "fin_document_detail_key", "left").transform(lambda d: left_join_some(d, descr, "_descr_key", "fin_document_detail_key"))
-              .join(det, "fin_document_detail_key", "left").join(lc, "labor_category_key", "left")
-              .join(struct, "cost_struct_labor_key", "left"))
+        df = (base.join(det, "fin_document_detail_key", "left").join(pol, "fin_document_detail_key", "left")
+              .transform(lambda d: left_join_rare(d, pol, descr, "_descr_key", "fin_document_detail_key"))
+              .join(lc, "labor_category_key", "left").join(struct, "cost_struct_labor_key", "left"))
         elem_key = F.col("cost_struct_labor_key")
         qty, rate, lab, exp_type = F.col("hours"), F.col("cost_rate"), F.col("labor_category_key"), F.lit(None)
         acct_number, line_type = F.col("_lc_acct"), "labor"
@@ -283,13 +285,15 @@ def _line_branch(lg, kind: str, documents: DataFrame | None = None) -> DataFrame
         link = cppd.select(F.col("fin_document_det_expense_key").alias("fin_document_detail_key"),
                            F.col("cost_element_key").alias("_ce"), F.col("invoice_key").alias("_icp"))
         df = (base.join(det, "fin_document_detail_key", "left").join(proj, "fin_document_detail_key", "left")
-              .join(pol, "fin_document_detail_key", "left").transform(lambda d: left_join_some(d, descr, "_descr_key", "fin_document_detail_key"))
+              .join(pol, "fin_document_detail_key", "left")
+              .transform(lambda d: left_join_rare(d, pol, descr, "_descr_key", "fin_document_detail_key"))
               .join(struct, "cost_struct_odc_key", "left"))
         elem_key = F.col("cost_struct_odc_key")
         qty, rate, lab, exp_type = F.lit(None), F.lit(None), F.lit(None), F.col("expense_type_key")
         acct_number, line_type = F.lit(None), "expense"
+    # a line has at most a few cost elements, so its links are gathered by line
     df = (df.join(prj, "project_key", "left").join(t, "task_key", "left")
-          .join(link, ["fin_document_detail_key", "_ce"], "left"))
+          .transform(lambda d: left_join_within(d, link, "fin_document_detail_key", "_ce")))
     for key, number in (("_ia", "_inv_a"), ("_im", "_inv_m"), ("_icp", "_inv_cp")):
         df = left_join_some(df, _invoices(lg, key, number), key, "fin_document_detail_key")
     return df.select(
@@ -325,13 +329,13 @@ def vendor_invoice_lines(lg, documents: DataFrame | None = None) -> DataFrame:
     """
     from ..functions.labels import zero_pad_right
     vi = _line_branch(lg, "labor", documents).unionByName(_line_branch(lg, "expense", documents))
-    cust = lg.customer
+    cust, near = lg.customer, held(lg.customer)
     fd = lg.fin_document.select(F.col("fin_document_key").alias("dtl_fin_document_key"),
                                 F.col("document_number").alias("doc_number"), F.col("status").alias("doc_status"),
                                 "post_date")
     vorg = (lg.vendor_invoice.select(F.col("fin_document_key").alias("dtl_fin_document_key"), "vendor_org_key")
-            .join(cust.select(F.col("customer_key").alias("vendor_org_key"), F.col("customer_code").alias("vendor_org_code"),
-                              F.col("customer_name").alias("vendor_org_name")), "vendor_org_key"))
+            .join(near(cust.select(F.col("customer_key").alias("vendor_org_key"), F.col("customer_code").alias("vendor_org_code"),
+                                   F.col("customer_name").alias("vendor_org_name"))), "vendor_org_key"))
     months = lg.fiscal_month.join(F.broadcast(lg.fiscal_year.select("fiscal_year_key", F.col("name").alias("_fy"))),
                                   "fiscal_year_key").select("fiscal_month_key", "period_number", "_fy", "begin_date",
                                                             "end_date")
@@ -359,10 +363,10 @@ def vendor_invoice_lines(lg, documents: DataFrame | None = None) -> DataFrame:
                                          "cost_element_key", "left").drop("cost_element_key")
     df = (vi.join(fd, "dtl_fin_document_key", "left").join(vorg, "dtl_fin_document_key", "left")
           .transform(lambda d: interval_lookup(d, "post_date", months, ["fiscal_month_key", "period_number", "_fy"], "left"))
-          .join(a, "dtl_account_key", "left").join(c, "dtl_org_key", "left").join(p, "dtl_project_key", "left")
-          .join(porg, "_porg", "left").join(t, "dtl_task_key", "left").join(pt, "dtl_project_type_key", "left")
+          .join(a, "dtl_account_key", "left").join(near(c), "dtl_org_key", "left")
+          .join(held(lg.project)(p.join(porg, "_porg", "left")), "dtl_project_key", "left").join(t, "dtl_task_key", "left").join(pt, "dtl_project_type_key", "left")
           .join(lc, "dtl_labor_category_key", "left").join(et, "dtl_expense_type_key", "left")
-          .join(per, "dtl_person_key", "left")
+          .join(held(lg.person)(per), "dtl_person_key", "left")
           .join(ce, (F.col("dtl_cost_struct_elem_key") == F.col("_ce_key")) & (F.col("line_type") == F.col("_kind")),
                 "left"))
     lt = F.col("dtl_line_type")
